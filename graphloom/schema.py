@@ -44,14 +44,10 @@ def conform(rows: DataFrame) -> DataFrame:
     have = set(rows.columns)
     out = []
     for f in ENTITY.fields:
-        if f.name == "id" and "id" not in have:
-            out.append(chunk_id().alias("id"))
-        elif f.name in LISTS:
-            value = F.col(f.name).cast(_NAMES) if f.name in have else F.lit(None).cast(_NAMES)
-            out.append(F.coalesce(value, F.array().cast(_NAMES)).alias(f.name))
-        else:
-            out.append((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name))
-    return rows.select(*out)
+        value = (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType)
+        out.append((F.coalesce(value, F.array().cast(_NAMES)) if f.name in LISTS else value).alias(f.name))
+    full = rows.select(*out)
+    return full if "id" in have else full.withColumn("id", chunk_id())
 
 
 def indexable(entities: DataFrame) -> DataFrame:

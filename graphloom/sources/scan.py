@@ -62,12 +62,27 @@ def classify(path: Column, own: IgnoreRules | None = None, git: IgnoreRules | No
     return reason.when(names.language(path).isNull(), "extension")
 
 
+def _hidden(spark: SparkSession, root: str) -> list[str]:
+    """Files under names with a leading dot or underscore, which Spark's own listing leaves out (not .git)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, out, files = fs.makeQualified(path).toString().rstrip("/") + "/", [], fs.listFiles(path, True)
+    while files.hasNext():
+        found = files.next().getPath().toString()
+        parts = found.removeprefix(base).split("/")
+        if any(x[0] in "._" for x in parts) and ".git" not in parts:
+            out.append(found)
+    return out
+
+
 def scan(spark: SparkSession, roots: list[str], own: IgnoreRules | None = None, git: IgnoreRules | None = None) -> DataFrame:
     """(path, content, sha256, language, skip): each file under the roots once; skipped ones without content.
 
     Paths and sizes come from the listing; only indexed files keep their bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    if extra := [p for root in roots for p in _hidden(spark, root)]:
+        files = files.unionByName(spark.read.format("binaryFile").load(extra))
     relative = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
     for root in sorted(roots, key=len, reverse=True):
         relative = names.relative(relative, root)
