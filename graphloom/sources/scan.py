@@ -62,17 +62,36 @@ def classify(path: Column, own: IgnoreRules | None = None, git: IgnoreRules | No
     return reason.when(names.language(path).isNull(), "extension")
 
 
-def _hidden(spark: SparkSession, root: str) -> list[str]:
-    """Files under names with a leading dot or underscore, which Spark's own listing leaves out (not .git)."""
+#: Bytes of files with a hidden name that the driver may read itself.
+HIDDEN_BYTES = 64 << 20
+
+
+def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, bytearray]]]:
+    """What Spark's own listing leaves out (not .git): files in hidden folders, by path, and files of a hidden name.
+
+    The latter no Spark reader opens, not even by path; the driver reads them,
+    up to a bound.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    base, out, files = fs.makeQualified(path).toString().rstrip("/") + "/", [], fs.listFiles(path, True)
+    base, files = fs.makeQualified(path).toString().rstrip("/") + "/", fs.listFiles(path, True)
+    paths, read, held = [], [], 0
     while files.hasNext():
-        found = files.next().getPath().toString()
-        parts = found.removeprefix(base).split("/")
-        if any(x[0] in "._" for x in parts) and ".git" not in parts:
-            out.append(found)
-    return out
+        found = files.next()
+        name = found.getPath().toString()
+        parts = name.removeprefix(base).split("/")
+        if ".git" in parts or not any(x[0] in "._" for x in parts):
+            continue
+        if parts[-1][0] not in "._":
+            paths.append(name)
+            continue
+        held += found.getLen()
+        if held > HIDDEN_BYTES:
+            raise ValueError(f"more than {HIDDEN_BYTES} bytes in files of hidden names under {root}")
+        stream = fs.open(found.getPath())
+        read.append((name, bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        stream.close()
+    return paths, read
 
 
 def scan(spark: SparkSession, roots: list[str], own: IgnoreRules | None = None, git: IgnoreRules | None = None) -> DataFrame:
@@ -81,8 +100,13 @@ def scan(spark: SparkSession, roots: list[str], own: IgnoreRules | None = None,
     Paths and sizes come from the listing; only indexed files keep their bytes.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    if extra := [p for root in roots for p in _hidden(spark, root)]:
-        files = files.unionByName(spark.read.format("binaryFile").load(extra))
+    files = files.select("path", "content")
+    for root in roots:
+        paths, read = _hidden(spark, root)
+        if paths:
+            files = files.unionByName(spark.read.format("binaryFile").load(paths).select("path", "content"))
+        if read:
+            files = files.unionByName(spark.createDataFrame(read, "path string, content binary"))
     relative = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
     for root in sorted(roots, key=len, reverse=True):
         relative = names.relative(relative, root)
