@@ -162,7 +162,13 @@ def repeated(pages: list[object], texts: list[bytes], run: int) -> tuple[at.Span
     cover = np.zeros(len(stream) + run + 1, np.int64)
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + run, -1)
-    return spans, (np.cumsum(cover)[: len(stream)] > 0)[at_]
+    found = (np.cumsum(cover)[: len(stream)] > 0)[at_]
+    edge = np.ones(len(found), bool)  # a stretch of a block; it counts if it is long or the whole block
+    edge[1:] = (found[1:] != found[:-1]) | (spans.row[1:] != spans.row[:-1])
+    at_ = np.flatnonzero(edge)
+    length = np.diff(np.append(at_, len(found)))
+    counts = np.where((length >= run) | (length == spans.counts()[spans.row[at_]]), found[at_], False)
+    return spans, np.repeat(counts, length)
 
 
 def main_texts(pages: list[object], roles: list[str], texts: list[list[str]], run: int) -> list[tuple[str, int, int]]:
