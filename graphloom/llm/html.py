@@ -6,8 +6,8 @@ forms, notices, comments, ...; scripts, styles, markup comments and the head
 give no blocks), ``U`` where the structure doesn't tell.  The words of all
 blocks of a host's pages form one token stream; its suffix array, sorted to
 ``RUN`` tokens, shows every run of at least that many words that stands on two
-or more distinct pages.  In ``U`` blocks such runs are boilerplate and only the
-runs between them stay.  A page that has ``M`` blocks is exactly those: an
+or more distinct pages.  In a ``U`` block such a run, if it covers the whole block
+or that many of its words, is boilerplate and only what is between stays.  A page that has ``M`` blocks is exactly those: an
 article that two pages share is still the article, so there the suffix array
 is only reported, in ``n_repeated``.
 
