@@ -51,14 +51,21 @@ CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
 
-def _classes() -> np.ndarray:
-    """The class of each code point: by general category, white space by the property White_Space."""
-    points = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(sys.maxunicode + 1))
-    table = np.full(len(points), OTHER, np.uint8)
-    for kind, run in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for m in regex.finditer(run, points):
-            table[m.start() : m.end()] = kind
-    table[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+def code_point_classes() -> np.ndarray:
+    """The class of each code point, as the tiktoken library's own patterns see it.
+
+    Libraries follow different versions of Unicode; asking this one makes the
+    pieces the same.  Its encoder drops what a pattern doesn't match, so with
+    single bytes for tokens it returns the members of a class.
+    """
+    import tiktoken
+
+    points = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for kind, member in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        encoder = tiktoken.Encoding("class", pat_str=member, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        found = bytes(encoder.encode_ordinary(points)).decode("utf-8")
+        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
@@ -71,8 +78,8 @@ class Splitter:
     contraction's letters.
     """
 
-    def __init__(self) -> None:
-        self.table = _classes()
+    def __init__(self, classes: np.ndarray) -> None:
+        self.table = classes
 
     def __call__(self, texts: list[str]) -> list[list[str]]:
         joined = "".join(texts)
@@ -144,11 +151,11 @@ class PairTable:
 class Bpe:
     """Encoder and decoder over the content of a rank file."""
 
-    def __init__(self, ranks: bytes, pattern: str) -> None:
+    def __init__(self, ranks: bytes, pattern: str, classes: np.ndarray) -> None:
         pairs = [line.split() for line in ranks.splitlines() if line.strip()]
         self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
         find = regex.compile(pattern).findall
-        self.split = Splitter() if pattern == WORDS_PATTERN else lambda texts: [find(t) for t in texts]
+        self.split = Splitter(classes) if pattern == WORDS_PATTERN else lambda texts: [find(t) for t in texts]
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.wide = max(self.rank.values()) + 1
         by_id = [b""] * self.wide
@@ -303,11 +310,11 @@ def annotate(docs: DataFrame, ranks: bytes, pattern: str, *, id_column: str = "d
 
     With ``ids``, the ids themselves too, as ``token_ids array<int>``.
     """
-    content = docs.sparkSession.sparkContext.broadcast(ranks)
+    content = docs.sparkSession.sparkContext.broadcast((ranks, code_point_classes()))  # 2 MB
     schema = RESULT.format(id=docs.schema[id_column].dataType.simpleString()) + (", token_ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(content.value, pattern)
+        bpe = Bpe(content.value[0], pattern, content.value[1])
         for batch in batches:
             for part in at.slices(batch, "text"):
                 codes = bpe.encode([t.decode("utf-8", "replace") for t in at.as_bytes(part.column("text")).to_pylist()])

@@ -150,15 +150,22 @@ def test_bpe_is_tiktoken(spark, docs, ranks):
 def test_splitter_is_the_pattern(ranks):
     import regex
 
-    find, split = regex.compile(public_tokenizers.PATTERN).findall, bpe.Splitter()
+    find, split = regex.compile(public_tokenizers.PATTERN).findall, bpe.Splitter(bpe.code_point_classes())
     parts = ["'", " ", "\n", "s", "t", "re", "ll", "x", "1", "!", "é", "  ", "'s", " ", "中"]
     for _ in range(500):
         texts = ["".join(RNG.choice(parts) for _ in range(RNG.randrange(12))) for _ in range(4)]
         assert split(texts) == [find(t) for t in texts]
 
 
+def test_every_code_point_splits_as_in_tiktoken():
+    classes = bpe.code_point_classes()
+    space = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    assert np.flatnonzero(classes == bpe.SPACE).tolist() == space
+    assert [classes[ord(c)] for c in "aé中1²!'_"] == [bpe.LETTER] * 3 + [bpe.NUMBER] * 2 + [bpe.OTHER] * 3
+
+
 def test_lockstep_and_single_trees_agree(ranks):
-    b = bpe.Bpe(ranks, public_tokenizers.PATTERN)
+    b = bpe.Bpe(ranks, public_tokenizers.PATTERN, bpe.code_point_classes())
     for width in (2, 8, 64):
         pieces = [bytes(RNG.randrange(97, 101) for _ in range(RNG.randint(2, width))) for _ in range(50)]
         assert b.lockstep(pieces, width) == [b.one(p) for p in pieces]
