@@ -195,7 +195,7 @@ def view_links(entities: DataFrame, nodes: int = 500) -> DataFrame:
     """Call links among the nodes of most incoming references: exact name, else the only node of that last segment."""
     from .edges import degrees
 
-    shown = degrees(entities).orderBy(F.desc("incoming_count"), *ORDER).limit(nodes).select("id", "name", "calls", "contains", "is_a")
+    shown = settle(degrees(entities).orderBy(F.desc("incoming_count"), *ORDER).limit(nodes).select("id", "name", "calls", "contains", "is_a"))
     by_name = best(shown.select(F.col("id").alias("t_id"), F.col("name").alias("t_name")), ["t_name"], ["t_id"])
     only = shown.select(F.col("id").alias("b_id"), F.substring_index("name", ".", -1).alias("bare")).groupBy("bare").agg(F.count("*").alias("n"), F.min("b_id").alias("b_id")).filter("n = 1").drop("n")
     rows = edges(shown, ["calls"]).select("src_id", "target").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from ..storage import settle
 
 #: Rank fusion constant of Cormack et al. (2009), ranks from 1.
 FUSION = 60
@@ -133,9 +134,9 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, nodes: DataFrame, query:
     fused = fuse(lexical, dense_top(vectors, vector, fetch)) if vector is not None else fuse(lexical, lexical.limit(0))
     hits = docs.select("id", "name", "file_path", "entity_type").join(fused.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
     hits = hits.filter((F.col("name") != "Unknown") & ~names.is_temporary("file_path")).orderBy(F.desc("score"), "id").limit(3 * limit)
+    hits = settle(hits)  # a few rows, which the boosts and the fallback look at again
+    if not hits.limit(1).count():
+        found = deduplicate(keyword_search(docs, query, limit).select("id", "name", "file_path", "entity_type", "score"))
+        return found.orderBy(F.desc("score"), "id").limit(limit)
     hits = type_boost(graph_boost(deduplicate(hits), nodes)).select("id", "name", "file_path", "entity_type", "score")
-    hits = hits.orderBy(F.desc("score"), "id").limit(limit)
-    if hits.limit(1).count():
-        return hits
-    found = deduplicate(keyword_search(docs, query, limit).select("id", "name", "file_path", "entity_type", "score"))
-    return found.orderBy(F.desc("score"), "id").limit(limit)
+    return hits.orderBy(F.desc("score"), "id").limit(limit)

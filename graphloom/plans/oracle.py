@@ -213,6 +213,20 @@ UNION SELECT y.name, y.file_path FROM entities y JOIN one ON y.file_path = one.f
     "hybrid_search": f"""WITH {TOKENS}, {ARMS}, top30 AS (SELECT d.doc_id AS id, 'doc_' || CAST(d.doc_id AS VARCHAR) AS name, score FROM fused JOIN documents d ON d.doc_id = fused.id ORDER BY score DESC, id LIMIT 30),
 seeds AS (SELECT name FROM top30 ORDER BY score DESC, id LIMIT 5)
 SELECT id, name, round(score + CASE WHEN name IN (SELECT name FROM seeds) THEN 0.1::DOUBLE ELSE 0 END, 6) AS score FROM top30 ORDER BY score DESC, id LIMIT 10""",
+    "vocab_rebuild": f"WITH {TOKENS.replace('FROM documents', 'FROM left_docs').replace('total AS', 'left_docs AS (SELECT * FROM documents WHERE doc_id % 3 <> 0), total AS', 1)} SELECT * FROM idf",
+    "ranking_reasons": e(
+        f"SELECT id, relevance, CASE WHEN relevance >= 100 THEN 'named' WHEN relevance > 0 THEN 'related' ELSE 'text' END AS reason FROM (SELECT h.id, CAST(CASE WHEN {last('h.name')} = 'user_3' THEN 100 ELSE 5 * len(list_filter(c, lambda x: {last('x')} = 'user_3')) + 2 * incoming END AS BIGINT) AS relevance FROM hits h JOIN (SELECT name, max(incoming_count) AS incoming, first(calls ORDER BY len(calls) DESC, calls DESC) AS c FROM degrees GROUP BY name) g ON g.name = h.name WHERE entity_type = 'function')",
+        DEGREES, HITS,
+    ),
+    "startup_project": e("SELECT string_split(file_path, '/')[2] AS project, count(*) AS n FROM entities GROUP BY 1 ORDER BY n DESC, project LIMIT 1"),
+    "late_data": "SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 6 HOURS, ts), time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL 6 HOURS]) AS start FROM events WHERE event_type = 'error') GROUP BY 1",
+    "reply_rows": e("SELECT id, CAST(to_json({'name': name, 'file_path': file_path, 'entity_type': entity_type, 'start_line': start_line, 'calls': calls[1:10]}) AS VARCHAR) AS json FROM entities"),
+    "relations": e(
+        "SELECT src_id, kind, pos, target, dst_id FROM related",
+        RESOLVED.replace("kind = 'calls'", "kind IN ('is_a', 'contains')").replace("resolved AS", "related AS").replace("SELECT src_id, pos,", "SELECT src_id, kind, pos,").replace("PARTITION BY src_id, pos", "PARTITION BY src_id, kind, pos"),
+    ),
+    "page_links": f"SELECT host, {last('target')} AS target, count(*) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages) GROUP BY ALL",
+    "syntax_noise": f"SELECT doc_id AS id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_filter(w, lambda x: x NOT IN {NOISE_WORDS})) AS BIGINT) AS kept FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)",
     "upsert_state": e("SELECT id, CASE WHEN ends_with(file_path, '.ex') THEN upper(name) ELSE name END AS name, file_path FROM entities"),
     "purge_state": e("SELECT file_path, count(*) AS n FROM entities WHERE NOT starts_with(file_path, 'src/lib/') GROUP BY 1"),
     "debounce_sessions": "WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 2 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, k",

@@ -393,6 +393,20 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid_search(ad.texts(spark, sf_dir), ad.vectors(spark, sf_dir), nodes, SEARCH, _vector(spark, sf_dir)).select("id", "name", "score")
 
 
+@query
+def vocab_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary after a third of the files went: counted from what is left."""
+    docs = ad.texts(spark, sf_dir).filter(F.col("id") % 3 != 0)
+    return retrieval.vocabulary(retrieval.term_frequencies(docs), docs.count())
+
+
+@on_entities
+def ranking_reasons(e: DataFrame) -> DataFrame:
+    """What a re-ranked hit owes to its references and calls."""
+    hits = retrieval.relationship_rank(_hits(e.filter("entity_type = 'function'")), ed.degrees(e), ["user_3"])
+    return hits.select("id", "relevance", F.when(F.col("relevance") >= 100, "named").when(F.col("relevance") > 0, "related").otherwise("text").alias("reason"))
+
+
 # --- state and streams
 
 
@@ -426,9 +440,50 @@ def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(streams.first_seen(streams.event_stream(spark, sf_dir), ["user_id", "event_type"]))
 
 
+@on_entities
+def startup_project(e: DataFrame) -> DataFrame:
+    projects = e.groupBy(F.regexp_extract("file_path", "^src/([^/]+)", 1).alias("project")).agg(F.count("*").alias("n"))
+    return incremental.startup_project(projects, "main")
+
+
+@query
+def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows over the stream; what the watermark lets through in one run over what is there."""
+    events = streams.event_stream(spark, sf_dir).filter(F.col("event_type") == "error").withWatermark("ts", "1 hour")
+    rows = events.groupBy(F.window("ts", "12 hours", "6 hours")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+    return streams.drain(rows, "complete").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@on_entities
+def reply_rows(e: DataFrame) -> DataFrame:
+    return stats.compact(e)
+
+
+@on_entities
+def relations(e: DataFrame) -> DataFrame:
+    """Every edge of any kind with its target by the resolution of calls."""
+    return ed.resolve_calls(e, ["is_a", "contains"]).select("src_id", "kind", F.col("pos").cast("long").alias("pos"), "target", "dst_id")
+
+
 # --- ingest
 
 
+@query
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts by the links of their pages: imports of a web corpus."""
+    links = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target")
+    pages = ad.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), links)
+    return pages.groupBy("host", names.last_segment("target").alias("target")).agg(F.count("*").alias("n"))
+
+
+@query
+def syntax_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the texts as call lists, before and after syntax words go; repeats stay."""
+    words = F.split(F.lower("content"), " ")
+    rows = ad.texts(spark, sf_dir).select("id", words.alias("w"), names.without_noise(words).alias("kept"))
+    return rows.select("id", F.size("w").cast("long").alias("n"), F.size("kept").cast("long").alias("kept"))
+
+
 @query
 def extract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One small Python file per supplier, through the extractor."""
