@@ -42,6 +42,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 FEW = 32
 #: Rows held at once when buckets are read.
 HELD = 1 << 17
+#: Rows from which a fingerprint may count as hot.
+HOT = 200
 
 
 def shingle_hashes(data: bytes, size: int) -> list[int]:
@@ -202,13 +204,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def classes(marks: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """marks: (doc_id, mark).  Returns (mark, root, component_id) for each distinct mark."""
-    distinct = settle(marks.groupBy("mark").agg(F.min("doc_id").alias("least")))
+    """marks: (doc_id, mark).  Returns (mark, root, component_id, rows) for each distinct mark."""
+    distinct = settle(marks.groupBy("mark").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     parts = settle(components(links(distinct.select("mark"), radius)))
     roots = parts.join(distinct, parts.node == distinct.mark).groupBy("root").agg(F.min("least").alias("component"))
     parts = parts.join(roots.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("node", "root", "component")
     met = distinct.join(parts, F.col("mark") == F.col("node"), "left")
-    return met.select("mark", F.coalesce("root", "mark").alias("root"), F.coalesce("component", "least").alias("component_id"))
+    return met.select("mark", F.coalesce("root", "mark").alias("root"), F.coalesce("component", "least").alias("component_id"), "rows")
 
 
 def annotate(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -218,8 +220,20 @@ def annotate(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
 
 
 def _labelled(marks: DataFrame, radius: int) -> DataFrame:
-    found = classes(marks, radius=radius).withColumnRenamed("mark", "known")
-    return marks.join(found, F.col("mark") == F.col("known"), "left").drop("known")
+    """marks with their component.
+
+    A mark of many rows would be one task of a join, so marks of more than
+    ``HOT`` rows, and of more than one 65536th of all rows, are broadcast: there
+    are fewer than 65536 of these.  The others meet by a shuffle.
+    """
+    found = settle(classes(marks, radius=radius).select(F.col("mark").alias("known"), "root", "component_id", "rows"))
+    total = found.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = F.col("rows") > max(HOT, total >> 16)
+    common = F.broadcast(found.filter(hot))
+    met = marks.join(common, F.col("mark") == F.col("known"))
+    rest = marks.join(F.broadcast(found.filter(hot).select("known")), F.col("mark") == F.col("known"), "left_anti")
+    rest = rest.join(found.filter(~hot), F.col("mark") == F.col("known"), "left")
+    return met.unionByName(rest).drop("known", "rows")
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, radius: int = RADIUS, broadcast_rows: int = 1 << 20) -> DataFrame:
