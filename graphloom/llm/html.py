@@ -35,7 +35,7 @@ from . import arrowtext as at
 from . import textmodel as tm
 from .decontaminate import suffix_array
 
-RUN, SHARD = 5, 1000
+RUN, SHARD = 5, 250
 #: Pages and bytes of one suffix array at most (a longer page alone).
 SHARD_BYTES = 8 << 20
 #: Hot hosts that may be broadcast.
