@@ -348,6 +348,16 @@ def test_surrogates(spark):
     assert pii.annotate(d, key="other").filter("doc_id = 0").first()["text"] != got[0]["text"]
 
 
+def test_long_and_nasty_texts(spark):
+    texts = ["a" * 300_000, "x@" + "a." * 60_000, "+" + "1 " * 100_000, "token" * 50_000 + "=" + "0f" * 50_000, "Mr. " * 30_000, "0" * 200_000, "<" * 50_000 + '"' * 50_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.annotate(d).count() == len(texts) and sum(r["n_collisions"] for r in pii.annotate(d).collect()) == 0
+    assert secrets.annotate(d).filter("n_hex > 0 or n_assign > 0").count() >= 2
+    assert quality.annotate(d, quality.Model()).count() == len(texts)
+    pages = d.select(F.col("doc_id").alias("page_id"), F.lit("http://a/").alias("url"), F.col("text").alias("html"))
+    assert html.extract(pages).count() == len(texts)
+
+
 def test_surrogates_of_distinct_entities_differ(spark):
     numbers = [f"+1 ({a:03}) 555-{b:04}" for a in range(200, 230) for b in range(0, 60)]
     d = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "doc_id long, text string")
