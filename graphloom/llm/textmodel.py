@@ -84,22 +84,22 @@ class Examples:
 
     def __init__(self, texts: list[str], member: np.ndarray | None, lower: bool) -> None:
         rows, buckets, weights, base = [], [], [], 0
-        for i in range(0, len(texts), 256):
-            part = texts[i : i + 256]
+        for i in range(0, len(texts), 128):
+            part = texts[i : i + 128]
             data, offsets = at.buffer(pa.array(part, pa.large_string()))
             r, b = hashed(data, offsets, member, lower)
             key, count = np.unique(r * BUCKETS + b, return_counts=True)
             r, b = key // BUCKETS, key % BUCKETS
             gram = (b >= WORDS).astype(np.int64)
             total = np.bincount(2 * r + gram, weights=count, minlength=2 * len(part))
-            rows.append(r + base)
-            buckets.append(b)
-            weights.append(count / total[2 * r + gram])
+            rows.append((r + base).astype(np.int32))
+            buckets.append(b.astype(np.int32))
+            weights.append((count / total[2 * r + gram]).astype(np.float32))
             base += len(part)
         self.n = base
-        self.row = np.concatenate([np.zeros(0, np.int64), *rows])
-        self.bucket = np.concatenate([np.zeros(0, np.int64), *buckets])
-        self.weight = np.concatenate([np.zeros(0), *weights])
+        self.row = np.concatenate([np.zeros(0, np.int32), *rows])
+        self.bucket = np.concatenate([np.zeros(0, np.int32), *buckets])
+        self.weight = np.concatenate([np.zeros(0, np.float32), *weights])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.bucket] * self.weight, minlength=self.n)

@@ -107,8 +107,9 @@ def fit(examples: list[tuple[int, str]], languages: langid.Model, seed: int = 10
     y = np.array([1.0 if t else 0.0 for t, _ in examples])
     if not 0 < y.sum() < len(y):
         return Model(languages=languages)
-    column = pa.array([t for _, t in examples], pa.large_string())
-    row, word, stem, n = tokens(column)
+    column, n = pa.array([t for _, t in examples], pa.large_string()), len(examples)
+    parts = [(i, tokens(column.slice(i, 128))) for i in range(0, n, 128)]  # a few texts at a time: memory follows these
+    row, word, stem = (np.concatenate([t[k] + (i if k == 0 else 0) for i, t in parts]) for k in range(3))
     back = np.arange(n) % 4 == 0
     if not 0 < y[back].sum() < back.sum() or not 0 < y[~back].sum() < (~back).sum():
         back = np.zeros(n, bool)
