@@ -54,10 +54,10 @@ def callers(entities: DataFrame, name: str, limit: int = 20) -> DataFrame:
     low = name.lower()
     calling = _references(entities, ["calls"], name).withColumn("rank", F.lit(1))
     importing = entities.filter(F.exists("is_a", lambda x: F.contains(F.lower(x), F.lit(low)))).withColumn("rank", F.lit(2))
-    both = best(calling.unionByName(importing), ["id"], ["rank"]).orderBy("rank", *ORDER).limit(limit)
+    both = settle(best(calling.unionByName(importing), ["id"], ["rank"]).orderBy("rank", *ORDER).limit(limit))
     rows = refined(both.withColumn("target", F.lit(name)), entities, "target")
     rows = rows.select(F.coalesce("fn_id", "id").alias("id"), F.coalesce("fn_name", "name").alias("name"), "file_path", F.coalesce("fn_type", "entity_type").alias("kind"), "rank")
-    rows = best(rows, ["id"], ["rank", "name"])
+    rows = settle(best(rows, ["id"], ["rank", "name"]))
     functions = rows.filter("kind <> 'module'").select(F.col("file_path").alias("_f")).distinct()
     modules = rows.filter("kind = 'module'").join(functions, F.col("file_path") == F.col("_f"), "left_anti")
     return rows.filter("kind <> 'module'").unionByName(modules)
