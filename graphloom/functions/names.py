@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 Name = Column | str
 
 #: Words of the syntax that extractors report as calls.
-SYNTAX_NOISE = ["def", "defp", "defmodule", "defmacro", "if", "else", "case", "cond", "do", "end", "fn", "when", "with", "for", "unless", "raise", "import", "alias", "use", "require", "@", "|>", "=", "->", "::", "__block__", "__aliases__"]
-#: Layers by directory, in the order in which the first match wins.
+SYNTAX_NOISE = (
+    "__block__ __aliases__ -> = :: << >> & |> fn {} %{} . @ \\\\ | <- <<>> == != || + - * / > < >= <= in not and or sigil_r sigil_H is_list length "
+    "use require import alias moduledoc doc shortdoc defstruct defdelegate behaviour callback impl"
+).split(" ")
+#: Names that say nothing in rankings.
+GRAPH_NOISE = "cn clsx cva classnames twMerge cx Comp Slot forwardRef createContext useContext createElement createPortal createRef memo Fragment Children React".split(" ")
+#: Layers by path segment, in the order in which the first match wins.
 LAYERS = {
-    "domain": ["domain", "core", "entities", "models", "model"],
-    "ports": ["ports", "port", "interfaces", "contracts"],
-    "adapters": ["adapters", "adapter", "infrastructure", "infra", "repositories"],
-    "services": ["services", "service", "usecases", "use_cases", "application"],
-    "web": ["controllers", "handlers", "routes", "web", "api", "views", "components", "pages"],
-    "lib": ["lib", "utils", "util", "helpers", "shared", "common"],
-    "tests": ["test", "tests", "spec", "__tests__"],
+    "ports": ["ports", "port", "contracts"],
+    "adapters": ["adapters", "adapter", "infrastructure", "infra"],
+    "domain": ["entities", "entity", "domain", "core", "models", "model"],
+    "application": ["services", "service", "usecases", "use-cases", "application", "app-services"],
+    "repositories": ["repositories", "repository", "repos", "repo"],
+    "api": ["api", "routes", "route", "controllers", "controller"],
+    "presentation": ["components", "component", "pages", "page", "views", "view", "ui", "hooks", "app"],
+    "lib": ["lib", "utils", "util", "helpers", "helper", "shared", "common"],
 }
 TEMP = ["/var/", "/tmp/", "/private/var/", "/private/tmp/"]
 LANGUAGES = {
@@ -63,15 +69,15 @@ def is_binding(name: Name) -> Column:
 def is_noise(name: Name) -> Column:
     """Names that say nothing in statistics."""
     n = _c(name)
-    return n.isin(SYNTAX_NOISE) | n.rlike("^[A-Z][a-z]{0,3}$") | is_binding(n)
+    return n.isin(GRAPH_NOISE) | n.rlike("^[A-Z][a-z]{0,3}$") | is_binding(n)
 
 
 def is_test_file(path: Name) -> Column:
-    return _c(path).rlike(r"(^|/)(test|tests|spec|__tests__)/|[._](test|spec)\.[A-Za-z]+$")
+    return _c(path).rlike(r"[._](test|spec)\.[^./]+$|/__tests__/")
 
 
 def is_test_collection(name: Name) -> Column:
-    return F.lower(_c(name)).rlike(r"(^|_)test(_|s_|s$|$)")
+    return _c(name).rlike("_test$|_test_")
 
 
 def is_temporary(path: Name) -> Column:
@@ -82,10 +88,9 @@ def is_temporary(path: Name) -> Column:
 
 
 def layer(path: Name, globs: dict[str, str] | None = None) -> Column:
-    """A configured glob first, then the first layer with a directory of its list, else other."""
+    """A configured glob first, then the first layer with a path segment of its list, else other."""
     p = _c(path)
-    parts = F.split(F.lower(p), "/")
-    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    folders = F.split(F.lower(p), "/")
     out = None
     for name, pattern in (globs or {}).items():
         hit = p.rlike(glob_regex(pattern))

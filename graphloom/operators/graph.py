@@ -9,8 +9,27 @@ from ..functions import names
 from ..storage import settle
 from .edges import ORDER, best, edges, matched, resolve_calls
 
-#: Names that frameworks call, which are never dead.
-CONVENTIONS = ["init", "start_link", "child_spec", "handle_call", "handle_cast", "handle_info", "handle_event", "terminate", "mount", "render", "main", "default", "GET", "POST", "PUT", "PATCH", "DELETE", "loader", "action", "middleware", "setup", "teardown"]
+#: What frameworks call by convention, so it is never dead.
+EXPORTS = "GET POST PUT PATCH DELETE HEAD OPTIONS default generateStaticParams generateMetadata loader action headers links handle".split(" ")
+GO_TESTS = ["Test", "Benchmark", "Fuzz", "Example"]
+CALLBACKS = (
+    "init terminate code_change child_spec start_link handle_call handle_cast handle_info handle_continue handle_demand handle_subscribe handle_cancel handle_events "
+    "handle_notify handle_message handle_batch handle_failed mount render update handle_params handle_event handle_async on_mount"
+).split(" ")
+FILES = "page layout loading error not-found template route global-error global-not-found sitemap robots manifest default".split(" ")
+WEB = ["javascript", "typescript", "tsx"]
+
+
+def conventional() -> F.Column:
+    """Entities that tests, routers or frameworks call without a call in the code."""
+    name, path, lang = F.col("name"), F.col("file_path"), F.coalesce("language", F.lit(""))
+    base = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]+$", "")
+    by_file = base.isin(FILES) & ((name == base) | name.rlike("^[A-Z]|^(get|fetch|load|generate)[A-Z]"))
+    go = F.lit(False)
+    for prefix in GO_TESTS:
+        go = go | name.startswith(prefix)
+    elixir = path.endswith("_controller.ex") | name.isin(CALLBACKS)
+    return names.is_test_file(path) | ((lang == "elixir") & elixir) | ((lang == "go") & go) | (lang.isin(WEB) & (name.isin(EXPORTS) | by_file | path.contains("components/ui/")))
 
 
 def find(entities: DataFrame, name: str) -> DataFrame:
@@ -170,7 +189,7 @@ def dead_code(entities: DataFrame, prefix: str | None = None, *, by_suffix: bool
     Conventions, tests and implementors of ports are spared.
     """
     public = entities.filter(F.col("entity_type").isin("function", "method", "macro") & (F.col("visibility") == "public"))
-    public = public.filter(~names.last_segment("name").isin([c.lower() for c in CONVENTIONS]) & ~names.is_test_file("file_path") & ~names.is_temporary("file_path") & ~F.col("file_path").contains("components/ui"))
+    public = public.filter(~conventional())
     if prefix:
         public = public.filter(F.col("file_path").startswith(prefix))
     calls = entities.select(F.explode("calls").alias("c")).select(F.lower("c").alias("c")).distinct()

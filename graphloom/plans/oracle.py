@@ -6,6 +6,8 @@ recursive query, so nothing of the Spark plans is repeated.
 
 from __future__ import annotations
 
+from ..functions.names import GRAPH_NOISE, LAYERS, SYNTAX_NOISE
+from ..operators.graph import CALLBACKS
 from .queries import BOUNDS, CUT, FILE, MODULE, ROOT, SEARCH
 
 ENTITIES = """
@@ -68,16 +70,18 @@ degrees AS (
   SELECT e.*, coalesce(i.n, 0) AS incoming_count, CAST(len(calls) + len(is_a) + len(contains) AS BIGINT) AS outgoing_degree
   FROM entities e LEFT JOIN (SELECT dst, CAST(sum(n) AS BIGINT) AS n FROM named WHERE dst IS NOT NULL GROUP BY dst) i ON e.id = dst)"""
 
-NOISE_WORDS = "('def','defp','defmodule','defmacro','if','else','case','cond','do','end','fn','when','with','for','unless','raise','import','alias','use','require','@','|>','=','->','::','__block__','__aliases__')"
+NOISE_WORDS = "(" + ", ".join(f"'{w}'" for w in SYNTAX_NOISE) + ")"
+GRAPH_WORDS = "(" + ", ".join(f"'{w}'" for w in GRAPH_NOISE) + ")"
 BINDING = "(name IS NULL OR name LIKE '[%' OR name LIKE '{%' OR name LIKE '%,%' OR name LIKE '% %')"
-NOISE = f"(name IN {NOISE_WORDS} OR regexp_matches(name, '^[A-Z][a-z]{{0,3}}$') OR {BINDING})"
+NOISE = f"(name IN {GRAPH_WORDS} OR regexp_matches(name, '^[A-Z][a-z]{{0,3}}$') OR {BINDING})"
 
-SPARED = "('init','start_link','child_spec','handle_call','handle_cast','handle_info','handle_event','terminate','mount','render','main','default','get','post','put','patch','delete','loader','action','middleware','setup','teardown')"
+SPARED = "(" + ", ".join(f"'{w}'" for w in CALLBACKS) + ")"
 DEAD = f"""
 used AS (SELECT lower(target) AS u FROM edges WHERE kind = 'calls' UNION SELECT {last("target")} FROM edges WHERE kind = 'calls'),
 dead AS (
-  SELECT * FROM entities e WHERE entity_type IN ('function', 'method', 'macro') AND visibility = 'public' AND {last("name")} NOT IN {SPARED}
-  AND NOT regexp_matches(file_path, '(^|/)(test|tests|spec|__tests__)/|[._](test|spec)\\.[A-Za-z]+$')
+  SELECT * FROM entities e WHERE entity_type IN ('function', 'method', 'macro') AND visibility = 'public'
+  AND NOT (language = 'elixir' AND (name IN {SPARED} OR ends_with(file_path, '_controller.ex'))) AND NOT (language = 'go' AND regexp_matches(name, '^(Test|Benchmark|Fuzz|Example)'))
+  AND NOT regexp_matches(file_path, '[._](test|spec)\\.[^./]+$|/__tests__/')
   AND NOT EXISTS (SELECT 1 FROM used WHERE u = lower(e.name))
   AND NOT EXISTS (SELECT 1 FROM entities p WHERE p.entity_type = 'interface' AND list_contains(list_transform(e.is_a, lambda x: lower(x)), lower(p.name))))"""
 
@@ -126,8 +130,7 @@ def versions(name: str, before: str | None) -> str:
     return f"{name} AS (SELECT 'users/' || CAST(user_id AS VARCHAR) AS path, upper(sha256(string_agg(line, chr(10) ORDER BY line))) AS sha256 FROM (SELECT user_id, lpad(CAST(event_id AS VARCHAR), 12, '0') || ':' || event_type AS line FROM events {cut}) GROUP BY user_id)"
 
 
-LAYERS = {"domain": "domain core entities models model", "ports": "ports port interfaces contracts", "adapters": "adapters adapter infrastructure infra repositories", "services": "services service usecases use_cases application", "web": "controllers handlers routes web api views components pages", "lib": "lib utils util helpers shared common", "tests": "test tests spec __tests__"}
-LAYER = "CASE " + " ".join(f"WHEN list_has_any(string_split(lower(file_path), '/')[:-2], {some.split()!r}) THEN '{name}'" for name, some in LAYERS.items()) + " ELSE 'other' END"
+LAYER = "CASE " + " ".join(f"WHEN list_has_any(string_split(lower(file_path), '/'), {some!r}) THEN '{name}'" for name, some in LAYERS.items()) + " ELSE 'other' END"
 
 
 def e(body: str, *more: str, recursive: bool = False) -> str:
@@ -145,7 +148,7 @@ ORACLE: dict[str, str] = {
     "glob_match": e("SELECT file_path, count(*) AS n FROM entities WHERE file_path SIMILAR TO 'src/(.*/)?NATION_1[^/]\\.[^/]*' OR file_path SIMILAR TO 'src/lib/[^/]*/econ[^/]*\\.js' GROUP BY file_path"),
     "import_paths": e("SELECT name, file_path FROM entities WHERE ends_with(regexp_replace(file_path, '\\.(ts|tsx|js|jsx)$', ''), 'lib/Brand_7/economy')"),
     "file_stems": e("SELECT lower(regexp_replace(regexp_replace(list_last(string_split(file_path, '/')), '\\.[^.]+$', ''), '[-_]', '', 'g')) AS stem, array_to_string(string_split(file_path, '/')[-3:-2], '/') AS folder, count(*) AS n FROM entities GROUP BY ALL"),
-    "collection_names": e("SELECT DISTINCT substr(ltrim(regexp_replace(lower(file_path), '[^a-z0-9_]', '_', 'g'), '_'), 1, 60) AS collection, regexp_matches(lower(file_path), '(^|_)test(_|s_|s$|$)') AS test FROM entities"),
+    "collection_names": e("SELECT DISTINCT substr(ltrim(regexp_replace(lower(file_path), '[^a-z0-9_]', '_', 'g'), '_'), 1, 60) AS collection, regexp_matches(file_path, '_test$|_test_') AS test FROM entities"),
     "entity_types": e("SELECT entity_type, count(*) AS n FROM entities GROUP BY 1"),
     "languages": e("SELECT language, count(*) AS n FROM entities GROUP BY 1"),
     "file_languages": e("SELECT CASE list_last(string_split(file_path, '.')) WHEN 'ex' THEN 'elixir' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'js' THEN 'javascript' WHEN 'rb' THEN 'ruby' ELSE 'unknown' END AS language, count(DISTINCT file_path) AS n FROM entities GROUP BY 1"),

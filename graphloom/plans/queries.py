@@ -16,7 +16,8 @@ from ..streaming import incremental, streams
 from . import adapters as ad
 
 ROOT, FILE, MODULE, SEARCH, CUT = "Events.user_2", "src/core/AFRICA/NATION_0.ex", "NATION_0", "thor and the", "2024-01-16 00:00:00"
-BOUNDS = [0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 50.0, 75.0, 100.0, 150.0, 200.0]
+#: Latency buckets.
+BOUNDS = [1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

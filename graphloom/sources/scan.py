@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import names
 
 #: Folders that are never indexed.
-IGNORED = [".git", ".hg", ".svn", "node_modules", "deps", "_build", "build", "dist", "target", "vendor", ".venv", "venv", "__pycache__", ".next", ".cache", "coverage", "tmp"]
+IGNORED = (
+    "node_modules .next dist build .expo .turbo coverage __generated__ .cache vendor _build deps .elixir_ls .git .svn .hg target .venv __pycache__ "
+    ".mypy_cache .pytest_cache .ruff_cache .tox out"
+).split(" ")
 
 
 @dataclass
