@@ -108,7 +108,7 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     n, rank, k = len(tokens), tokens.astype(np.int64), 1
     while True:
         ahead = np.zeros(n, np.int64)
-        if k < depth:
+        if k < min(depth, n):
             ahead[: n - k] = rank[k:]
         key = rank * (int(rank.max(initial=0)) + 1) + ahead
         order = np.argsort(key, kind="stable")

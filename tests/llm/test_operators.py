@@ -133,6 +133,24 @@ def test_suffix_array():
     assert keys == sorted(keys) and sorted(order) == list(range(200))
 
 
+@pytest.mark.parametrize("n", range(1, 12))
+def test_suffix_array_of_few_tokens(n):
+    tokens = np.array([RNG.randrange(1, 3) for _ in range(n)])
+    padded = [*tokens.tolist(), *[0] * 10]
+    order = decontaminate.suffix_array(tokens, 10).tolist()
+    keys = [padded[i : i + 10] for i in order]
+    assert keys == sorted(keys) and sorted(order) == list(range(n))
+
+
+@pytest.mark.parametrize("n", (2, 4, 5, 6))
+def test_one_short_item_in_a_batch(spark, n):
+    item = " ".join(f"short{i}" for i in range(n))
+    d = spark.createDataFrame([(1, f"before {item} after")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", item)], "item_id string, text string")
+    assert rows_of(decontaminate.annotate(d, items), "doc_id", "n_hit", "n_items", "contaminated") == [(1, n, 1, True)]
+    assert decontaminate.remove(d, items).count() == 0
+
+
 # --- 3, 5
 
 
