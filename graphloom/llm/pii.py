@@ -37,7 +37,8 @@ KINDS = {
     "name": r"(?<!\p{L})(?:" + "|".join(HONORIFICS) + r")\.?\x20\p{Lu}[\p{L}'-]++(?:\x20\p{Lu}[\p{L}'-]++){0,2}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-GUARD = r"[0-9][0-9. -]|@|\([0-9]|\b(?:" + "|".join(HONORIFICS) + r")\b"
+#: Admits every text that PATTERN can match in.
+GUARD = r"[0-9][0-9. -]|@|\([0-9]|(?<!\p{L})(?:" + "|".join(HONORIFICS) + r")\.?\x20\p{Lu}"
 
 #: Alphabets whose letters change places with each other.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãéèêëíìîïóòôöõúùûü", "çñß", "аеиоуыэюя", "бвгдзклмнпрстфхцчшщж", "αεηιουω", "βγδζθκλμνξπρστφχψ"]

@@ -384,6 +384,16 @@ def test_surrogates_of_distinct_entities_differ(spark):
     assert all(a != b for a, b in rows_of(pii.annotate(d).join(d.withColumnRenamed("text", "old"), "doc_id"), "text", "old"))
 
 
+def test_names_after_underscores_and_digits(spark):
+    texts = ["_Mr. Smith_", "__Mrs Jones__", "1Dr. Brown", "_Господин Иванов_", "_Κύριος Παπαδόπουλος_"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.annotate(d).collect()}
+    assert all(got[i]["n_name"] == 1 and got[i]["text"] != t for i, t in enumerate(texts))
+    assert all(r["text"] != texts[r["doc_id"]] for r in pii.redact(d).collect())
+    with_at = spark.createDataFrame([(i, t + " @") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert all(r["text"] == got[r["doc_id"]]["text"] + " @" for r in pii.annotate(with_at).collect())
+
+
 # --- shared
 
 
