@@ -11,8 +11,12 @@ or that many of its words, is boilerplate and only what is between stays.  A pag
 article that two pages share is still the article, so there the suffix array
 is only reported, in ``n_repeated``.
 
-Hosts of more than ``SHARD`` pages are cut by a hash of the page into shards of
-about that size, each with a suffix array of its own, so no host is one task.
+Hosts of more than ``SHARD`` pages or ``SHARD_BYTES`` of html are cut by a hash
+of the page into shards of about that size, so no host is one task.  What
+repeats is still decided over the whole host: each shard gives the 64-bit hashes
+of its runs of ``RUN`` words, and which of them it has on distinct pages; these
+meet by host and hash, and each shard gets back those that stand on distinct
+pages of the host.  So the size of a shard changes no result.
 
 Defined edge cases: null html gives empty text; a null url is a host of its
 own; an unclosed element ends with its parent, an unclosed comment with the
@@ -36,10 +40,12 @@ from . import textmodel as tm
 from .decontaminate import suffix_array
 
 RUN, SHARD = 5, 250
-#: Pages and bytes of one suffix array at most (a longer page alone).
+#: Pages (``SHARD``) and bytes of html of a shard, about.
 SHARD_BYTES = 8 << 20
 #: Hot hosts that may be broadcast.
 HOSTS = 1 << 16
+#: Tasks at most among which the runs of one host are dealt.
+BUCKETS = 1 << 10
 
 #: Elements by their part in a page.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "head", "math", "object", "canvas", "audio", "video"}
@@ -130,17 +136,62 @@ def host_of(column: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.col(column), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def repeated(pages: list[object], texts: list[bytes], run: int) -> tuple[at.Spans, np.ndarray]:
-    """Words of the texts, and which stand in a run of ``run`` words found on distinct pages."""
+def run_hashes(word: np.ndarray, row: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of the ``run`` words from each word on, and whether they all stand in its row."""
+    n = len(word)
+    ahead, h = np.concatenate([word, np.zeros(run, np.uint64)]), np.zeros(n, np.uint64)
+    for k in range(run):
+        h = h * np.uint64(at.BASE) + ahead[k : k + n]
+    whole = np.zeros(n, bool)
+    if n >= run:
+        whole[: n - run + 1] = row[run - 1 :] == row[: n - run + 1]
+    return at.mix(h).view(np.int64), whole
+
+
+def words_of(texts: list[bytes]) -> tuple[at.Spans, np.ndarray]:
+    """Words of the texts and their hashes."""
     data, offsets = at.buffer(pa.array(texts, pa.large_binary()))
     spans = at.Spans(data, offsets, ~at.WHITE)
+    return spans, at.Hasher(data, tm.VALUES).spans(spans.start, spans.end) if len(spans) else np.zeros(0, np.uint64)
+
+
+def repeated(pages: list[object], rows: list[int], texts: list[bytes], run: int, known: np.ndarray | None = None) -> tuple[at.Spans, np.ndarray]:
+    """Words of the texts, and which stand in a run of ``run`` words found on distinct pages.
+
+    pages, rows: of each text.  known: hashes of the repeated runs, in order; without, these texts are all there are.
+    """
+    spans, hashes = words_of(texts)
     if not len(spans):
         return spans, np.zeros(0, bool)
-    _, word = np.unique(at.Hasher(data, tm.VALUES).spans(spans.start, spans.end), return_inverse=True)
+    row = np.array(rows)[spans.row]
+    found = _covered(hashes, row, run, known) if known is not None else _covered_of_all(hashes, row, pages, spans, run)
+    edge = np.ones(len(found), bool)  # a stretch of a block; it counts if it is long or the whole block
+    edge[1:] = (found[1:] != found[:-1]) | (spans.row[1:] != spans.row[:-1])
+    at_ = np.flatnonzero(edge)
+    length = np.diff(np.append(at_, len(found)))
+    counts = np.where((length >= run) | (length == spans.counts()[spans.row[at_]]), found[at_], False)
+    return spans, np.repeat(counts, length)
+
+
+def _covered(hashes: np.ndarray, row: np.ndarray, run: int, known: np.ndarray) -> np.ndarray:
+    """Words within a run whose hash is known."""
+    hit = np.zeros(0, np.int64)
+    if len(known):
+        h, whole = run_hashes(hashes, row, run)
+        hit = np.flatnonzero(whole & (known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h))
+    cover = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(cover, hit, 1)
+    np.add.at(cover, hit + run, -1)
+    return np.cumsum(cover)[:-1] > 0
+
+
+def _covered_of_all(hashes: np.ndarray, row: np.ndarray, pages: list[object], spans: at.Spans, run: int) -> np.ndarray:
+    """Words within a run that the suffix array shows on distinct pages."""
+    _, word = np.unique(hashes, return_inverse=True)
     number = {p: i for i, p in enumerate(dict.fromkeys(pages))}
     page = np.array([number[p] for p in pages])[spans.row]
-    edge = np.concatenate([[True], page[1:] != page[:-1]]) if len(page) else np.zeros(0, bool)
-    at_ = np.arange(len(word)) + np.cumsum(edge)  # a 0 before each page: no run crosses it
+    edge = np.concatenate([[True], row[1:] != row[:-1]])
+    at_ = np.arange(len(word)) + np.cumsum(edge)  # a 0 before each row: no run crosses it
     stream = np.zeros(int(at_[-1]) + 1 + run, np.int64)
     stream[at_] = word + 1
     of = np.full(len(stream), -1)
@@ -162,19 +213,13 @@ def repeated(pages: list[object], texts: list[bytes], run: int) -> tuple[at.Span
     cover = np.zeros(len(stream) + run + 1, np.int64)
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + run, -1)
-    found = (np.cumsum(cover)[: len(stream)] > 0)[at_]
-    edge = np.ones(len(found), bool)  # a stretch of a block; it counts if it is long or the whole block
-    edge[1:] = (found[1:] != found[:-1]) | (spans.row[1:] != spans.row[:-1])
-    at_ = np.flatnonzero(edge)
-    length = np.diff(np.append(at_, len(found)))
-    counts = np.where((length >= run) | (length == spans.counts()[spans.row[at_]]), found[at_], False)
-    return spans, np.repeat(counts, length)
+    return (np.cumsum(cover)[: len(stream)] > 0)[at_]
 
 
-def main_texts(pages: list[object], roles: list[str], texts: list[list[str]], run: int) -> list[tuple[str, int, int]]:
+def main_texts(pages: list[object], roles: list[str], texts: list[list[str]], run: int, known: np.ndarray | None = None) -> list[tuple[str, int, int]]:
     """Text, blocks and repeated words of each page of a shard."""
     flat = [t.encode("utf-8", "surrogatepass") for some in texts for t in some]
-    spans, hit = repeated([p for p, some in zip(pages, texts, strict=True) for _ in some], flat, run)
+    spans, hit = repeated([p for p, some in zip(pages, texts, strict=True) for _ in some], [i for i, some in enumerate(texts) for _ in some], flat, run, known)
     counts = np.bincount(spans.row, weights=hit, minlength=len(flat)).astype(np.int64)
     first = np.searchsorted(spans.row, np.arange(len(flat) + 1))
     out, base = [], 0
@@ -196,50 +241,133 @@ def main_texts(pages: list[object], roles: list[str], texts: list[list[str]], ru
     return out
 
 
+def shard_runs(keys: list[int], texts: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, page key) of each distinct run of each page."""
+    spans, hashes = words_of([t.encode("utf-8", "surrogatepass") for some in texts for t in some])
+    row = np.array([i for i, some in enumerate(texts) for _ in some], np.int64)[spans.row]
+    h, whole = run_hashes(hashes, row, run)
+    key = np.array(keys, np.int64)[row[whole]]
+    order = np.lexsort((key, h[whole]))
+    h, key = h[whole][order], key[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
+    return h[fresh], key[fresh]
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterator[tuple[tuple | None, pa.RecordBatch | None]]:
+    """(key, rows) of each stretch of rows of one key, in order; (None, None) at the end."""
+    for batch in batches:
+        first, second = batch.column(keys[0]).dictionary_encode(), batch.column(keys[1]).to_numpy()
+        code = first.indices.to_numpy()
+        edge = (np.flatnonzero((code[1:] != code[:-1]) | (second[1:] != second[:-1])) + 1).tolist()
+        for a, b in zip([0, *edge], [*edge, batch.num_rows], strict=True):
+            if a < b:
+                yield (first.dictionary[int(code[a])].as_py(), int(second[a])), batch.slice(a, b - a)
+    yield None, None
+
+
+def repeated_runs(shards: DataFrame, run: int) -> DataFrame:
+    """(host, cut, runs): hashes of the runs that stand on distinct pages of their host, for each shard that has them.
+
+    shards: the pages, each shard together.  A page is in one shard only, so
+    what two shards have stands on two pages.  Hosts of one shard are left out.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, hashes, keys, cuts = None, [], [], 0
+        for key, rows in _groups(batches, ("host", "cut")):
+            if key != here:
+                if hashes:
+                    yield from cells(here, _joined(hashes), _joined(keys), cuts)
+                here, hashes, keys = key, [], []
+            if rows is not None and (cuts := rows.column("cuts")[0].as_py()):
+                for i in range(0, rows.num_rows, 256):
+                    some = rows.slice(i, 256)
+                    h, k = shard_runs(some.column("page_key").to_pylist(), some.column("blocks").to_pylist(), run)
+                    hashes.append(h)
+                    keys.append(k)
+
+    def cells(shard: tuple[str, int], h: np.ndarray, key: np.ndarray, cuts: int) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(h, kind="stable")
+        h, key = h[order], key[order]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+        if not len(start):
+            return
+        again = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
+        h = h[start]
+        bucket = (h.view(np.uint64) % np.uint64(min(BUCKETS, 1 + cuts // 8))).astype(np.int64)
+        order = np.lexsort((~again, bucket))
+        h, again, bucket = h[order], again[order], bucket[order]
+        at_ = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        n = len(at_)
+        ends = np.append(at_[1:], len(h)).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([shard[0]] * n, pa.string()), pa.array(bucket[at_]), pa.array([shard[1]] * n, pa.int64()), pa.array(np.add.reduceat(again.astype(np.int64), at_)),
+                pa.array([h[a:b].tobytes() for a, b in zip(at_.tolist(), ends, strict=True)], pa.binary()),
+            ],
+            ["host", "bucket", "cut", "again", "runs"],
+        )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, cut, again, runs = None, [], [], []
+        for key, rows in _groups(batches, ("host", "bucket")):
+            if key != here:
+                if cut:
+                    yield from shared(here[0], cut, again, runs)
+                here, cut, again, runs = key, [], [], []
+            if rows is not None:
+                cut += rows.column("cut").to_pylist()
+                again += rows.column("again").to_pylist()
+                runs += [np.frombuffer(r, np.int64) for r in rows.column("runs").to_pylist()]
+
+    def shared(host: str, cut: list[int], again: list[int], runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(r) for r in runs])
+        h = _joined(runs)
+        twice = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(again, size)
+        order = np.argsort(h, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        n = np.diff(np.append(start, len(h)))
+        keep = np.zeros(len(h), bool)
+        keep[order] = np.repeat((n > 1) | np.maximum.reduceat(twice[order], start), n)
+        out = [(c, r[k]) for c, r, k in zip(cut, runs, np.split(keep, np.cumsum(size)[:-1]), strict=True)]
+        out = [(c, r.tobytes()) for c, r in out if len(r)]
+        yield pa.RecordBatch.from_arrays([pa.array([host] * len(out), pa.string()), pa.array([c for c, _ in out], pa.int64()), pa.array([r for _, r in out], pa.binary())], ["host", "cut", "runs"])
+
+    found = shards.mapInArrow(emit, "host string, bucket long, cut long, again long, runs binary")
+    return found.repartition("host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(meet, "host string, cut long, runs binary")
+
+
 def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", run: int = RUN, shard: int = SHARD) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks and n_repeated of every page."""
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_column, url_column))
-    source = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.coalesce(host_of(url_column), F.lit("")).alias("host"), F.col(html_column).alias("text"))
-    hot = source.groupBy("host").count().filter(F.col("count") > shard).select(F.col("host").alias("hot"), F.ceil(F.col("count") / shard).alias("cuts"))
+    source = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.coalesce(host_of(url_column), F.lit("")).alias("host"), F.xxhash64(id_column).alias("page_key"), F.col(html_column).alias("text"))
+    cuts = F.greatest(F.ceil(F.count("*") / shard), F.ceil(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / SHARD_BYTES))
+    hot = source.groupBy("host").agg(cuts.alias("n")).filter(F.col("n") > 1).select(F.col("host").alias("hot"), "n")
     if hot.limit(HOSTS + 1).count() <= HOSTS:
         hot = F.broadcast(hot)
-    cut = F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("cuts")))
-    source = source.join(hot, F.col("host") == F.col("hot"), "left").select("page_id", "url", "host", cut.alias("cut"), "text")
+    cut = F.coalesce(F.pmod(F.xxhash64("page_key"), F.col("n")), F.lit(0))  # by the page's id alone, so all its rows are in one shard
+    source = source.join(hot, F.col("host") == F.col("hot"), "left").select("page_id", "url", "host", "page_key", cut.alias("cut"), F.coalesce("n", F.lit(0)).alias("cuts"), "text")
 
     def read(part: pa.RecordBatch) -> list[pa.Array]:
         found = [blocks(t.decode("utf-8", "replace")) for t in at.as_bytes(part.column("text")).to_pylist()]
         return [pa.array(["".join(r for r, _ in b) for b in found], pa.string()), pa.array([[t for _, t in b] for b in found], pa.list_(pa.string()))]
 
-    parsed = tm.map_slices(source, f"page_id {id_type}, url {url_type}, host string, cut long, roles string, blocks array<string>", read, ["page_id", "url", "host", "cut"])
-    parsed = parsed.repartition("host", "cut").sortWithinPartitions("host", "cut")
-    names = ["page_id", "url", "text", "n_chars", "n_blocks", "n_repeated"]
-
-    def run_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size, schema = 0, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            found = main_texts([r["page_id"] for r in held], [r["roles"] for r in held], [r["blocks"] for r in held], run)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["page_id"] for r in held], schema.field("page_id").type), pa.array([r["url"] for r in held], schema.field("url").type), pa.array([t for t, _, _ in found], pa.string()),
-                    pa.array([len(t) for t, _, _ in found], pa.int64()), pa.array([b for _, b, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int64()),
-                ],
-                names,
-            )
-            held.clear()
+    kept = ["page_id", "url", "host", "page_key", "cut", "cuts"]
+    parsed = tm.map_slices(source, f"page_id {id_type}, url {url_type}, host string, page_key long, cut long, cuts long, roles string, blocks array<string>", read, kept)
+    shards = parsed.repartition("host", "cut").sortWithinPartitions("host", "cut")
+    known = repeated_runs(shards, run)
+
+    def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
+        runs = np.unique(_joined([np.frombuffer(r, np.int64) for r in found.column("runs").to_pylist()])) if rows.num_rows and rows.column("cuts")[0].as_py() else None
+        ids = rows.column("page_id").to_pylist()
+        done = main_texts(ids, rows.column("roles").to_pylist(), rows.column("blocks").to_pylist(), run, runs)
+        counts = [pa.array([x[k] for x in done], pa.int64()) for k in (1, 2)]
+        texts = pa.array([t for t, _, _ in done], pa.string())
+        return pa.table([rows.column("page_id"), rows.column("url"), texts, pa.array([len(t) for t, _, _ in done], pa.int64()), *counts], ["page_id", "url", "text", "n_chars", "n_blocks", "n_repeated"])
 
-        for batch in batches:
-            schema = batch.schema
-            for i in range(0, batch.num_rows, 256):
-                for row in batch.slice(i, 256).to_pylist():
-                    if held and ((held[-1]["host"], held[-1]["cut"]) != (row["host"], row["cut"]) or size > SHARD_BYTES):
-                        yield from flush()
-                        size = 0
-                    held.append(row)
-                    size += sum(map(len, row["blocks"]))
-        yield from flush()
-
-    return parsed.mapInArrow(run_shards, f"page_id {id_type}, url {url_type}, text string, n_chars long, n_blocks long, n_repeated long")
+    return shards.groupBy("host", "cut").cogroup(known.groupBy("host", "cut")).applyInArrow(finish, f"page_id {id_type}, url {url_type}, text string, n_chars long, n_blocks long, n_repeated long")

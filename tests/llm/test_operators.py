@@ -219,6 +219,22 @@ def test_hot_hosts_are_cut(spark):
     assert rows_of(got, "page_id", "text") == sorted(((i, f"text {i}") for i in range(40)), key=repr)
 
 
+def test_shards_of_a_host_change_no_result(spark, monkeypatch):
+    rare, often = "a rare notice that stands on two pages only", "the notice of every single page here"
+    bodies = [f"<body><p>{often}</p><p>{prose(RNG.randrange(3, 30))}</p>{f'<p>{rare}</p>' if i in (3, 31) else ''}<p>end {i} of it</p></body>" for i in range(40)]
+    rows = [(i, "http://hot/x", b) for i, b in enumerate(bodies)] + [(None, "http://hot/x", bodies[5]), (7, "http://hot/x", bodies[7]), (50, "http://hot/x", None)]
+    rows += [(60 + i, f"http://cold{i % 2}/", f"<p>{rare}</p><p>more {i}</p>") for i in range(2)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    columns = ["page_id", "text", "n_chars", "n_blocks", "n_repeated"]
+    want = rows_of(html.extract(d, shard=1000), *columns)
+    texts = {r[0]: r[1] for r in want}
+    assert rare not in texts[3] and rare not in texts[31] and rare in texts[60] and rare in texts[61]
+    for size in (1, 2, 7, 20):
+        assert rows_of(html.extract(d, shard=size), *columns) == want
+    monkeypatch.setattr(html, "SHARD_BYTES", 600)
+    assert rows_of(html.extract(d, shard=1000), *columns) == want
+
+
 # --- 6, 8, 10
 
 
