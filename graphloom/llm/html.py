@@ -3,7 +3,11 @@
 A page is read into blocks in page order, each with a role: ``M`` within an
 article or main element, ``F`` for furniture (navigation, footers, adverts,
 forms, notices, comments, ...; scripts, styles, markup comments and the head
-give no blocks), ``U`` where the structure doesn't tell.  The words of all
+give no blocks), ``U`` where the structure doesn't tell.  A class or id may only
+hint at furniture: an article or main element in such a block is main text
+again, unless the hint, there or on the article itself, is of comments or
+related articles; then it is furniture.  Classes like has-sidebar are no hint.
+The words of all
 blocks of a host's pages form one token stream; its suffix array, sorted to
 ``RUN`` tokens, shows every run of at least that many words that stands on two
 or more distinct pages.  In a ``U`` block such a run, if it covers the whole block
@@ -57,10 +61,14 @@ BLOCK = {
     "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: A word that a modifier class only speaks about, as in has-sidebar or no-sidebar.
+BARE = r"(?<![a-z])(?<!(?<![a-z])has[-_])(?<!(?<![a-z])with[-_])(?<!(?<![a-z])no[-_])(?<!(?<![a-z])without[-_])"
 HINT = re.compile(
-    r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?(?<![a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])",
+    rf"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?{BARE}(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])",
     re.I,
 )
+#: Hints of articles that aren't the page's own: classes that begin so, but for a state as in comments-open.
+OTHERS = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?(?<![a-z0-9_-])(?:comments?|related)(?![a-z])(?![-_](?:open|closed|enabled|disabled|on|off)(?![a-z]))", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
@@ -71,6 +79,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
     held: list[str] = []
     inside = 0  # open article and main elements
     skip, depth = "", 0  # furniture element and its open namesakes
+    why, within = "", 0  # what made it furniture, and article and main elements open within it
+    under: list[tuple[str, int, str, int, int]] = []  # skip, depth, why, within and inside of blocks that an article or main has reopened
     place = 0
 
     def flush() -> None:
@@ -80,6 +90,34 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 out.append(("F" if skip else "M" if inside else "U", text))
             held.clear()
 
+    def furniture(name: str, attributes: str) -> str:
+        """Why an element that opens is furniture: itself, a hint, a hint of others' articles; or not."""
+        if name in CONTAINER:
+            return "others" if attributes and OTHERS.search(attributes) else ""
+        if name in FURNITURE and not (name == "header" and inside):
+            return "itself"
+        if attributes and name not in ("html", "body") and HINT.search(attributes):
+            return "others" if OTHERS.search(attributes) else "hint"
+        return ""
+
+    def counted(name: str, close: bool) -> None:
+        """Namesakes of a reopened block; it may end before the article in it."""
+        nonlocal inside
+        if under and name == under[-1][0]:
+            s, d, w, n, before = under.pop()
+            d += -1 if close else 1
+            if d > 0:
+                under.append((s, d, w, n, before))
+            else:
+                inside = before
+
+    def closed() -> None:
+        """An article or main ends; text in a reopened block is furniture again."""
+        nonlocal inside, skip, depth, why, within
+        inside = max(0, inside - 1)
+        if under and inside <= under[-1][4]:
+            skip, depth, why, within, inside = under.pop()
+
     while (m := TAG.search(page, place)) is not None:
         if m.start() > place:
             held.append(page[place : m.start()])
@@ -99,12 +137,15 @@ def blocks(page: str) -> list[tuple[str, str]]:
             hinted = not close and not skip and name not in VOID and m[3] and HINT.search(m[3])
             if hinted:
                 flush()
-                skip, depth = name, 1
+                skip, depth, why, within = name, 1, "others" if OTHERS.search(m[3]) else "hint", 0
             elif skip == name:
                 depth += -1 if close else 1
                 if depth == 0:
                     flush()
                     skip = ""
+            elif under and not skip and name == under[-1][0]:
+                flush()
+                counted(name, close)
             continue
         flush()
         if skip:
@@ -112,21 +153,34 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 depth += -1 if close else (0 if name in ("p", "li") else 1)
                 if not close and name in ("p", "li"):
                     depth = 0
-            elif skip == "p" or (close and name in CONTAINER) or (close and name == "body"):
-                depth = 0  # a paragraph ends at any block, anything at its parent's end
-            if depth <= 0:
-                skip = ""
-                if close and name in CONTAINER:
-                    inside = max(0, inside - 1)
-                if close or name not in FURNITURE and not HINT.search(m[3]):
-                    inside += name in CONTAINER and not close
+            elif skip == "p":
+                depth = 0  # a paragraph ends at any block
+            elif name in CONTAINER and not close:
+                if (why == "hint" or (why == "others" and name == "main")) and not OTHERS.search(m[3] or ""):
+                    under.append((skip, depth, why, within, inside))
+                    skip = ""
+                    inside += 1
                     continue
-            else:
+                within += 1
+            elif name in CONTAINER and within:
+                within -= 1
+            elif close and (name in CONTAINER or name == "body"):
+                depth = 0  # anything ends at its parent's end
+            if depth > 0:
                 continue
-        if name in CONTAINER:
-            inside = max(0, inside + (-1 if close else 1))
-        elif not close and ((name in FURNITURE and not (name == "header" and inside)) or (m[3] and name not in ("html", "body") and HINT.search(m[3]))):
-            skip, depth = name, 1
+            ended, skip, within = skip, "", 0
+        else:
+            ended = ""
+        if close:
+            if name in CONTAINER and name != ended:
+                closed()
+            elif name != ended:
+                counted(name, close)
+        elif reason := furniture(name, m[3]):
+            skip, depth, why, within = name, 1, reason, 0
+        else:
+            counted(name, close)
+            inside += name in CONTAINER
     held.append(page[place:])
     flush()
     return out

@@ -213,6 +213,30 @@ def test_html_main_text(spark):
     assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == len(rows)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="site has-sidebar"><article><p>story</p></article></div>', "Mstory"),
+        ('<div class="page no-sidebar">story</div>', "Ustory"),
+        ('<div class="casino-banner">buy</div>', "Fbuy"),
+        ('<div class="site sidebar"><p>a</p><article><div>b</div><p>story</p></article><p>c</p></div><p>d</p>', "Fa Mb Mstory Fc Ud"),
+        ('<div id="menu-page"><main><div class="ad">buy</div>story<div>more</div></main>x</div>y', "Fbuy Mstory Mmore Fx Uy"),
+        ('<div class="sidebar"><article>story</div><p>after</p>', "Mstory Uafter"),
+        ('<my-box class="widget"><article>story</article>x</my-box>y', "Mstory Fx Uy"),
+        ('<p>story</p><article class="comment"><p>me too</p><article class="comment">and me</article>x</article><p>end</p>', "Ustory Fme too Fand me Fx Uend"),
+        ('<article>story<article class="comment">me too</article>more</article>y', "Mstory Fme too Mmore Uy"),
+        ('<div class="related"><article>other</article><article>third</article>x</div><p>y</p>', "Fother Fthird Fx Uy"),
+        ('<aside><article>other</article>x</aside>y', "Fother Fx Uy"),
+        ('<div class="comments-open"><article class="post comments-open">story</article></div>', "Mstory"),
+        ('<div class="comments-page"><main>story</main></div>', "Mstory"),
+        ('<article><div class="ad">buy</article>y', "Fbuy Uy"),
+        ('<article>story<section class="comments"><article>me</article><article>you</article></section>end</article>y', "Mstory Fme Fyou Mend Uy"),
+    ],
+)
+def test_hints_and_articles(page, want):
+    assert " ".join(r + t for r, t in html.blocks(f"<body>{page}</body>")) == want
+
+
 def test_hot_hosts_are_cut(spark):
     rows = [(i, "http://hot/x", f"<article><p>text {i}</p></article>") for i in range(40)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=7)
