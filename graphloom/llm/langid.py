@@ -7,7 +7,8 @@ ties going to the larger sum of margins.  The score is the product of the
 logistic transforms of the winning family margin and of the mean margin of the
 winner's duels.
 
-Fitted on at most ``per_language`` rows per language by a hash of the id.
+Every language of the labelled rows is learned, on at most ``PER_LANGUAGE`` rows
+of it by a hash of the id.
 Defined edge cases: null text, or one without a letter, is ``und`` with score
 0; with no labelled rows every text is ``und``; with one language every text
 with a letter gets it; a text whose letters are all unseen still gets the most
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from . import arrowtext as at
 from . import textmodel as tm
 
-#: Rows per language of the training sample, and languages at most (the most frequent).
-PER_LANGUAGE, LANGUAGES = 400, 64
+#: Rows per language of the training sample.
+PER_LANGUAGE = 400
 
 #: Language families by ISO 639-1 code; any other code is a family of its own.
 FAMILIES = {
@@ -92,18 +93,23 @@ def fit(examples: list[tuple[str, str]], steps: int = 40) -> Model:
     of = np.array([lang for lang, _ in examples])
     family = np.array([FAMILY_OF.get(lang, lang) for lang in of])
     columns: list[tuple[np.ndarray, float]] = []
+
+    def learn(y: np.ndarray, use: np.ndarray | None = None) -> None:
+        w, b = tm.fit_linear(x, y, tm.hinge_slope, use=use, steps=steps)
+        columns.append((w.astype(np.float32), b))
+
     duels: list[list[tuple[int, int, int]]] = []
     if len(families) > 1:
         for f in families:
-            columns.append(tm.fit_linear(x, np.where(family == f, 1, -1), tm.hinge_slope, steps=steps))
+            learn(np.where(family == f, 1, -1))
     for some in languages:
         duels.append([])
         for a in range(len(some)):
             for b in range(a + 1, len(some)):
                 duels[-1].append((a, b, len(columns)))
                 use = (of == some[a]) | (of == some[b])
-                columns.append(tm.fit_linear(x, np.where(of == some[a], 1, -1), tm.hinge_slope, use=use, steps=steps))
-    weights = np.stack([w for w, _ in columns], axis=1).astype(np.float32) if columns else np.zeros((tm.BUCKETS, 0), np.float32)
+                learn(np.where(of == some[a], 1, -1), use)
+    weights = np.stack([w for w, _ in columns], axis=1) if columns else np.zeros((tm.BUCKETS, 0), np.float32)
     return Model(families, languages, weights, np.array([b for _, b in columns]), duels)
 
 
@@ -111,10 +117,7 @@ def train(docs: DataFrame, *, held_out: tuple[int, int] = (3, 1), id_column: str
     """Fit on rows with a language whose id is outside the held-out fold."""
     labelled = docs.select(F.col(id_column).alias("id"), F.col(lang_column).alias("class")).filter(F.col("class").isNotNull())
     labelled = labelled.filter(tm.fold("id", held_out[0]) != held_out[1])
-    frequent = [r[0] for r in labelled.groupBy("class").count().orderBy(F.desc("count"), "class").limit(LANGUAGES).collect()]
-    if not frequent:
-        return Model()
-    rows = tm.sample(docs, labelled.filter(F.col("class").isin(frequent)), PER_LANGUAGE, id_column, text_column)
+    rows = tm.sample(docs, labelled, PER_LANGUAGE, id_column, text_column)
     return fit([(lang, text) for _, lang, text in rows])
 
 

@@ -33,19 +33,21 @@ def fold(id_column: str, parts: int) -> Column:
 def sample(docs: DataFrame, classes: DataFrame, per_class: int, id_column: str = "doc_id", text_column: str = "text") -> list[tuple]:
     """(id, class, text) of at most ``per_class`` labelled rows of each class.
 
-    classes: (id, class), few classes.  The rows are the first by a hash of the
+    classes: (id, class).  The rows are the first by a hash of the
     id, chosen without their texts, and only the chosen ids meet the documents.
     Classes are counted first, and only hashes below a bound that lets about
     ``SPARE`` times as many through are ranked, so no class is sorted whole.
     """
-    bound = F.lit(0)
-    for r in classes.groupBy("class").count().collect():
-        bound = F.when(F.col("class") == r[0], min(1 << 30, (SPARE * per_class << 30) // r[1])).otherwise(bound)
+    sizes = classes.groupBy("class").count().collect()
+    bound = F.when(F.lit(False), 0)
+    for r in sizes:
+        bound = bound.when(F.col("class") == r[0], min(1 << 30, (SPARE * per_class << 30) // r[1]))
+    bound = bound.otherwise(0)
     classes = classes.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < bound)
     order = Window.partitionBy("class").orderBy(F.xxhash64("id"), "id")
     chosen = classes.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).select("id", "class")
     texts = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("body")).filter(F.octet_length("body") <= SAMPLE_TEXT)
-    rows = texts.join(F.broadcast(chosen), F.col("key") == F.col("id")).select("id", "class", "body").limit(64 * per_class).collect()
+    rows = texts.join(F.broadcast(chosen), F.col("key") == F.col("id")).select("id", "class", "body").limit(max(64, SPARE * len(sizes)) * per_class).collect()
     return sorted((tuple(r) for r in rows), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), str(r[1]), r[2]))
 
 

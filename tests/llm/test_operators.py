@@ -275,6 +275,17 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_more_than_64_languages(spark):
+    names = [f"l{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    rows = [(40 * i + k, " ".join(f"{n}{RNG.choice('bcdfg')}o" for _ in range(12)), n) for i, n in enumerate(names) for k in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d)
+    assert model.families == names
+    assert all(r["lang_pred"] == r["lang"] for r in langid.annotate(d, model).join(d, "doc_id").collect())
+    few = textmodel.sample(d, d.select(F.col("doc_id").alias("id"), F.col("lang").alias("class")), 1)
+    assert sorted(lang for _, lang, _ in few) == names
+
+
 def test_quality_counts_are_brute_force(spark, docs):
     got = rows_of(quality.annotate(docs, quality.Model()), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     want = []
