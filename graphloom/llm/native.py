@@ -33,6 +33,22 @@ def running(a: Column) -> Column:
     return let(blocks, lambda s: let(F.transform(s, lambda x, b: F.aggregate(F.slice(s, F.lit(1), b), F.lit(0), lambda t, y: t + y)), with_bases))
 
 
+def running_max(a: Column) -> Column:
+    """Inclusive running maxima of an int array, in blocks."""
+
+    def of(a: Column) -> Column:
+        tops = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(a), F.lit(1)) - 1) / BLOCK).cast("int")), lambda b: F.array_max(F.slice(a, b * BLOCK + 1, F.lit(BLOCK))))
+        before = let(tops, lambda t: F.transform(t, lambda x, b: F.array_max(F.slice(t, F.lit(1), b))))
+
+        def at(before: Column, i: Column) -> Column:
+            b = F.floor(i / BLOCK).cast("int")
+            return F.greatest(F.get(before, b), F.array_max(F.slice(a, b * BLOCK + 1, i - b * BLOCK + 1)))
+
+        return let(before, lambda t: F.transform(a, lambda x, i: at(t, i)))
+
+    return let(a, of)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, found), in code points, end exclusive.
 

@@ -80,12 +80,55 @@ def test_weak_parts_need_their_complement(spark):
     assert [n for _, n in rows_of(secrets.annotate(d), "doc_id", "n_linked")] == [2, 0, 0, 3, 0]
 
 
-def test_running_sums_of_long_arrays(spark):
-    from graphloom.llm.native import running
+def all_pairs_linker(t):
+    """Every span that must be reported, comparing all parts with all."""
+    found = []
+    for rank, name in enumerate(secrets.NAMES):
+        pattern = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX, "weak_id": secrets.WEAK_ID, "weak_secret": secrets.WEAK_SECRET, "endpoint": secrets.ENDPOINT}[name]
+        for m in re.finditer(pattern, t, re.A):
+            x = m[0]
+            good = {
+                "assign": lambda: len(m[2]) >= 6, "access": lambda: len(x) >= 20, "hex": lambda: len(x) >= 24, "weak_id": lambda: len(x) >= 6 and not (x.startswith("AKIA") and len(x) >= 20),
+                "weak_secret": lambda: all(re.search(c, x) for c in ("[0-9]", "[a-z]", "[A-Z]")), "endpoint": lambda: len(x) >= 6,
+            }[name]()
+            if good:
+                found.append((m.start(), rank, m.end(), secrets.KINDS[name]))
+    out = []
+    for s, rank, e, _ in sorted(found):
+        near = {part for a, _, b, part in found if (b <= s or a >= e) and a < e + secrets.SCOPE and b > s - secrets.SCOPE}
+        covered = any(r < 3 and a < e and b > s for a, r, b, _ in found)
+        linked = {3: "secret" in near, 4: bool(near & {"id", "endpoint"}), 5: {"id", "secret"} <= near}.get(rank)
+        if rank < 3 or (linked and not covered):
+            out.append(f"{secrets.NAMES[rank]}:{s}:{e}")
+    return ",".join(out)
+
+
+def mixed(n):
+    return "".join(RNG.choice("abcXYZ019") for _ in range(n)) + "aZ9"
+
+
+def test_linker_is_all_pairs(spark):
+    parts = [
+        lambda: "client_id=" + mixed(6), lambda: mixed(16), lambda: f"https://a{RNG.randrange(99)}.example/{mixed(RNG.choice([3, 20]))}", lambda: "AKIA" + mixed(3).upper(), lambda: "AKIA" + "Q7" * 9,
+        lambda: "token=" + ".".join(mixed(20) for _ in range(RNG.choice([1, 40]))), lambda: "0f" * 13, lambda: "é𝄞 " * RNG.randrange(80), lambda: "w " * RNG.randrange(120), lambda: "user_name: " + mixed(18), lambda: "https://x.example/?" + "&".join("login=" + mixed(4) for _ in range(RNG.choice([2, 60]))),
+    ]
+    texts = [" ".join(RNG.choice(parts)() for _ in range(RNG.randrange(1, 14))) for _ in range(250)]
+    texts.append("token=" + ".".join(mixed(20) for _ in range(400)) + " client_id=abcdef12")
+    texts.append("client_id=abcdef12 https://x.example/?" + "&".join(f"login=abc{i:04}" for i in range(600)) + " Zx9Kq81LmPq02xYz")
+    texts += ["username: JohnSmith1234567890abc", "https://example.org/Watch/Abc123/Foo99"]
+    got = dict(rows_of(secrets.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "spans"))
+    assert [got[i] for i in range(len(texts))] == [all_pairs_linker(t) for t in texts]
+    assert "weak_secret" not in got[250] and "endpoint" in got[251] and got[252] == got[253] == ""
+
+
+def test_running_sums_and_maxima_of_long_arrays(spark):
+    from graphloom.llm.native import running, running_max
 
     n = 1500
-    row = spark.range(1).select(running(F.sequence(F.lit(1), F.lit(n))).alias("r")).first()["r"]
-    assert row == [i * (i + 1) // 2 for i in range(n)]
+    numbers = [RNG.randrange(10**6) for _ in range(n)]
+    row = spark.createDataFrame([(numbers, [])], "a array<int>, e array<int>").select(running(F.col("a")).alias("r"), running_max(F.col("a")).alias("m"), running_max(F.col("e")).alias("e")).first()
+    assert row["r"] == [sum(numbers[:i]) for i in range(n)]
+    assert row["m"] == [max(numbers[: i + 1]) for i in range(n)] and row["e"] == []
 
 
 # --- 2
