@@ -12,9 +12,15 @@ A window is ``window`` consecutive words of an item; an item of fewer words,
 but not none, is one window.  Words are compared by 64-bit hashes, so a false
 hit needs ``window`` hash collisions in a row.
 
-The test set is broadcast in blocks of at most ``block_bytes`` of text.  One
-block is one pass over the documents.  More blocks are a pass each, and their
-hits meet by (doc_id, text digest), which no hot key can swell.
+The test set is shipped in blocks of at most ``block_bytes`` of text.  One
+block is one pass over the documents.  More blocks are a pass each, built and
+written one after another, and their hits meet by (doc_id, text digest), which
+no hot key can swell.
+
+The longest verbatim match is the longest stretch of whole windows on one
+diagonal of a document and an item, so of at least ``window`` words (or a whole
+shorter item); the earliest of equals.  Its place is the number of words before
+it; without a match these are 0 and -1.
 
 Defined edge cases: a null text has no words and is clean; a null item text
 has no windows; a null item_id counts as the id ''; items of one id are one
@@ -29,6 +35,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
+from .session import settle, ship
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER_ASCII = {c: c + 32 for c in range(0x41, 0x5B)}
@@ -271,18 +279,18 @@ def _id_type(df: DataFrame, column: str) -> str:
 
 def annotate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """One row per document: its words, hits, items and longest verbatim match."""
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(index_items(rows, window)) for rows in _blocks(benchmark, block_bytes, item_column, text_column)]
+    blocks = _blocks(benchmark, block_bytes, item_column, text_column)
+    first, second = next(blocks, []), next(blocks, None)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     schema = RESULT.format(id=_id_type(docs, id_column))
-    if len(blocks) > 1:
-        return _annotate_in_blocks(source, blocks, schema)
-    tests = blocks[0] if blocks else context.broadcast(None)
+    if second is not None:
+        return _annotate_in_blocks(source, (index_items(rows, window) for rows in chain([first, second], blocks)), schema)
+    tests = ship(docs.sparkSession, index_items(first, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = digest([])
         for batch in batches:
-            s = examine(batch, "text", tests.value)
+            s = examine(batch, "text", tests())
             names = {r: s.names(r) for r in np.flatnonzero(s.hit).tolist()}
             columns = [
                 batch.column("doc_id"), pa.array(s.words), pa.array(s.hit), pa.array([len(names.get(r, ())) for r in range(batch.num_rows)], pa.int64()),
@@ -294,15 +302,17 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_b
     return source.mapInArrow(run, schema)
 
 
-def _annotate_in_blocks(source: DataFrame, blocks: list, schema: str) -> DataFrame:
-    """A pass per block; spans and items of a text meet by (doc_id, digest)."""
+def _annotate_in_blocks(source: DataFrame, blocks: Iterator[TestSet | None], schema: str) -> DataFrame:
+    """A pass per block, one block held at a time; spans and items of a text meet by (doc_id, digest)."""
     named = source.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     id_type = schema.split(" ", 2)[1].rstrip(",")
 
-    def scan(tests) -> DataFrame:
+    def scan(block: TestSet | None) -> DataFrame:
+        tests = ship(source.sparkSession, block)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                s = examine(batch, "text", tests.value)
+                s = examine(batch, "text", tests())
                 keep = np.flatnonzero(s.hit)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -313,7 +323,7 @@ def _annotate_in_blocks(source: DataFrame, blocks: list, schema: str) -> DataFra
                     ["doc_id", "digest", "spans", "items", "longest", "start"],
                 )
 
-        return named.mapInArrow(run, f"doc_id {id_type}, digest string, spans array<long>, items array<string>, longest long, start long")
+        return settle(named.mapInArrow(run, f"doc_id {id_type}, digest string, spans array<long>, items array<string>, longest long, start long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,9 +349,9 @@ def _annotate_in_blocks(source: DataFrame, blocks: list, schema: str) -> DataFra
                 [x.split(" ")[0] for x in schema.split(", ")],
             )
 
-    parts = scan(blocks[0])
-    for block in blocks[1:]:
-        parts = parts.unionByName(scan(block))
+    parts = None
+    for block in blocks:
+        parts = scan(block) if parts is None else parts.unionByName(scan(block))
     best = F.max_by(F.struct("longest", "start"), F.struct("longest", -F.col("start")))
     met = parts.groupBy("doc_id", "digest").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"), best.alias("best"))
     met = met.select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "spans", "items", "best")
@@ -357,13 +367,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_byt
     A document is clean if it is clean of every block, so blocks filter one
     after another and no join is needed.
     """
-    context = docs.sparkSession.sparkContext
     for rows in _blocks(benchmark, block_bytes, item_column, text_column):
-        tests = context.broadcast(index_items(rows, window))
+        tests = ship(docs.sparkSession, index_items(rows, window))
 
         def run(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(examine(batch, text_column, tests.value).hit == 0))
+                yield batch.filter(pa.array(examine(batch, text_column, tests()).hit == 0))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

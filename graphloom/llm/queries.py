@@ -26,8 +26,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("longest_match", "longest_start")  # the SQL twin has no suffix array
+    return decontaminate.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,21 +76,27 @@ ORACLE_SQL: dict[str, str] = {
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark),
 windows AS (
-  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k
+  SELECT DISTINCT item_id, array_to_string(w, ' ') AS passage, i AS j, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k
   FROM item_words, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(i) WHERE len(w) > 0),
 doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
 places AS (
   SELECT doc_id, w, n, i FROM doc_words, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS t(i)),
 found AS (
-  SELECT doc_id, p.n, i, item_id FROM places p JOIN windows x ON p.n = x.n AND array_to_string(w[i:i + p.n - 1], ' ') = x.k),
+  SELECT doc_id, p.n, i, j, item_id, passage FROM places p JOIN windows x ON p.n = x.n AND array_to_string(w[i:i + p.n - 1], ' ') = x.k),
 hits AS (
-  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM found), unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM found), unnest(range(i, i + n)) AS t(at) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id),
+diagonals AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, passage, i - j ORDER BY i) AS stretch FROM (SELECT DISTINCT doc_id, passage, n, i, j FROM found)),
+longest AS (
+  SELECT doc_id, count(*) + min(n) - 1 AS longest_match, min(i) - 1 AS longest_start FROM diagonals GROUP BY doc_id, passage, i - j, stretch
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY longest_match DESC, longest_start) = 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match, CAST(coalesce(longest_start, -1) AS BIGINT) AS longest_start
+FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 }
