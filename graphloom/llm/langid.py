@@ -1,6 +1,6 @@
 """Language identification: family first, then one-versus-one SVMs within it.
 
-Features are hashed words and byte trigrams over letter runs, A-Z lower-cased.
+Features are hashed words and character trigrams over letter runs, A-Z lower-cased.
 One linear SVM per family tells it from the others (none if there is just
 one); within the predicted family one linear SVM per pair of languages votes,
 ties going to the larger sum of margins.  The score is the product of the
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as at
 from . import textmodel as tm
+from .session import ship
 
 #: Rows per language of the training sample.
 PER_LANGUAGE = 400
@@ -123,11 +124,11 @@ def train(docs: DataFrame, *, held_out: tuple[int, int] = (3, 1), id_column: str
 
 def annotate(docs: DataFrame, model: Model, *, held_out: tuple[int, int] = (3, 1), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     source = docs.select(F.col(id_column).alias("doc_id"), (tm.fold(id_column, held_out[0]) == held_out[1]).alias("held_out"), F.col(text_column).alias("text"))
 
     def score(part: pa.RecordBatch) -> list[pa.Array]:
-        langs, sure = shared.value.predict(part.column("text"))
+        langs, sure = shared().predict(part.column("text"))
         return [pa.array(langs, pa.string()), pa.array(sure)]
 
     schema = f"doc_id {docs.schema[id_column].dataType.simpleString()}, held_out boolean, lang_pred string, score double"

@@ -1,6 +1,6 @@
 """Quality rules: base counts, then a calibrated hashed logistic regression.
 
-The model sees hashed words and byte trigrams of the whole text (case kept),
+The model sees hashed words and character trigrams of the whole text (case kept),
 is trained on a bounded sample of labelled rows, and its margins are turned
 into probabilities by Platt scaling on a held-back part of that sample.  A text
 stays if it passes the base rules and its probability of being good is at
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as at
 from . import textmodel as tm
+from .session import ship
 
 #: Rows per class of the training sample, and the least probability of a good text.
 PER_CLASS, THRESHOLD = 1500, 0.3
@@ -124,11 +125,11 @@ def examine(column: pa.Array, model: Model) -> Scores:
 
 
 def annotate(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
     def score(part: pa.RecordBatch) -> list[pa.Array]:
-        s = examine(part.column("text"), shared.value)
+        s = examine(part.column("text"), shared())
         return [pa.array(x) for x in (s.words, s.chars, s.symbols, s.lines, s.repeated, s.failed, s.kept, s.probability)]
 
     return tm.map_slices(source, RESULT.format(id=docs.schema[id_column].dataType.simpleString()), score, ["doc_id"])
@@ -136,11 +137,11 @@ def annotate(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_c
 
 def keep(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
     """The documents, all columns, that the rules keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in at.slices(batch, text_column):
-                yield part.filter(pa.array(examine(part.column(text_column), shared.value).kept))
+                yield part.filter(pa.array(examine(part.column(text_column), shared()).kept))
 
     return docs.mapInArrow(run, docs.schema)

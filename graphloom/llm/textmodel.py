@@ -7,14 +7,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
 
-#: Buckets of hashed words and of hashed byte trigrams; trigrams follow the words.
-WORDS, GRAMS = 1 << 17, 1 << 17
+#: Buckets of hashed words and of hashed character trigrams; trigrams follow the words.
+GRAM_BITS = 17
+WORDS, GRAMS = 1 << 17, 1 << GRAM_BITS
 BUCKETS = WORDS + GRAMS
+#: Odd multiplier of the trigram hash.
+MIDDLE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: Longest text, in bytes, of a training sample; scoring has no such bound.
 SAMPLE_TEXT = 1 << 16
@@ -31,31 +34,47 @@ def fold(id_column: str, parts: int) -> Column:
 
 
 def sample(docs: DataFrame, classes: DataFrame, per_class: int, id_column: str = "doc_id", text_column: str = "text") -> list[tuple]:
-    """(id, class, text) of at most ``per_class`` labelled rows of each class.
-
-    classes: (id, class).  The rows are the first by a hash of the
-    id, chosen without their texts, and only the chosen ids meet the documents.
-    Classes are counted first, and only hashes below a bound that lets about
-    ``SPARE`` times as many through are ranked, so no class is sorted whole.
+    """(id, class, text) of at most ``per_class`` labelled rows of each class, by a hash of the id.
+
+    classes: (id, class).  Classes are counted; then only ids whose hash is below
+    a threshold that lets about ``SPARE`` times as many through, and at least
+    one, go to the driver, which takes the first of each class.  So no class is
+    ranked in one task, and only the ids taken meet the documents.  An id with
+    several labels is an example of each; of several texts of an id the least
+    is taken.
     """
-    sizes = classes.groupBy("class").count().collect()
+    classes = classes.filter(F.col("id").isNotNull()).select("id", "class", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("hash"))
     bound = F.when(F.lit(False), 0)
-    for r in sizes:
-        bound = bound.when(F.col("class") == r[0], min(1 << 30, (SPARE * per_class << 30) // r[1]))
-    bound = bound.otherwise(0)
-    classes = classes.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < bound)
-    order = Window.partitionBy("class").orderBy(F.xxhash64("id"), "id")
-    chosen = classes.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_class).select("id", "class")
+    for r in classes.groupBy("class").agg(F.count("*").alias("n"), F.min("hash").alias("least")).collect():
+        bound = bound.when(F.col("class") == r["class"], max(r["least"] + 1, min(1 << 30, (SPARE * per_class << 30) // r["n"])))
+    first: dict[object, list] = {}
+    for r in sorted(classes.filter(F.col("hash") < bound.otherwise(0)).distinct().collect(), key=lambda r: (r["hash"], str(r["id"]))):
+        first.setdefault(r["class"], []).append((r["id"], r["class"]))
+    chosen = [x for some in first.values() for x in some[:per_class]]
+    chosen = docs.sparkSession.createDataFrame(chosen, classes.select("id", "class").schema)
     texts = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("body")).filter(F.octet_length("body") <= SAMPLE_TEXT)
-    rows = texts.join(F.broadcast(chosen), F.col("key") == F.col("id")).select("id", "class", "body").limit(max(64, SPARE * len(sizes)) * per_class).collect()
-    return sorted((tuple(r) for r in rows), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), str(r[1]), r[2]))
+    rows = texts.join(F.broadcast(chosen), F.col("key") == F.col("id")).groupBy("id", "class").agg(F.min("body").alias("body")).collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), str(r[1])))
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each code point as one number, and where each begins."""
+    first = at.starts_of_characters(data)
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    place = np.flatnonzero(first)
+    size = np.diff(np.append(place, len(data)))
+    value = data[place].astype(np.uint64)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        value[more] |= data[place[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    return value, place
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray, member: np.ndarray | None, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word and of every byte trigram of the texts.
+    """(row, bucket) of every word and of every character trigram of the texts.
 
     Words are runs of ``member`` bytes (None: of other bytes than white space);
-    trigrams run over the same bytes, a byte outside them counting as a blank.
+    trigrams run over the code points, one outside words counting as a blank.
     """
     if lower:
         data = at.LOWER[data]
@@ -63,12 +82,12 @@ def hashed(data: np.ndarray, offsets: np.ndarray, member: np.ndarray | None, low
     spans = at.Spans(data, offsets, inside)
     words = (at.Hasher(data, VALUES).spans(spans.start, spans.end) & np.uint64(WORDS - 1)).astype(np.int64)
     rows, buckets = [spans.row], [words]
-    if len(data) > 2:
-        plain = np.where(inside[data], data, 0x20).astype(np.uint32)
-        code = (plain[:-2] << np.uint32(16)) | (plain[1:-1] << np.uint32(8)) | plain[2:]
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    value, place = characters(data, offsets)
+    if len(value) > 2:
+        value = np.where(inside[data[place]], value, np.uint64(0x20))
+        gram = (value[:-2] * np.uint64(at.BASE) + value[1:-1] * MIDDLE + value[2:]) * MIDDLE >> np.uint64(64 - GRAM_BITS)
+        row = np.searchsorted(offsets, place, "right") - 1
         good = row[:-2] == row[2:]
-        gram = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - 17)
         rows.append(row[:-2][good])
         buckets.append(WORDS + gram[good].astype(np.int64))
     return np.concatenate(rows), np.concatenate(buckets)

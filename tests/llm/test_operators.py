@@ -1,9 +1,13 @@
 """Operators against brute force, on small tables with nulls, empty and long texts, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import arrowtext, bpe, decontaminate, html, langid, pii, quality, queries, secrets, simhash, textmodel, tokencounts, toxicity
 from graphloom.llm.session import fresh
 
+ROOT = str(Path(__file__).resolve().parents[2])
 RNG = random.Random(4)
 WORDS = ["alpha", "beta", "gamma", "delta", "über", "señor", "x1", "word", "line", "tree"]
 
@@ -138,11 +143,12 @@ ITEMS = [("a", BASE[200:420]), ("b", "one"), ("c", None), ("d", ""), (None, pros
 
 def test_decontamination_is_brute_force(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
-    got = rows_of(decontaminate.annotate(docs, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_start"]
+    got = rows_of(decontaminate.annotate(docs, items), *columns)
     want = []
     for k, t in text_of(spark, docs):
         w = decontaminate.words_of(t)
-        hit, names = set(), set()
+        hit, names, longest = set(), set(), (0, 1)
         for name, item in ITEMS:
             i = decontaminate.words_of(item)
             n = min(10, len(i))
@@ -151,11 +157,17 @@ def test_decontamination_is_brute_force(spark, docs):
                 if tuple(w[p : p + n]) in windows:
                     hit.update(range(p, p + n))
                     names.add(name or "")
-        want.append((k, len(w), len(hit), len(names), decontaminate.digest(sorted(names)), bool(hit)))
+                    for q in range(len(i) - n + 1):
+                        if w[p : p + n] == i[q : q + n]:
+                            m = n
+                            while p + m < len(w) and q + m < len(i) and w[p + m] == i[q + m]:
+                                m += 1
+                            longest = max(longest, (m, -p))
+        want.append((k, len(w), len(hit), len(names), decontaminate.digest(sorted(names)), bool(hit), longest[0], -longest[1]))
     assert got == sorted(want, key=repr)
-    blocks = rows_of(decontaminate.annotate(docs, items, block_bytes=40), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    blocks = rows_of(decontaminate.annotate(docs, items, block_bytes=40), *columns)
     assert blocks == got
-    clean = sorted(k is None and -1 or k for k, *_, dirty in got if not dirty)
+    clean = sorted(r[0] is None and -1 or r[0] for r in got if not r[5])
     for size in (1 << 20, 40):
         left = decontaminate.remove(docs, items, block_bytes=size)
         assert left.columns == docs.columns
@@ -363,6 +375,41 @@ def test_toxicity_model_separates(spark):
     assert all(r["score"] == 0 for r in toxicity.annotate(d, toxicity.train(d, labels.limit(0))).collect())
 
 
+def test_samples_are_bounded_and_defined(spark):
+    rows = [(i, f"text {i}", "a" if i % 3 else "b") for i in range(3000)] + [(7, "another text 7", "a"), (7, "text 7", "c"), (5009, None, "d"), (5010, "é" * 40_000, "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    classes = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("class"))
+    got = textmodel.sample(d, classes, 100)
+    size = Counter(c for _, c, _ in got)
+    assert size == {"a": 100, "b": 100, "c": 1}  # d has only a null and a text beyond the bound
+    assert (7, "c", "another text 7") in got  # of several texts of an id the least
+    assert sorted(textmodel.sample(d.repartition(7), classes, 100)) == sorted(got)
+    assert len(textmodel.sample(d, classes, 5000)) == 3001
+
+
+def test_trigrams_are_of_characters():
+    texts = ["añb", "añbañb", "x", "", "𝄞é中 𝄞é中", None]
+    import pyarrow as pa
+
+    data, offsets = arrowtext.buffer(pa.array(texts, pa.large_string()))
+    row, bucket = textmodel.hashed(data, offsets, None, False)
+    grams = [(r, b) for r, b in zip(row.tolist(), bucket.tolist(), strict=True) if b >= textmodel.WORDS]
+    assert Counter(r for r, _ in grams) == {0: 1, 1: 4, 4: 5}
+    assert grams[0][1] == grams[1][1] == grams[4][1] and len({b for r, b in grams if r == 4}) == 4
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    """Other columns may have the names of results; every row comes back."""
+    rows = [(i % 50, prose(60) + (" nastyword" if i % 2 else ""), "en" if i % 4 else "de", "x", "y", 3, "z") for i in range(120)] + [(None, None, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, predicted string, kept int, held_out string").cache()
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(50)] + [(1, 0, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert langid.annotate(d, langid.train(d)).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    for found in (langid.annotate(d, langid.train(d)), quality.annotate(d, quality.train(d, labels)), toxicity.annotate(d, toxicity.train(d, labels)), secrets.annotate(d), simhash.annotate(d)):
+        assert found.count() == 121
+    pages = d.select(F.col("doc_id").alias("page_id"), F.lit("http://a/").alias("url"), F.col("text").alias("html"), "score", F.lit("h").alias("host"), F.lit(1).alias("cut"), F.lit("r").alias("roles"), F.lit("t").alias("text"))
+    assert html.extract(pages).count() == 121
+
+
 # --- 7
 
 
@@ -491,6 +538,35 @@ def test_names_after_underscores_and_digits(spark):
 # --- shared
 
 
+def test_executors_need_no_copy_of_the_package(spark, tmp_path):
+    """Every query, and the pipeline's filters, with Python workers that can't import the package."""
+    script = tmp_path / "alone.py"
+    script.write_text(
+        f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", "{tmp_path}/w").config("spark.checkpoint.dir", "{tmp_path}/c").getOrCreate()
+def probe(batches):
+    import importlib.util
+    for b in batches:
+        assert importlib.util.find_spec("graphloom") is None
+        yield b
+spark.range(4).mapInArrow(probe, "id long").collect()
+sys.path.insert(0, "{ROOT}")
+from graphloom.llm import decontaminate, quality, queries
+sf = "/root/testdata/sf0.001"
+for name, query in queries.QUERIES.items():
+    print(name, query(spark, sf).count())
+docs = queries.table(spark, sf, "documents")
+print(quality.keep(docs, quality.train(docs, queries.table(spark, sf, "labels"))).count(), decontaminate.remove(docs, queries.table(spark, sf, "benchmark"), block_bytes=2000).count())
+"""
+    )
+    env = dict(os.environ)
+    env["PYTHONPATH"] = os.pathsep.join(p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p and p != ROOT)
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900, check=False)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     sf = "/root/testdata/sf0.001"
