@@ -85,7 +85,7 @@ places AS (
 found AS (
   SELECT doc_id, p.n, i, j, item_id, passage FROM places p JOIN windows x ON p.n = x.n AND array_to_string(w[i:i + p.n - 1], ' ') = x.k),
 hits AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM found), unnest(range(i, i + n)) AS t(at) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM found), unnest(range(i, i + n)) AS t(place) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id),
