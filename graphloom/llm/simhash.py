@@ -14,8 +14,13 @@ at most ``radius`` dimensions, so some v is orthogonal to all of them and the
 pair agrees on everything that table v keeps: no link can be missed.  Buckets
 hold distinct fingerprints only, so copies never multiply.  A bucket of a few
 yields its exact links, once in all tables; a larger one a spanning forest of
-them, found by breadth-first search that drops what it has reached.  Components
-come from alternating large-star and small-star rounds on Spark.
+them, found by breadth-first search that drops what it has reached.  One of
+more than ``MOST`` is split: the bits it leaves free are cut into radius + 1
+segments, every link agrees on one of them, so its rows are dealt again by
+bucket and segment; as often as needed, until so few bits are free that no
+bucket can hold more.  So no bucket is one task, and none costs more than
+``MOST`` squared.  Components come from alternating large-star and small-star
+rounds on Spark; nodes of very many edges meet these by broadcast.
 
 Defined edge cases: null text is empty; texts without words link with each
 other like any other equal fingerprints; a null doc_id never names a component
@@ -40,8 +45,12 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 
 #: Fingerprints of a bucket whose links are listed pair by pair.
 FEW = 32
+#: Fingerprints of a bucket beyond which it is split.
+MOST = 1 << 14
 #: Rows held at once when buckets are read.
 HELD = 1 << 17
+#: Edges of a node from which it may count as a hub.
+HUB = 1 << 16
 #: Rows from which a fingerprint may count as hot.
 HOT = 200
 
@@ -132,18 +141,53 @@ def bucket_links(table: np.ndarray, key: np.ndarray, mark: np.ndarray, radius: i
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def links(marks: DataFrame, radius: int) -> DataFrame:
+def segments(mask: int, radius: int) -> list[int]:
+    """Masks that add one of radius + 1 segments of the bits that a mask leaves free."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in free[k :: radius + 1]) for k in range(radius + 1)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(marks: DataFrame, radius: int, most: int = MOST) -> DataFrame:
     """Distinct links (u < v) that connect every pair of distinct marks within the radius."""
-    family = masks(radius)
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("mark").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(family)]))
-    rows = marks.select("mark", tables.alias("b")).select(F.col("b.t").alias("t"), F.col("b.k").alias("k"), "mark")
-    rows = rows.repartition("t", "k").sortWithinPartitions("t", "k")
-    unsigned = np.array([m % (1 << 64) for m in family], np.uint64)
+    family = [m % (1 << 64) for m in masks(radius)]
+    rows, out, earlier = marks.select("mark", F.lit(0).alias("t")), None, family
+    level = [family]  # the masks that each mask of the level before is split into
+    while True:
+        dealt = F.explode(F.transform(F.get(F.array(*[F.array(*[F.lit(_signed(m)) for m in some]) for some in level]), F.col("t")), lambda m, i: F.struct(i.alias("i"), F.col("mark").bitwiseAND(m).alias("k"))))
+        rows = rows.select("mark", "t", dealt.alias("b")).select((F.col("t") * len(level[0]) + F.col("b.i")).alias("t"), F.col("b.k").alias("k"), "mark")
+        masks_here = [m for some in level for m in some]
+        last = 64 - min(m.bit_count() for m in masks_here) <= MOST.bit_length() - 1
+        found = settle(_examined(rows.repartition("t", "k").sortWithinPartitions("t", "k"), radius, earlier, None if last else most))
+        pairs = found.filter("v is not null").select("u", "v")
+        out = pairs if out is None else out.unionAll(pairs)
+        rows = found.filter("v is null").select(F.col("u").alias("mark"), "t")
+        if last or not rows.limit(1).count():
+            return out.distinct()
+        level, earlier = [segments(m, radius) for m in masks_here], []
+
+
+def _examined(rows: DataFrame, radius: int, family: list[int], most: int | None) -> DataFrame:
+    """(u, v, t): links of the buckets, and the marks (v null) of those of more than ``most``, with their table.
+
+    rows: (t, k, mark), sorted within partitions, each bucket in one.  A bucket
+    that grows too large is passed on as it comes, so it is never held.
+    """
+    unsigned = np.array(family, np.uint64)
+
+    def batch_of(u: np.ndarray, v: np.ndarray | None, t: np.ndarray | None) -> pa.RecordBatch:
+        n = len(u)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.nulls(n, pa.int64()) if v is None else pa.array(v.view(np.int64)), pa.nulls(n, pa.int32()) if t is None else pa.array(t.astype(np.int32))], ["u", "v", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        passing: tuple[int, int] | None = None  # the bucket that is being passed on
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal passing
             if not held:
                 return
             t, k, m = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -151,35 +195,68 @@ def links(marks: DataFrame, radius: int) -> DataFrame:
             cut = len(t)
             if not last:  # the last bucket may go on
                 cut = int(np.flatnonzero((t != t[-1]) | (k != k[-1])).max(initial=-1)) + 1
-                held.append((t[cut:], k[cut:], m[cut:]))
-            if cut:
-                u, v = (x.view(np.int64) for x in bucket_links(t[:cut], k[:cut], m[:cut], radius, unsigned))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+                if most is not None and len(t) - cut > most:
+                    passing = (int(t[-1]), int(k[-1]))
+                    yield batch_of(m[cut:], None, t[cut:])
+                else:
+                    held.append((t[cut:], k[cut:], m[cut:]))
+                t, k, m = t[:cut], k[:cut], m[:cut]
+            if cut and most is not None:
+                edge = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))
+                size = np.diff(np.append(edge, cut))
+                large = np.repeat(size > most, size)
+                if large.any():
+                    yield batch_of(m[large], None, t[large])
+                    t, k, m = t[~large], k[~large], m[~large]
+            if len(t):
+                u, v = (x.view(np.int64) for x in bucket_links(t, k, m, radius, unsigned))
+                yield batch_of(np.minimum(u, v), np.maximum(u, v), None)
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)))
+            t, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            m = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            if passing is not None:
+                other = np.flatnonzero((t != passing[0]) | (k != passing[1]))
+                n = int(other[0]) if len(other) else len(t)
+                if n:
+                    yield batch_of(m[:n], None, t[:n])
+                t, k, m = t[n:], k[n:], m[n:]
+                if not len(t):
+                    continue
+                passing = None
+            held.append((t, k, m))
             if sum(len(x[0]) for x in held) >= HELD + 2 * len(held[0][0]) * (len(held) > 1 and len(held[0][0]) >= HELD):
                 yield from flush(False)
         yield from flush(True)
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(run, "u long, v long, t int")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 60, hub: int = HUB) -> DataFrame:
     """(node, root) for each node of the edges; root is the least node reachable.
 
     Each round is a large star, then a small star; both keep a minimum per node
-    (pre-aggregated before the shuffle) and join it back, so a hub costs rows in
-    proportion to its degree.  Ends when a round changes nothing.
+    (pre-aggregated before the shuffle) and join it back.  A node of more than
+    ``hub`` edges, and of more than one 65536th of all, would be one task of
+    that join: such nodes, fewer than 131072, are broadcast.  Ends when a round
+    changes nothing.
     """
 
-    def star(e: DataFrame, small: bool) -> DataFrame:
+    def back(one: DataFrame, least: DataFrame, total: int) -> DataFrame:
+        if total <= hub:  # no node can be a hub
+            return one.join(least, one.n == least.c)
+        bound = max(hub, total >> 16)
+        hubs = F.broadcast(least.filter(F.col("degree") > bound))
+        rest = one.join(hubs.select("c"), one.n == F.col("c"), "left_anti")
+        return one.join(hubs, one.n == hubs.c).unionByName(rest.join(least.filter(F.col("degree") <= bound), F.col("n") == F.col("c")))
+
+    def star(e: DataFrame, small: bool, total: int) -> DataFrame:
         if small:  # each node and its lesser neighbours go to the least of these
             one = e.select(F.greatest("u", "v").alias("n"), F.least("u", "v").alias("o"))
         else:
             one = e.select(F.col("u").alias("n"), F.col("v").alias("o")).unionAll(e.select("v", "u"))
-        least = one.groupBy("n").agg(F.min("o").alias("m")).select(F.col("n").alias("c"), F.least("n", "m").alias("m"))
-        met = one.join(least, one.n == least.c)
+        least = one.groupBy("n").agg(F.min("o").alias("m"), F.count("*").alias("degree")).select(F.col("n").alias("c"), F.least("n", "m").alias("m"), "degree")
+        met = back(one, least, 2 * total)
         if small:
             out = met.select(F.col("o").alias("x"), "m").unionAll(least.select("c", "m"))
         else:
@@ -192,7 +269,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     edges = settle(edges)
     before = state(edges)
     for _ in range(most if before[0] else 0):
-        edges = settle(star(star(edges, False), True))
+        edges = settle(star(star(edges, False, before[0]), True, before[0]))
         now = state(edges)
         if now == before:
             break

@@ -473,6 +473,64 @@ def test_large_buckets_lose_no_link(spark):
     assert comp == want
 
 
+def brute_components(marks):
+    todo, out = set(marks), {}
+    while todo:
+        front = [todo.pop()]
+        group = list(front)
+        while front:
+            x = front.pop()
+            near = {y for y in todo if (x ^ y).bit_count() <= 4}
+            todo -= near
+            front += near
+            group += near
+        out |= dict.fromkeys(group, min(group))
+    return out
+
+
+def test_split_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 64)
+    marks = {0}
+    for _ in range(700):
+        x = RNG.choice(sorted(marks))
+        for b in RNG.sample(range(64), RNG.choice([1, 3, 4, 5, 6])):
+            x ^= 1 << b
+        marks.add(x)
+    marks |= {RNG.getrandbits(64) for _ in range(200)}
+    signed = [m - (1 << 64) if m >> 63 else m for m in marks]
+    d = spark.createDataFrame([(m,) for m in signed], "mark long")
+    want = brute_components(marks)
+    for most in (4, 40, 1 << 14):
+        pairs = [(r["u"] % (1 << 64), r["v"] % (1 << 64)) for r in simhash.links(d, 4, most).collect()]
+        assert all((a ^ b).bit_count() <= 4 for a, b in pairs) and len(set(pairs)) == len(pairs)
+        parent = {m: m for m in marks}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        assert {m: root(m) for m in marks} == want
+
+
+def test_hubs_of_components(spark):
+    pairs = [(0, i) for i in range(1, 200)] + [(500, 500 + i) for i in range(1, 120)] + [(150, 560), (900, 901)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    for hub in (10, 1 << 16):
+        got = dict(rows_of(simhash.components(edges, hub=hub), "node", "root"))
+        assert len(got) == 322 and got[901] == got[900] == 900 and {got[i] for i in got if i < 900} == {0}
+
+
+def test_segments_cover_free_bits():
+    for mask in simhash.masks(4):
+        some = simhash.segments(mask % (1 << 64), 4)
+        added = [m & ~(mask % (1 << 64)) for m in some]
+        assert sum(added) == (1 << 64) - 1 - mask % (1 << 64) and len(added) == 5
+
+
 def test_keep_one(spark, docs):
     unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     labelled = simhash.annotate(unique)
