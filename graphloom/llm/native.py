@@ -70,11 +70,11 @@ def matches(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda g: placed(g, m)))
 
 
-def replace(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+def replace(text: Column, pattern: Column, change: Callable[[Column], Column]) -> Column:
     """struct(matches as array, their replacements as array, the text with these)."""
 
     def build(g: Column, m: Column, r: Column) -> Column:
         joined = F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(r, i), F.lit("")))), "")
         return F.struct(m.alias("found"), r.alias("made"), joined.alias("text"))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.transform(m, change), lambda r: let(F.split(text, pattern, -1), lambda g: build(g, m, r))))
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: let(F.transform(m, change), lambda r: let(F.split(text, pattern, -1), lambda g: build(g, m, r))))

@@ -57,7 +57,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.annotate(table(spark, sf_dir, "documents"))
+    return pii.annotate(table(spark, sf_dir, "documents"), key=pii.key_of(spark))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

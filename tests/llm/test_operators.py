@@ -548,7 +548,7 @@ def test_keep_one(spark, docs):
 def test_surrogates(spark):
     texts = ["Call +1 (499) 555-6503 or +14995556503, mail A.b.1@mail.example.com / a.b.1@mail.example.com.", "Card 4111 1111 1111 1111 and 4111111111111111; host 10.2.3.4; ssn 078-05-1120", "Mr. John Smith met Mrs. Anna Müller; Herr Smith", None, "", "clean words 12 and 2024"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.annotate(d).collect()}
+    got = {r["doc_id"]: r for r in pii.annotate(d, key="k").collect()}
     for secret in ("555-6503", "4995556503", "b.1@mail", "4111 1111", "41111111", "10.2.3.4", "078-05", "John", "Smith", "Anna"):
         assert not any(secret in (r["text"] or "") for r in got.values())
     assert (got[0]["n_phone"], got[0]["n_email"], got[1]["n_card"], got[1]["n_ip"], got[1]["n_ssn"], got[2]["n_name"]) == (2, 2, 2, 1, 1, 3)
@@ -565,10 +565,80 @@ def test_surrogates(spark):
     assert pii.annotate(d, key="other").filter("doc_id = 0").first()["text"] != got[0]["text"]
 
 
+def made_of(spark, texts, key="k"):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r for r in sorted(pii.annotate(d, key=key).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_names_stay_the_same_person(spark):
+    rows = made_of(spark, ["Dr Alice Meyer called. Meyer said that Alice Meyer left, MEYER too.", "Mrs. Meyer and Alice Łęż; Frau Żak", "Paul Łęż wrote. Łęż and Ángel and Paul", "plain Words Without names", "Госпожа Иванова и Анна Иванова", "Mr. Ꭰꮣ met Mr. Ss"])
+    first, second, third, plain, russian, odd = (r["text"] for r in rows)
+    title, given, last = re.match(r"(Dr) (\w+) (\w+) called", first).groups()
+    assert first == f"Dr {given} {last} called. {last} said that {given} {last} left, {last.upper()} too." and last != "Meyer" and last[-1] == "r"
+    assert given in pii.GIVEN["female latin"] and given != "Alice"
+    assert second.startswith(f"Mrs. {last} and {given} ") and "Łęż" not in second + third and "Żak" not in second
+    paul, strange = re.match(r"(\w+) (\w+) wrote", third).groups()
+    assert paul in pii.GIVEN["male latin"] and third == f"{paul} {strange} wrote. {strange} and Ángel and {paul}" and strange[-1] == "ż" and strange in second
+    assert plain == "plain Words Without names" and rows[3]["n_name"] == 0
+    who, same = re.match(r"Госпожа (\w+) и \w+ (\w+)", russian).groups()
+    assert who == same != "Иванова" and who[-1] == "а" and russian.split()[3] in pii.GIVEN["female cyrillic"]
+    assert "Ꭰꮣ" not in odd and rows[0]["n_name"] == 4
+    assert all(r["n_collisions"] == 0 for r in rows) and made_of(spark, ["Dr Alice Meyer"], "other")[0]["text"] != f"Dr {given} {last}"
+
+
+def test_words_of_names_stay_distinct(spark):
+    letters = "abceiklmnorstuyzéłß"
+    words = sorted({"".join(RNG.choice(letters) for _ in range(RNG.randrange(2, 6))).capitalize() for _ in range(4000)} | {n for some in pii.GIVEN.values() for n in some})
+    texts = [". ".join(f"Mr {w}" for w in words[i : i + 100]) for i in range(0, len(words), 100)]
+    made = [w for r in made_of(spark, texts) for w in re.findall(r"Mr (\w+)", r["text"])]
+    assert len(made) == len(words) == len(set(made)) and all(a != b for a, b in zip(made, words, strict=True))
+    assert all(len(a) == len(b) for a, b in zip(made, words, strict=True) if b.lower() not in pii.KNOWN)
+    for some in pii.GIVEN.values():
+        assert {made[words.index(n)] for n in some} == set(some)
+
+
+def test_formats_are_kept(spark):
+    texts = [
+        "DE89 3704 0044 0532 0130 00 and GB29NWBK60161331926819; 2001:db8::1 and FE80:0:0:0:1:2:3:4", "at 12 Main Street, Lindenstraße 7, 5, rue de la Paix, Calle Mayor, 8", "a@acme.com, b@acme.com, C@ACME.com, a@b.com.test a@b.com", "078-05-1120 666-12-3456 900-00-1234 899-99-9999",
+        "12:30:45 std::vector 3 Apples",
+    ]
+    rows = made_of(spark, texts)
+
+    def valid(iban):
+        bare = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+    found = re.match(r"(DE\d\d(?: \d{4}){4} \d\d) and (GB\d\d[A-Z]{4}\d{14}); ([0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]) and ([0-9A-F]{4}(?::[0-9a-f]){7})$", rows[0]["text"])
+    assert valid(found[1]) and valid(found[2]) and not set(found.groups()) & set(re.split(" and |; ", texts[0])) and (rows[0]["n_iban"], rows[0]["n_ipv6"]) == (2, 2)
+    assert re.match(r"at \d\d \w{4} Street, \w{6}straße \d, \d, rue de la \w{4}, Calle \w{5}, \d$", rows[1]["text"]) and rows[1]["n_street"] == 4 and not re.search("Main|Linden|Paix|Mayor|12", rows[1]["text"])
+    mails = re.findall(r"([^ ,@]+)@([^ ,]+)", rows[2]["text"])
+    assert len({d.lower() for _, d in mails[:3]}) == 1 and len({m.lower() for m, _ in mails[:3]}) == 3 and mails[3][1] != mails[4][1] and "acme" not in rows[2]["text"].lower()
+    areas = [tuple(map(int, x.split("-"))) for x in re.findall(r"\d{3}-\d{2}-\d{4}", rows[3]["text"])]
+    assert [0 < a < 900 and a != 666 for a, _, _ in areas] == [True, False, False, True] and all(s for _, _, s in areas) and areas[0][0] != 78 and rows[3]["n_ssn"] == 4
+    assert rows[4]["text"] == texts[4]
+    assert all(r["n_collisions"] == 0 for r in rows)
+
+
+def test_social_security_numbers_stay_distinct(spark):
+    numbers = [f"{a:03}-{g:02}-{s:04}" for a in (0, 1, 2, 665, 666, 667, 899, 900, 999) for g in (0, 1, 50, 99) for s in (0, 1, 4999, 9999)]
+    made = [r["text"] for r in made_of(spark, numbers)]
+    assert len(set(made)) == len(numbers) and all(a != b or a[4:] in ("00-0000",) for a, b in zip(made, numbers, strict=True))
+
+
+def test_every_alphabet_is_one_to_one():
+    letters = "".join(pii.ALPHABETS)
+    assert len(set(letters)) == len(letters) and all(len(c.upper()) == 1 for c in letters)
+
+
+def test_keys_are_the_session_s(spark):
+    key = pii.key_of(spark)
+    assert len(key) == 64 and pii.key_of(spark) == key
+
+
 def test_long_and_nasty_texts(spark):
-    texts = ["a" * 300_000, "x@" + "a." * 60_000, "+" + "1 " * 100_000, "token" * 50_000 + "=" + "0f" * 50_000, "Mr. " * 30_000, "0" * 200_000, "<" * 50_000 + '"' * 50_000]
+    texts = ["a" * 300_000, "x@" + "a." * 60_000, "+" + "1 " * 100_000, "token" * 50_000 + "=" + "0f" * 50_000, "Mr. " * 30_000, " ".join(f"Mr. Name{chr(97 + i % 26)}{'q' * (i % 50)}" for i in range(8_000)), "a" * 100_000 + "@b.example.com", "::" * 50_000, "0" * 200_000, "<" * 50_000 + '"' * 50_000]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert pii.annotate(d).count() == len(texts) and sum(r["n_collisions"] for r in pii.annotate(d).collect()) == 0
+    assert pii.annotate(d, key="k").count() == len(texts) and sum(r["n_collisions"] for r in pii.annotate(d, key="k").collect()) == 0
     assert secrets.annotate(d).filter("n_hex > 0 or n_assign > 0").count() >= 2
     assert quality.annotate(d, quality.Model()).count() == len(texts)
     pages = d.select(F.col("doc_id").alias("page_id"), F.lit("http://a/").alias("url"), F.col("text").alias("html"))
@@ -578,19 +648,19 @@ def test_long_and_nasty_texts(spark):
 def test_surrogates_of_distinct_entities_differ(spark):
     numbers = [f"+1 ({a:03}) 555-{b:04}" for a in range(200, 230) for b in range(0, 60)]
     d = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "doc_id long, text string")
-    made = [r["text"] for r in pii.annotate(d).collect()]
+    made = [r["text"] for r in pii.annotate(d, key="k").collect()]
     assert len(set(made)) == len(numbers)
-    assert all(a != b for a, b in rows_of(pii.annotate(d).join(d.withColumnRenamed("text", "old"), "doc_id"), "text", "old"))
+    assert all(a != b for a, b in rows_of(pii.annotate(d, key="k").join(d.withColumnRenamed("text", "old"), "doc_id"), "text", "old"))
 
 
 def test_names_after_underscores_and_digits(spark):
     texts = ["_Mr. Smith_", "__Mrs Jones__", "1Dr. Brown", "_Господин Иванов_", "_Κύριος Παπαδόπουλος_"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.annotate(d).collect()}
+    got = {r["doc_id"]: r for r in pii.annotate(d, key="k").collect()}
     assert all(got[i]["n_name"] == 1 and got[i]["text"] != t for i, t in enumerate(texts))
-    assert all(r["text"] != texts[r["doc_id"]] for r in pii.redact(d).collect())
+    assert all(r["text"] != texts[r["doc_id"]] for r in pii.redact(d, key="k").collect())
     with_at = spark.createDataFrame([(i, t + " @") for i, t in enumerate(texts)], "doc_id long, text string")
-    assert all(r["text"] == got[r["doc_id"]]["text"] + " @" for r in pii.annotate(with_at).collect())
+    assert all(r["text"] == got[r["doc_id"]]["text"] + " @" for r in pii.annotate(with_at, key="k").collect())
 
 
 # --- shared
