@@ -151,11 +151,14 @@ def _moved(c: Column, key: str, domain: str, before: Column, some: list[str]) ->
 def _mapped(text: Column, key: str, domain: str, some: list[str] | None = None) -> Column:
     """Every character moved; what comes before counts without case."""
 
-    def one(c: Column, i: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(i - REACH + 1, F.lit(1)), F.least(i, F.lit(REACH))))
-        return _moved(c, key, domain, before, some or ALPHABETS[:3])
+    def moved(characters: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            before = F.lower(F.array_join(F.slice(characters, F.greatest(i - REACH + 1, F.lit(1)), F.least(i, F.lit(REACH))), ""))
+            return _moved(c, key, domain, before, some or ALPHABETS[:3])
+
+        return F.array_join(F.transform(characters, one), "")
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return let(F.split(text, ""), moved)
 
 
 def _digits(text: Column) -> Column:
