@@ -7,29 +7,40 @@ give no blocks), ``U`` where the structure doesn't tell.  A class or id may only
 hint at furniture: an article or main element in such a block is main text
 again, unless the hint, there or on the article itself, is of comments or
 related articles; then it is furniture.  Classes like has-sidebar are no hint.
-The words of all
-blocks of a host's pages form one token stream; its suffix array, sorted to
-``RUN`` tokens, shows every run of at least that many words that stands on two
-or more distinct pages.  In a ``U`` block such a run, if it covers the whole block
-or that many of its words, is boilerplate and only what is between stays.  A page that has ``M`` blocks is exactly those: an
-article that two pages share is still the article, so there the suffix array
-is only reported, in ``n_repeated``.
+
+The ``M`` blocks of a page are its candidates, or its ``U`` blocks if it has no
+``M``.  The candidates of all pages of a host form one token stream, in which
+what repeats on distinct pages is found:
+
+* ``U`` blocks by words: the suffix array, sorted to ``RUN`` words, shows every
+  run of at least that many that stands on two or more distinct pages.  Such a
+  run, if it covers the whole block or that many of its words, is boilerplate
+  and only what is between stays.
+* ``M`` blocks whole, each as one token: a block that stands on at least half of
+  a host's pages, and on ``FEW`` or more, is furniture that the structure didn't
+  name, such as a notice within every article.  But if these are more than half
+  of an article's words, the page is a copy of others and stays whole: an
+  article that pages share is still the article.
+
+``n_repeated`` counts the words that go so.
 
 Hosts of more than ``SHARD`` pages or ``SHARD_BYTES`` of html are cut by a hash
 of the page into shards of about that size, so no host is one task.  What
 repeats is still decided over the whole host: each shard gives the 64-bit hashes
-of its runs of ``RUN`` words, and which of them it has on distinct pages; these
-meet by host and hash, and each shard gets back those that stand on distinct
-pages of the host.  So the size of a shard changes no result.
+of its runs and blocks, with the number of its pages that have them; these meet
+by host and hash, and each shard gets back those that repeat.  So neither the
+size of a shard nor the order of rows changes a result.
 
 Defined edge cases: null html gives empty text; a null url is a host of its
 own; an unclosed element ends with its parent, an unclosed comment with the
-page; repeated rows are each returned and count as one page by their id; other
-input columns are ignored.
+page; a tag that never ends is text; repeated rows are each returned and count
+as one page by their id; other input columns are ignored.  Reading a page takes
+time in proportion to its length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -43,11 +54,11 @@ from . import arrowtext as at
 from . import textmodel as tm
 from .decontaminate import suffix_array
 
-RUN, SHARD = 5, 250
-#: Pages (``SHARD``) and bytes of html of a shard, about.
-SHARD_BYTES = 8 << 20
-#: Hot hosts that may be broadcast.
-HOSTS = 1 << 16
+RUN, FEW = 5, 5
+#: Pages and bytes of html of a shard, about.
+SHARD, SHARD_BYTES = 250, 8 << 20
+#: Cut hosts that may be broadcast; beyond that only those of more than ``LARGE`` shards are.
+HOSTS, LARGE = 1 << 16, 64
 #: Tasks at most among which the runs of one host are dealt.
 BUCKETS = 1 << 10
 
@@ -64,13 +75,107 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: A word that a modifier class only speaks about, as in has-sidebar or no-sidebar.
 BARE = r"(?<![a-z])(?<!(?<![a-z])has[-_])(?<!(?<![a-z])with[-_])(?<!(?<![a-z])no[-_])(?<!(?<![a-z])without[-_])"
 HINT = re.compile(
-    rf"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?{BARE}(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])",
-    re.I,
+    rf"{BARE}(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?![a-z])", re.I
 )
 #: Hints of articles that aren't the page's own: classes that begin so, but for a state as in comments-open.
-OTHERS = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?(?<![a-z0-9_-])(?:comments?|related)(?![a-z])(?![-_](?:open|closed|enabled|disabled|on|off)(?![a-z]))", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+OTHERS = re.compile(r"(?<![a-z0-9_-])(?:comments?|related)(?![a-z])(?![-_](?:open|closed|enabled|disabled|on|off)(?![a-z]))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/]++)\s*+(?:=\s*+(?:\"([^\"]*+)|'([^']*+)|([^\s\"']*+)))?+")
+NAME_END, STOP = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
+RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
+
+
+class Tags:
+    """The tags of a page, in time in proportion to its length.
+
+    A tag that never ends is no tag.  What makes one fail is kept, so that the
+    next doesn't look for it again: where the next character of a kind stands,
+    and the quotation marks from which no tag's end was reached.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.ahead = {NAME_END: (0, -1), STOP: (0, -1)}
+        self.dead: set[int] = set()
+        self.endless: set[str] = set()
+
+    def _next(self, what: re.Pattern, at: int) -> int:
+        """The next place of a kind of character, or the page's end."""
+        low, high = self.ahead[what]
+        if not low <= at <= high:
+            m = what.search(self.page, at)
+            high = m.start() if m else len(self.page)
+            self.ahead[what] = (at, high)
+        return high
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a tag's attributes, or -1."""
+        page, q, seen = self.page, self._next(STOP, at), []
+        while q < len(page) and q not in self.dead:
+            if page[q] == ">":
+                return q
+            seen.append(q)
+            closing = page.find(page[q], q + 1)
+            if closing < 0:
+                break
+            m = STOP.search(page, closing + 1)
+            q = m.start() if m else len(page)
+        self.dead.update(seen)
+        return -1
+
+    def find(self, place: int) -> tuple[int, int, bool, str, str] | None:
+        """The next tag, or markup comment (no name): start, end, whether it closes, name and attributes."""
+        page, i = self.page, self.page.find("<", place)
+        while i >= 0:
+            c = page[i + 1 : i + 2]
+            if page.startswith("<!--", i):
+                short = next((x for x in ("<!-->", "<!--->") if page.startswith(x, i)), None)
+                j = page.find("-->", i + 4)
+                return i, i + len(short) if short else j + 3 if j >= 0 else len(page), False, "", ""
+            if page.startswith("<![CDATA[", i):
+                j = page.find("]]>", i)
+                return i, j + 3 if j >= 0 else len(page), False, "", ""
+            if i < self.last:
+                if c in ("!", "?"):
+                    return i, page.find(">", i) + 1, False, "", ""
+                first = i + 2 if c == "/" else i + 1
+                if page[first : first + 1].isascii() and page[first : first + 1].isalpha():
+                    name_end = self._next(NAME_END, first)
+                    end = self._end(name_end) if name_end < len(page) else -1
+                    if end >= 0:
+                        return i, end + 1, c == "/", page[first:name_end].lower(), page[name_end:end]
+            i = page.find("<", i + 1)
+        return None
+
+    def after(self, name: str, place: int) -> int | None:
+        """The place after the closing tag of an element that holds no markup."""
+        if name not in self.endless:
+            m = RAW_END[name].search(self.page, place)
+            end = self.page.find(">", m.end()) if m else -1
+            if end >= 0:
+                return end + 1
+            self.endless.add(name)
+        return None
+
+
+def hints(attributes: str) -> str:
+    """What the class, id or role of an element tells: "others" or "hint" of furniture, or nothing."""
+    if "=" not in attributes:
+        return ""
+    values: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        if (name := m[1].lower()) in ("class", "id", "role"):
+            values.setdefault(name, m[2] or m[3] or m[4] or "")
+    if any(OTHERS.search(v) for v in values.values()):
+        return "others"
+    return "hint" if any(HINT.search(v) for v in values.values()) else ""
+
+
+def unescape(text: str) -> str:
+    """Character references decoded; one of more digits than a number may have stands for no character."""
+    try:
+        return html.unescape(text)
+    except ValueError:
+        return html.unescape(re.sub(r"&#[0-9]{8,};?+", "\ufffd", re.sub(r"&#0++(?=[0-9])", "&#", text)))
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -81,11 +186,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
     skip, depth = "", 0  # furniture element and its open namesakes
     why, within = "", 0  # what made it furniture, and article and main elements open within it
     under: list[tuple[str, int, str, int, int]] = []  # skip, depth, why, within and inside of blocks that an article or main has reopened
-    place = 0
+    tags, place = Tags(page), 0
 
     def flush() -> None:
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            text = " ".join(unescape("".join(held)).split())
             if text:
                 out.append(("F" if skip else "M" if inside else "U", text))
             held.clear()
@@ -93,12 +198,10 @@ def blocks(page: str) -> list[tuple[str, str]]:
     def furniture(name: str, attributes: str) -> str:
         """Why an element that opens is furniture: itself, a hint, a hint of others' articles; or not."""
         if name in CONTAINER:
-            return "others" if attributes and OTHERS.search(attributes) else ""
+            return "others" if hints(attributes) == "others" else ""
         if name in FURNITURE and not (name == "header" and inside):
             return "itself"
-        if attributes and name not in ("html", "body") and HINT.search(attributes):
-            return "others" if OTHERS.search(attributes) else "hint"
-        return ""
+        return hints(attributes) if name not in ("html", "body") else ""
 
     def counted(name: str, close: bool) -> None:
         """Namesakes of a reopened block; it may end before the article in it."""
@@ -118,26 +221,25 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if under and inside <= under[-1][4]:
             skip, depth, why, within, inside = under.pop()
 
-    while (m := TAG.search(page, place)) is not None:
-        if m.start() > place:
-            held.append(page[place : m.start()])
-        place, name = m.end(), (m[2] or "").lower()
+    while (tag := tags.find(place)) is not None:
+        start, end, close, name, attributes = tag
+        if start > place:
+            held.append(page[place:start])
+        place = end
         if not name:
             continue
-        close = m[1] == "/"
-        if name in RAW and not close and not m[3].endswith("/"):
-            end = RAW_END[name].search(page, place)
+        if name in RAW and not close and not attributes.endswith("/"):
+            end = tags.after(name, place)
             if name == "head" and end is None:
                 continue
-            place = end.end() if end else len(page)
+            place = len(page) if end is None else end
             continue
         if name not in BLOCK and name not in FURNITURE:
             if name in ("br", "td", "th"):
                 held.append(" ")
-            hinted = not close and not skip and name not in VOID and m[3] and HINT.search(m[3])
-            if hinted:
+            if not close and not skip and name not in VOID and (reason := hints(attributes)):
                 flush()
-                skip, depth, why, within = name, 1, "others" if OTHERS.search(m[3]) else "hint", 0
+                skip, depth, why, within = name, 1, reason, 0
             elif skip == name:
                 depth += -1 if close else 1
                 if depth == 0:
@@ -156,7 +258,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             elif skip == "p":
                 depth = 0  # a paragraph ends at any block
             elif name in CONTAINER and not close:
-                if (why == "hint" or (why == "others" and name == "main")) and not OTHERS.search(m[3] or ""):
+                if (why == "hint" or (why == "others" and name == "main")) and hints(attributes) != "others":
                     under.append((skip, depth, why, within, inside))
                     skip = ""
                     inside += 1
@@ -176,7 +278,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 closed()
             elif name != ended:
                 counted(name, close)
-        elif reason := furniture(name, m[3]):
+        elif reason := furniture(name, attributes):
             skip, depth, why, within = name, 1, reason, 0
         else:
             counted(name, close)
@@ -270,28 +372,56 @@ def _covered_of_all(hashes: np.ndarray, row: np.ndarray, pages: list[object], sp
     return (np.cumsum(cover)[: len(stream)] > 0)[at_]
 
 
-def main_texts(pages: list[object], roles: list[str], texts: list[list[str]], run: int, known: np.ndarray | None = None) -> list[tuple[str, int, int]]:
-    """Text, blocks and repeated words of each page of a shard."""
-    flat = [t.encode("utf-8", "surrogatepass") for some in texts for t in some]
-    spans, hit = repeated([p for p, some in zip(pages, texts, strict=True) for _ in some], [i for i, some in enumerate(texts) for _ in some], flat, run, known)
-    counts = np.bincount(spans.row, weights=hit, minlength=len(flat)).astype(np.int64)
+def block_hashes(texts: list[str]) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in texts]
+
+
+def common(hashes: np.ndarray, counts: np.ndarray, pages: int) -> np.ndarray:
+    """The hashes that stand on at least half of the pages, and on ``FEW`` or more.  counts: pages per hash, to be summed."""
+    value, at_ = np.unique(hashes, return_inverse=True)
+    total = np.bincount(at_, weights=counts, minlength=len(value))
+    return value[(total >= FEW) & (2 * total >= pages)]
+
+
+def page_counts(keys: list[int], hashes: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct hash and the number of distinct pages that have it."""
+    pairs = {(h, k) for k, some in zip(keys, hashes, strict=True) for h in some}
+    return np.unique(np.array([h for h, _ in pairs], np.int64), return_counts=True)
+
+
+def main_texts(keys: list[int], whole: list[bool], texts: list[list[str]], run: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[str, int, int]]:
+    """Text, blocks and repeated words of each page of a shard.
+
+    keys: of the pages.  whole: the candidates are M blocks.  known: hashes of
+    the host's repeated runs and common blocks, in order; without, these pages
+    are all there are.
+    """
+    loose = [i for i, w in enumerate(whole) if not w]
+    flat = [t.encode("utf-8", "surrogatepass") for i in loose for t in texts[i]]
+    spans, hit = repeated([keys[i] for i in loose for _ in texts[i]], [i for i in loose for _ in texts[i]], flat, run, known[0] if known else None)
+    gone = np.bincount(spans.row, weights=hit, minlength=len(flat)).astype(np.int64)
     first = np.searchsorted(spans.row, np.arange(len(flat) + 1))
+    own = [block_hashes(some) if w else [] for w, some in zip(whole, texts, strict=True)]
+    often = set((known[1] if known else common(*page_counts(keys, own), len(set(keys)))).tolist())
     out, base = [], 0
-    for role, some in zip(roles, texts, strict=True):
-        kept = []
-        if "M" in role:
-            kept = [t for r, t in zip(role, some, strict=True) if r == "M"]
+    for w, some, hashes in zip(whole, texts, own, strict=True):
+        kept, removed = [], 0
+        if w:
+            sizes = [len(t.split()) for t in some] if often else [0] * len(some)
+            removed = sum(n for n, h in zip(sizes, hashes, strict=True) if h in often)
+            copy = 2 * removed > sum(sizes)
+            removed = 0 if copy else removed
+            kept = [t for t, h in zip(some, hashes, strict=True) if copy or h not in often]
         else:
-            for k, (r, t) in enumerate(zip(role, some, strict=True)):
-                if r != "U":
-                    continue
-                if counts[base + k]:
-                    free = ~hit[first[base + k] : first[base + k + 1]]
-                    t = " ".join(w for w, f in zip(t.split(), free.tolist(), strict=False) if f)
+            for t in some:
+                if gone[base]:
+                    free = ~hit[first[base] : first[base + 1]]
+                    t = " ".join(x for x, f in zip(t.split(), free.tolist(), strict=False) if f)
                 if t:
                     kept.append(t)
-        out.append(("\n".join(kept), len(kept), int(counts[base : base + len(some)].sum())))
-        base += len(some)
+                removed += int(gone[base])
+                base += 1
+        out.append(("\n".join(kept), len(kept), removed))
     return out
 
 
@@ -312,6 +442,10 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterator[tuple[tuple | None, pa.RecordBatch | None]]:
     """(key, rows) of each stretch of rows of one key, in order; (None, None) at the end."""
     for batch in batches:
@@ -324,76 +458,118 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterato
     yield None, None
 
 
-def repeated_runs(shards: DataFrame, run: int) -> DataFrame:
-    """(host, cut, runs): hashes of the runs that stand on distinct pages of their host, for each shard that has them.
+class ShardMarks:
+    """Hashes of one shard: runs of its loose pages, whole blocks of the others, and its pages."""
+
+    def __init__(self, cuts: int) -> None:
+        self.buckets = min(BUCKETS, 1 + cuts // 8)
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.blocks: set[tuple[int, int]] = set()
+        self.pages: set[int] = set()
+
+    def add(self, rows: pa.RecordBatch, run: int) -> None:
+        keys, whole, texts = (rows.column(c).to_pylist() for c in ("page_key", "whole", "blocks"))
+        self.pages.update(keys)
+        loose = [i for i, w in enumerate(whole) if not w]
+        self.runs.append(shard_runs([keys[i] for i in loose], [texts[i] for i in loose], run))
+        self.blocks.update((h, keys[i]) for i, w in enumerate(whole) if w for h in block_hashes(texts[i]))
+
+    def cells(self, host: str, cut: int) -> pa.RecordBatch:
+        """A row per bucket: runs, those on several pages first, and blocks with their pages."""
+        h, key = (_joined([r[k] for r in self.runs]) for k in (0, 1))
+        order = np.argsort(h, kind="stable")
+        h, key = h[order], key[order]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+        again = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start) if len(start) else np.zeros(0, bool)
+        h = h[start]
+        order = np.argsort(~again, kind="stable")
+        h, again = h[order], again[order]
+        block, count = np.unique(np.array([b for b, _ in self.blocks], np.int64), return_counts=True)
+
+        def dealt(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            bucket = (x.view(np.uint64) % np.uint64(self.buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            return by, np.searchsorted(bucket[by], np.arange(self.buckets + 1))
+
+        (by, at_), (block_by, block_at) = dealt(h), dealt(block)
+        rows = []
+        for b in range(self.buckets):
+            mine, blocks = by[at_[b] : at_[b + 1]], block_by[block_at[b] : block_at[b + 1]]
+            rows.append((host, b, cut, len(self.pages), int(again[mine].sum()), h[mine].tobytes(), block[blocks].tobytes(), count[blocks].astype(np.int64).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), CELL_TYPES, strict=True)], CELL_NAMES)
+
+
+CELL_NAMES = ["host", "bucket", "cut", "pages", "again", "runs", "blocks", "counts"]
+CELL_TYPES = [pa.string(), *[pa.int64()] * 4, *[pa.binary()] * 3]
+
+
+def repeated_marks(shards: DataFrame, run: int) -> DataFrame:
+    """(host, cut, runs, blocks): hashes of what repeats over the host, for each shard that has them.
 
     shards: the pages, each shard together.  A page is in one shard only, so
-    what two shards have stands on two pages.  Hosts of one shard are left out.
+    what two shards have stands on two pages, and pages add up.  Hosts of one
+    shard are left out.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, hashes, keys, cuts = None, [], [], 0
+        here, marks = None, None
         for key, rows in _groups(batches, ("host", "cut")):
             if key != here:
-                if hashes:
-                    yield from cells(here, _joined(hashes), _joined(keys), cuts)
-                here, hashes, keys = key, [], []
+                if marks:
+                    yield marks.cells(*here)
+                here, marks = key, None
             if rows is not None and (cuts := rows.column("cuts")[0].as_py()):
+                marks = marks or ShardMarks(cuts)
                 for i in range(0, rows.num_rows, 256):
-                    some = rows.slice(i, 256)
-                    h, k = shard_runs(some.column("page_key").to_pylist(), some.column("blocks").to_pylist(), run)
-                    hashes.append(h)
-                    keys.append(k)
-
-    def cells(shard: tuple[str, int], h: np.ndarray, key: np.ndarray, cuts: int) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(h, kind="stable")
-        h, key = h[order], key[order]
-        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
-        if not len(start):
-            return
-        again = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
-        h = h[start]
-        bucket = (h.view(np.uint64) % np.uint64(min(BUCKETS, 1 + cuts // 8))).astype(np.int64)
-        order = np.lexsort((~again, bucket))
-        h, again, bucket = h[order], again[order], bucket[order]
-        at_ = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        n = len(at_)
-        ends = np.append(at_[1:], len(h)).tolist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([shard[0]] * n, pa.string()), pa.array(bucket[at_]), pa.array([shard[1]] * n, pa.int64()), pa.array(np.add.reduceat(again.astype(np.int64), at_)),
-                pa.array([h[a:b].tobytes() for a, b in zip(at_.tolist(), ends, strict=True)], pa.binary()),
-            ],
-            ["host", "bucket", "cut", "again", "runs"],
-        )
+                    marks.add(rows.slice(i, 256), run)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, cut, again, runs = None, [], [], []
+        here, parts = None, []
         for key, rows in _groups(batches, ("host", "bucket")):
             if key != here:
-                if cut:
-                    yield from shared(here[0], cut, again, runs)
-                here, cut, again, runs = key, [], [], []
+                if parts:
+                    yield shared(here[0], pa.Table.from_batches(parts))
+                here, parts = key, []
             if rows is not None:
-                cut += rows.column("cut").to_pylist()
-                again += rows.column("again").to_pylist()
-                runs += [np.frombuffer(r, np.int64) for r in rows.column("runs").to_pylist()]
+                parts.append(rows)
 
-    def shared(host: str, cut: list[int], again: list[int], runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def shared(host: str, cells: pa.Table) -> pa.RecordBatch:
+        cut, again = cells.column("cut").to_pylist(), cells.column("again").to_numpy()
+        runs, blocks = _numbers(cells.column("runs")), _numbers(cells.column("blocks"))
         size = np.array([len(r) for r in runs])
         h = _joined(runs)
         twice = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(again, size)
         order = np.argsort(h, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[order][1:] != h[order][:-1]]))
         n = np.diff(np.append(start, len(h)))
         keep = np.zeros(len(h), bool)
-        keep[order] = np.repeat((n > 1) | np.maximum.reduceat(twice[order], start), n)
-        out = [(c, r[k]) for c, r, k in zip(cut, runs, np.split(keep, np.cumsum(size)[:-1]), strict=True)]
-        out = [(c, r.tobytes()) for c, r in out if len(r)]
-        yield pa.RecordBatch.from_arrays([pa.array([host] * len(out), pa.string()), pa.array([c for c, _ in out], pa.int64()), pa.array([r for _, r in out], pa.binary())], ["host", "cut", "runs"])
+        keep[order] = np.repeat((n > 1) | (np.maximum.reduceat(twice[order], start) if len(start) else False), n)
+        often = common(_joined(blocks), _joined(_numbers(cells.column("counts"))), int(cells.column("pages").to_numpy().sum()))
+        out = [(c, r[k], b[np.isin(b, often)]) for c, r, k, b in zip(cut, runs, np.split(keep, np.cumsum(size)[:-1]), blocks, strict=True)]
+        out = [(host, c, r.tobytes(), b.tobytes()) for c, r, b in out if len(r) or len(b)]
+        types = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["host", "cut", "runs", "blocks"])
+
+    found = shards.mapInArrow(emit, "host string, bucket long, cut long, pages long, again long, runs binary, blocks binary, counts binary")
+    return found.repartition("host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(meet, "host string, cut long, runs binary, blocks binary")
+
 
-    found = shards.mapInArrow(emit, "host string, bucket long, cut long, again long, runs binary")
-    return found.repartition("host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(meet, "host string, cut long, runs binary")
+def _cut(parsed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """parsed with the shards of its host (cuts, 0 if one) and its own (cut).
+
+    The table of cut hosts is broadcast if it has at most ``HOSTS`` rows; else
+    its largest hosts are, and the others, of at most ``LARGE`` shards each, meet
+    their parsed blocks by a shuffle.
+    """
+    hot = sizes.filter(F.col("n") > 1).select(F.col("host").alias("hot"), "n")
+    if hot.limit(HOSTS + 1).count() <= HOSTS:
+        met = parsed.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left")
+    else:
+        largest = F.broadcast(hot.filter(F.col("n") > LARGE))
+        rest = parsed.join(largest.select("hot"), F.col("host") == F.col("hot"), "left_anti")
+        met = parsed.join(largest, F.col("host") == F.col("hot")).unionByName(rest.join(hot.filter(F.col("n") <= LARGE), F.col("host") == F.col("hot"), "left"))
+    cut = F.coalesce(F.pmod(F.xxhash64("page_key"), F.col("n")), F.lit(0))  # by the page's id alone, so all its rows are in one shard
+    return met.withColumn("cut", cut).withColumn("cuts", F.coalesce("n", F.lit(0))).drop("hot", "n")
 
 
 def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", run: int = RUN, shard: int = SHARD) -> DataFrame:
@@ -401,27 +577,25 @@ def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_column, url_column))
     source = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.coalesce(host_of(url_column), F.lit("")).alias("host"), F.xxhash64(id_column).alias("page_key"), F.col(html_column).alias("text"))
     cuts = F.greatest(F.ceil(F.count("*") / shard), F.ceil(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / SHARD_BYTES))
-    hot = source.groupBy("host").agg(cuts.alias("n")).filter(F.col("n") > 1).select(F.col("host").alias("hot"), "n")
-    if hot.limit(HOSTS + 1).count() <= HOSTS:
-        hot = F.broadcast(hot)
-    cut = F.coalesce(F.pmod(F.xxhash64("page_key"), F.col("n")), F.lit(0))  # by the page's id alone, so all its rows are in one shard
-    source = source.join(hot, F.col("host") == F.col("hot"), "left").select("page_id", "url", "host", "page_key", cut.alias("cut"), F.coalesce("n", F.lit(0)).alias("cuts"), "text")
 
     def read(part: pa.RecordBatch) -> list[pa.Array]:
-        found = [blocks(t.decode("utf-8", "replace")) for t in at.as_bytes(part.column("text")).to_pylist()]
-        return [pa.array(["".join(r for r, _ in b) for b in found], pa.string()), pa.array([[t for _, t in b] for b in found], pa.list_(pa.string()))]
+        whole, texts = [], []
+        for t in at.as_bytes(part.column("text")).to_pylist():
+            found = blocks(t.decode("utf-8", "replace"))
+            whole.append(any(r == "M" for r, _ in found))
+            texts.append([t for r, t in found if r == ("M" if whole[-1] else "U")])
+        return [pa.array(whole, pa.bool_()), pa.array(texts, pa.list_(pa.string()))]
 
-    kept = ["page_id", "url", "host", "page_key", "cut", "cuts"]
-    parsed = tm.map_slices(source, f"page_id {id_type}, url {url_type}, host string, page_key long, cut long, cuts long, roles string, blocks array<string>", read, kept)
-    shards = parsed.repartition("host", "cut").sortWithinPartitions("host", "cut")
-    known = repeated_runs(shards, run)
+    kept = ["page_id", "url", "host", "page_key"]
+    parsed = tm.map_slices(source, f"page_id {id_type}, url {url_type}, host string, page_key long, whole boolean, blocks array<string>", read, kept)
+    shards = _cut(parsed, source.groupBy("host").agg(cuts.alias("n"))).repartition("host", "cut").sortWithinPartitions("host", "cut")
 
     def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
-        runs = np.unique(_joined([np.frombuffer(r, np.int64) for r in found.column("runs").to_pylist()])) if rows.num_rows and rows.column("cuts")[0].as_py() else None
-        ids = rows.column("page_id").to_pylist()
-        done = main_texts(ids, rows.column("roles").to_pylist(), rows.column("blocks").to_pylist(), run, runs)
+        known = tuple(np.unique(_joined(_numbers(found.column(c)))) for c in ("runs", "blocks")) if rows.num_rows and rows.column("cuts")[0].as_py() else None
+        done = main_texts(*(rows.column(c).to_pylist() for c in ("page_key", "whole", "blocks")), run, known)
         counts = [pa.array([x[k] for x in done], pa.int64()) for k in (1, 2)]
         texts = pa.array([t for t, _, _ in done], pa.string())
         return pa.table([rows.column("page_id"), rows.column("url"), texts, pa.array([len(t) for t, _, _ in done], pa.int64()), *counts], ["page_id", "url", "text", "n_chars", "n_blocks", "n_repeated"])
 
-    return shards.groupBy("host", "cut").cogroup(known.groupBy("host", "cut")).applyInArrow(finish, f"page_id {id_type}, url {url_type}, text string, n_chars long, n_blocks long, n_repeated long")
+    marks = repeated_marks(shards, run)
+    return shards.groupBy("host", "cut").cogroup(marks.groupBy("host", "cut")).applyInArrow(finish, f"page_id {id_type}, url {url_type}, text string, n_chars long, n_blocks long, n_repeated long")

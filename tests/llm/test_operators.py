@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -314,6 +315,77 @@ def test_shards_of_a_host_change_no_result(spark, monkeypatch):
     assert rows_of(html.extract(d, shard=1000), *columns) == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<div " + "class=a " * 130_000 + ">x</div>", "<a <a " * 80_000 + '"' + "<a " * 160_000 + "'>\"", "<head>" * 170_000, "<head>" + "</head " * 140_000, "<a<a" * 250_000 + ' "<">', "<a \"'" * 200_000 + ">", "<!" * 500_000, "&#" + "1" * 1_000_000 + ";", "<div class='" + "_has-nav" * 125_000 + "'>z"],
+)
+def test_pages_are_read_in_linear_time(page):
+    began = time.process_time()
+    html.blocks(page)
+    assert time.process_time() - began < 2
+
+
+def test_tags_and_attributes():
+    page = "a<b x='>'>c</b><!--->d<!-- > -->e<a \"f>g"
+    tags, place, found = html.Tags(page), 0, []
+    while (tag := tags.find(place)) is not None:
+        place = tag[1]
+        found.append(page[tag[0] : tag[1]])
+    assert found == ["<b x='>'>", "</b>", "<!--->", "<!-- > -->"]
+    assert html.hints(' data-class="sidebar" class = main class="ad"') == "" and html.hints(" title='a>b' CLASS='x Ad'") == "hint" and html.hints(" id=comments") == "others"
+    assert html.unescape("&#00065;&#" + "9" * 5000 + ";&amp;&nosuch;") == "A\ufffd&&nosuch;"
+
+
+def test_repeated_is_brute_force():
+    for _ in range(60):
+        pages = [[" ".join(RNG.choice("abc") for _ in range(RNG.randrange(1, 9))) for _ in range(RNG.randrange(4))] for _ in range(5)]
+        keys = [RNG.randrange(4) for _ in pages]
+        where = {}
+        words = [[w for b in p for w in b.split()] for p in pages]
+        for k, w in zip(keys, words, strict=True):
+            for i in range(len(w) - 2):
+                where.setdefault(tuple(w[i : i + 3]), set()).add(k)
+        want = []
+        for p, w in zip(pages, words, strict=True):
+            cover = [any(len(where.get(tuple(w[i : i + 3]), ())) > 1 and i + 2 < len(w) for i in range(max(0, j - 2), j + 1)) for j in range(len(w))]
+            at = 0
+            for b in p:
+                n = len(b.split())
+                own, at = cover[at : at + n], at + n
+                i = 0
+                while i < n:
+                    j = i
+                    while j < n and own[j] == own[i]:
+                        j += 1
+                    want += [own[i] and (j - i >= 3 or j - i == n)] * (j - i)
+                    i = j
+        _, hit = html.repeated([k for k, p in zip(keys, pages, strict=True) for _ in p], [i for i, p in enumerate(pages) for _ in p], [b.encode() for p in pages for b in p], 3)
+        assert hit.tolist() == want
+
+
+def test_notices_within_articles(spark, monkeypatch):
+    notice, short = "Subscribe to our weekly letter and never miss a story", "Share"
+    own = [f"<p>{prose(40)}</p><p>{prose(30)}</p>" for _ in range(12)]
+    rows = [(i, "http://news/x", f"<article>{o}<p>{notice}</p><p>{short}</p>{'<p>of two pages only</p>' if i < 2 else ''}</article>") for i, o in enumerate(own)]
+    rows += [(3, "http://news/x", rows[3][2])] * 5  # repeated rows are one page
+    rows += [(100 + i, "http://copies/x", f"<article>{own[0]}<p>end</p></article>") for i in range(9)]  # an article that pages share
+    rows += [(200 + i, "http://few/x", f"<article>{own[i]}<p>{notice}</p></article>") for i in range(4)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    columns = ["page_id", "text", "n_chars", "n_blocks", "n_repeated"]
+    got = rows_of(html.extract(d), *columns)
+    text = {r[0]: r[1] for r in got}
+    plain = {r[0]: "\n".join(b for role, b in html.blocks(r[2]) if role == "M") for r in rows}
+    for i in range(12):
+        assert text[i] == plain[i].replace("\n" + notice, "").replace("\n" + short, "") and ("of two pages only" in text[i]) == (i < 2)
+    assert all(text[i] == plain[i] for i in plain if i >= 100)
+    assert sum(r[4] for r in got) == 17 * (len(notice.split()) + 1)
+    for size in (1, 3, 7):
+        assert rows_of(html.extract(d.repartition(5), shard=size), *columns) == got
+    monkeypatch.setattr(html, "HOSTS", 0)
+    monkeypatch.setattr(html, "LARGE", 3)
+    assert rows_of(html.extract(d, shard=3), *columns) == got
+
+
 # --- 6, 8, 10
 
 
