@@ -1,41 +1,54 @@
 """A corpus from raw documents: quality, near-duplicates, contamination, personal data, tokens.
 
-Each stage gets what its predecessor kept, as it was written and read again.
+Each stage gets what its predecessor kept, as it was written and read again, and
+all but the last return the columns of documents, extra ones included.  Whole
+texts count, however long.  A null text is an empty one; an empty table gives an
+empty table; repeated rows are judged one by one, but for ``near_dedup``.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import bpe, decontaminate, pii, quality, simhash
 from graphloom.llm.queries import _tokenizer, table
-from graphloom.llm.session import shared_folder
+from graphloom.storage import remove, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; the model is trained on the labelled rows among them."""
+    """Documents that the rules keep; the model is trained on the labelled rows among them.
+
+    A null or empty text has fewer than fifty words and goes.  Without labels of
+    both classes the base rules decide alone; a label whose id no document has
+    counts for nothing.
+    """
     return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one of the least id.
+
+    Texts without words are one group.  Of several rows of the least id the least
+    by content stays; a null id stays only where its group has no other.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
+    """Documents without a window of the benchmark; a null or empty text has none, nor has a null item."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates in their texts."""
-    return pii.redact(docs)
+    """All documents, with surrogates in their texts; a null text stays null, and n_chars follows the text.
+
+    The key is the session's (``pii.KEY``).
+    """
+    return pii.redact(docs, key=pii.key_of(spark))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents that are left."""
+    """Token counts and digests of the documents that are left, one row each; a null text has no tokens."""
     return bpe.annotate(docs, *_tokenizer(spark))
 
 
@@ -52,13 +65,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(path := f"{base}/{k}-{name}")
-        docs = spark.read.parquet(path)
-    return docs
+    """All stages over documents, each written as Parquet in the shared folder and read again.
+
+    A stage's folder goes once its successor is written, the last one with the
+    application.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(folder := scratch(spark, f"pipeline-{name}"))
+        docs = spark.read.parquet(folder)
+        if before:
+            remove(spark, before)
+        before = folder
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,9 +12,27 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def _file_system(spark: SparkSession, folder: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, folder)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)

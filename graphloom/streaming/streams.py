@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch
+
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
     """events as a stream; ts becomes a timestamp, which watermarks need."""
@@ -37,8 +37,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     Files serve append mode; complete mode replaces the table batch by batch.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-    base = f"{base}/{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(f"{base}/out")
