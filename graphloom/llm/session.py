@@ -3,25 +3,12 @@
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one under the warehouse where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+from ..storage import settle as settle
 
 
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:
