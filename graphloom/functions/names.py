@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 Name = Column | str
 
 #: Words of the syntax that extractors report as calls.
-SYNTAX_NOISE = (
-    "__block__ __aliases__ -> = :: << >> & |> fn {} %{} . @ \\\\ | <- <<>> == != || + - * / > < >= <= in not and or sigil_r sigil_H is_list length "
-    "use require import alias moduledoc doc shortdoc defstruct defdelegate behaviour callback impl"
-).split(" ")
+SYNTAX_NOISE = [
+    "__block__", "__aliases__", "->", "=", "::", "<<", ">>", "&", "|>", "fn", "{}", "%{}", ".", "@", '\\\\', "|", "<-", "<<>>", "==", "!=", "||", "+",
+    "-", "*", "/", ">", "<", ">=", "<=", "in", "not", "and", "or", "sigil_r", "sigil_H", "is_list", "length", "use", "require", "import", "alias",
+    "moduledoc", "doc", "shortdoc", "defstruct", "defdelegate", "behaviour", "callback", "impl",
+]
 #: Names that say nothing in rankings.
-GRAPH_NOISE = "cn clsx cva classnames twMerge cx Comp Slot forwardRef createContext useContext createElement createPortal createRef memo Fragment Children React".split(" ")
+GRAPH_NOISE = [
+    "cn", "clsx", "cva", "classnames", "twMerge", "cx", "Comp", "Slot", "forwardRef", "createContext", "useContext", "createElement", "createPortal",
+    "createRef", "memo", "Fragment", "Children", "React",
+]
+#: Further names that the node-link view leaves out.
+VIEW_NOISE = [
+    "i", "j", "k", "e", "x", "err", "key", "idx", "tmp", "val", "acc", "el", "ref", "ctx", "ev",
+]
 #: Layers by path segment, in the order in which the first match wins.
 LAYERS = {
     "ports": ["ports", "port", "contracts"],
@@ -27,7 +35,9 @@ LAYERS = {
     "presentation": ["components", "component", "pages", "page", "views", "view", "ui", "hooks", "app"],
     "lib": ["lib", "utils", "util", "helpers", "helper", "shared", "common"],
 }
+#: Folders of temporary files.
 TEMP = ["/var/", "/tmp/", "/private/var/", "/private/tmp/"]
+#: Languages by file extension.
 LANGUAGES = {
     "elixir": [".ex", ".exs"], "javascript": [".js", ".jsx", ".mjs"], "typescript": [".ts"], "tsx": [".tsx"], "python": [".py"], "go": [".go"],
     "rust": [".rs"], "java": [".java"], "ruby": [".rb"], "kotlin": [".kt", ".kts"], "swift": [".swift"],
@@ -72,6 +82,17 @@ def is_noise(name: Name) -> Column:
     return n.isin(GRAPH_NOISE) | n.rlike("^[A-Z][a-z]{0,3}$") | is_binding(n)
 
 
+def is_view_noise(name: Name) -> Column:
+    """Names that the node-link view leaves out."""
+    n = F.coalesce(_c(name), F.lit(""))
+    return (F.length(n) <= 2) | n.isin(GRAPH_NOISE + VIEW_NOISE) | n.rlike("^[A-Z][a-z]{0,3}$") | n.startswith("[") | n.startswith("{") | n.contains(",")
+
+
+def references(content: Name, name: Name) -> Column:
+    """The content has the name as a whole word."""
+    return F.regexp_like(_c(content), F.concat(F.lit(r"\b\Q"), F.replace(_c(name), F.lit(r"\E"), F.lit("")), F.lit(r"\E\b")))
+
+
 def is_test_file(path: Name) -> Column:
     return _c(path).rlike(r"[._](test|spec)\.[^./]+$|/__tests__/")
 
@@ -118,13 +139,27 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
-def import_matches(path: Name, target: str) -> Column:
-    """An import of ``target`` (it has a slash) names this file: prefixes and source suffixes are dropped."""
-    if "/" not in target:
-        return F.lit(False)
-    wanted = re.sub(r"^\./", "", re.sub(r"^\.\./", "", re.sub(r"^@/", "", target)))
-    stem = F.regexp_replace(_c(path), r"\.(ts|tsx|js|jsx)$", "")
-    return F.endswith(stem, F.lit(re.sub(r"\.(ts|tsx|js|jsx)$", "", wanted)))
+def import_stem(target: Name) -> Column:
+    """What an import path asks a file path to end with; null without a slash, as for packages."""
+    t = _c(target)
+    for prefix in ("^@/", r"^\.\./", r"^\./"):
+        t = F.regexp_replace(t, prefix, "")
+    return F.when(F.contains(_c(target), F.lit("/")), t)
+
+
+def without_extension(path: Name) -> Column:
+    """The path as imports write it."""
+    return F.regexp_replace(_c(path), r"\.(ts|tsx|js|jsx)$", "")
+
+
+def import_matches(path: Name, target: Name) -> Column:
+    """An import path names this file."""
+    return F.coalesce(F.endswith(without_extension(path), import_stem(target)), F.lit(False))
+
+
+def endings(text: Name) -> Column:
+    """All suffixes of a text, itself first: the keys of an equi-join on "ends with"."""
+    return F.transform(F.sequence(F.lit(1), F.length(_c(text)) + 1), lambda i: F.substr(_c(text), i))
 
 
 def stem(path: Name) -> Column:
@@ -148,6 +183,17 @@ def folder_group(path: Name) -> Column:
     return F.array_join(F.when(F.size(folders) > 2, F.slice(folders, -2, 2)).otherwise(folders), "/")
 
 
+def package(path: Name) -> Column:
+    """The last folder of a path, . without one."""
+    folder = F.substring_index(folder_group(path), "/", -1)
+    return F.when(folder == "", ".").otherwise(folder)
+
+
+def percent(part: Name, whole: Name) -> Column:
+    """Rounded percent of a whole, at most 100; 0 of nothing."""
+    return F.when(_c(whole) == 0, 0).otherwise(F.least(F.round(_c(part) / _c(whole) * 100).cast("int"), F.lit(100)))
+
+
 def collection_name(name: Name) -> Column:
     """Lower case, other characters than letters, digits and _ as _, no leading _, at most 60."""
     return F.substring(F.ltrim(F.regexp_replace(F.lower(_c(name)), "[^a-z0-9_]", "_"), F.lit("_")), 1, 60)

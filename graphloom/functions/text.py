@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ def bucket(term: Column | str) -> Column:
     return _md5_number(_c(term), 1) % DIMENSIONS
 
 
+def bucket_of(term: str) -> int:
+    """The bucket of a term at hand."""
+    return int(hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()[:8], 16) % DIMENSIONS
+
+
+def sign_of(term: str) -> float:
+    return 1.0 if int(hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()[8:16], 16) % 2 == 0 else -1.0
+
+
 def sign(term: Column | str) -> Column:
     return F.when(_md5_number(_c(term), 9) % 2 == 0, 1.0).otherwise(-1.0)
 

@@ -1,4 +1,4 @@
-"""Edges by name: exploding, resolving to entities, degrees.
+"""Edges by name: exploding, resolving to entities, degrees, the reverse index.
 
 A dotted-boundary match is an equi-join on suffix keys: a call meets an entity
 if the entity's whole name is one of the call's suffixes, or the call is one of
@@ -16,17 +16,27 @@ from ..storage import settle
 
 #: The order that decides every "first": the reference points of ties.
 ORDER = ["file_path", "start_line", "id"]
+#: Rows of a side that may be broadcast; they are names and places, some hundred bytes each.
+BROADCAST = 100_000
+#: Edges of one target from which it may count as hot.
+HOT = 1 << 16
 
 
 def edges(entities: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """(src_id, kind, pos, target): one row per edge, in array order."""
+    """(src_id, src_file, kind, pos, target): one row per edge, in array order."""
     out = None
     for kind in kinds or EDGE_KINDS:
-        rows = entities.select(F.col("id").alias("src_id"), F.lit(kind).alias("kind"), F.posexplode(kind).alias("pos", "target"))
+        rows = entities.select(F.col("id").alias("src_id"), F.col("file_path").alias("src_file"), F.lit(kind).alias("kind"), F.posexplode(kind).alias("pos", "target"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def near(df: DataFrame) -> DataFrame:
+    """Kept, and broadcast in a join if it has at most ``BROADCAST`` rows."""
+    df = settle(df)
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def matched(left: DataFrame, left_name: str, right: DataFrame, right_name: str) -> DataFrame:
     """All pairs of rows whose names match at a dotted boundary, once each.
 
@@ -41,30 +51,64 @@ def matched(left: DataFrame, left_name: str, right: DataFrame, right_name: str)
     return first.unionByName(second)
 
 
+def probed(few: DataFrame, few_name: str, many: DataFrame, many_name: str) -> DataFrame:
+    """The same pairs in one join: where the one side is small, the other is read once and not shuffled."""
+    keyed = near(few.select("*", F.posexplode(names.suffixes(few_name)).alias("_n", "_key")))
+    rows = many.select("*", F.posexplode(names.suffixes(many_name)).alias("_m", "_suffix"))
+    return rows.join(keyed, (F.col("_suffix") == F.col("_key")) & ((F.col("_n") == 0) | (F.col("_m") == 0))).drop("_n", "_m", "_key", "_suffix")
+
+
 def best(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
 
 
-def resolve_calls(entities: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def met_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, hot: int = HOT) -> DataFrame:
+    """rows left-joined with a table of one row per key, which says how many rows a key has.
+
+    A key of many rows would be one task of a shuffle, so keys of more than
+    ``hot`` rows, and of more than one 65536th of all, are broadcast: there are
+    fewer than 65536 of these.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    if total <= hot:
+        return rows.join(table.drop(count), key, "left")
+    bound = max(hot, total >> 16)
+    common = F.broadcast(table.filter(F.col(count) > bound).drop(count))
+    rest = rows.join(common.select(key), key, "left_anti").join(table.filter(F.col(count) <= bound).drop(count), key, "left")
+    return rows.join(common, key).unionByName(rest)
+
+
+def resolve_calls(entities: DataFrame, kinds: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
     """Each edge with its target entity, or null.
 
     Candidates match at a dotted boundary; where none does, those matching the
     call's last segment.  Of several, one of the caller's file, else the first.
-    Distinct targets are resolved once per (target, file) pair that occurs.
+    Distinct targets, and distinct last segments of those that stay unresolved,
+    are looked up once; the first overall and the first per file are chosen
+    before any edge is met, so no edge meets all candidates.  ``sources``: the
+    entities whose edges are asked for, if not all.
     """
-    all_ = edges(entities, kinds or ["calls"]).join(entities.select(F.col("id").alias("_id"), F.col("file_path").alias("src_file")), F.col("src_id") == F.col("_id")).drop("_id")
-    wanted = all_.select(F.col("target").alias("t")).distinct()
+    all_ = edges(entities if sources is None else sources, kinds or ["calls"]).withColumn("k", F.lower("target"))
+    wanted = settle(all_.groupBy("k").agg(F.count("*").alias("n")))
     known = entities.select(F.col("id").alias("dst_id"), F.col("name").alias("dst_name"), F.col("file_path").alias("dst_file"), F.col("start_line").alias("dst_line"))
-    direct = settle(matched(wanted, "t", known, "dst_name").withColumn("strategy", F.lit(1)))
-    missing = wanted.join(direct.select(F.col("t").alias("_t")).distinct(), F.col("t") == F.col("_t"), "left_anti")
-    retry = matched(missing.withColumn("segment", names.last_segment("t")), "segment", known, "dst_name").drop("segment").withColumn("strategy", F.lit(2))
-    found = direct.unionByName(settle(retry))
-    overall = best(found, ["t"], ["dst_file", "dst_line", "dst_id"]).select("t", F.struct("dst_id", "dst_name", "dst_file", "dst_line", "strategy").alias("any"))
-    local = best(found, ["t", "dst_file"], ["dst_line", "dst_id"]).select(F.col("t").alias("lt"), F.col("dst_file").alias("lf"), F.struct("dst_id", "dst_name", "dst_file", "dst_line", "strategy").alias("own"))
-    rows = all_.join(overall, F.col("target") == F.col("t"), "left").join(local, (F.col("target") == F.col("lt")) & (F.col("src_file") == F.col("lf")), "left")
+
+    def found(keys: DataFrame) -> DataFrame:
+        return settle(probed(keys, "k", known, "dst_name"))
+
+    direct = found(wanted.select("k"))
+    solved = direct.select("k").distinct()
+    missing = settle(wanted.join(solved, "k", "left_anti").select("k", names.last_segment("k").alias("segment")))
+    again = found(missing.select(F.col("segment").alias("k")).distinct().join(solved, "k", "left_anti"))
+    both = direct.unionByName(again)
+    entity = F.struct("dst_id", "dst_name", "dst_file", "dst_line")
+    overall = best(both, ["k"], ["dst_file", "dst_line", "dst_id"]).select(F.col("k").alias("q"), entity.alias("any"))
+    local = best(both, ["k", "dst_file"], ["dst_line", "dst_id"]).select(F.col("k").alias("q"), F.col("dst_file").alias("src_file"), entity.alias("own"))
+    asked = wanted.join(missing, "k", "left").select("k", "n", F.coalesce("segment", "k").alias("q"), F.when(F.col("segment").isNull(), 1).otherwise(2).alias("way"))
+    asked = asked.join(overall, "q", "left")
+    rows = met_by_key(all_, asked, "k", "n").join(local, ["q", "src_file"], "left")
     chosen = F.coalesce("own", "any")
-    return rows.select("src_id", "kind", "pos", "target", "src_file", *(chosen[c].alias(c) for c in ("dst_id", "dst_name", "dst_file", "dst_line", "strategy")))
+    return rows.select("src_id", "kind", "pos", "target", "src_file", *(chosen[c].alias(c) for c in ("dst_id", "dst_name", "dst_file", "dst_line")), F.when(chosen.isNotNull(), F.col("way")).alias("strategy"))
 
 
 def degrees(entities: DataFrame) -> DataFrame:
@@ -77,9 +121,32 @@ def degrees(entities: DataFrame) -> DataFrame:
     refs = edges(entities).groupBy(F.lower("target").alias("ref")).agg(F.count("*").alias("n"))
     known = entities.select(F.col("id").alias("dst_id"), F.lower("name").alias("dst_name"), F.col("file_path").alias("dst_file"), F.col("start_line").alias("dst_line"))
     exact = best(known, ["dst_name"], ["dst_file", "dst_line", "dst_id"])
-    hit = refs.join(exact, F.col("ref") == F.col("dst_name"), "left")
+    hit = settle(refs.join(exact, F.col("ref") == F.col("dst_name"), "left"))
     rest = hit.filter(F.col("dst_id").isNull() & (F.length("ref") > 2)).select("ref", "n")
-    near = best(matched(rest, "ref", known, "dst_name"), ["ref"], ["dst_file", "dst_line", "dst_id"])
+    near = best(probed(rest, "ref", known, "dst_name"), ["ref"], ["dst_file", "dst_line", "dst_id"])
     incoming = hit.filter(F.col("dst_id").isNotNull()).select("dst_id", "n").unionByName(near.select("dst_id", "n")).groupBy("dst_id").agg(F.sum("n").alias("incoming_count"))
     out = F.size("calls") + F.size("is_a") + F.size("contains")
     return entities.join(incoming, F.col("id") == F.col("dst_id"), "left").drop("dst_id").withColumn("incoming_count", F.coalesce("incoming_count", F.lit(0))).withColumn("outgoing_degree", out.cast("long"))
+
+
+#: Columns of an entity in the reverse index.
+SOURCE = {"id": "s_id", "name": "s_name", "file_path": "s_file", "entity_type": "s_type", "start_line": "s_start", "end_line": "s_end"}
+
+
+def reference_index(entities: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """The reverse index: a row per suffix key of each distinct edge, with the entity it comes from.
+
+    ``exact`` says that the key is the edge's whole target.
+    """
+    out = None
+    for kind in kinds or ["calls", "is_a"]:
+        rows = entities.select(*(F.col(c).alias(a) for c, a in SOURCE.items()), F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.transform(kind, F.lower))).alias("target"))
+        rows = rows.select("*", F.posexplode(names.suffixes("target")).alias("_m", "key")).withColumn("exact", F.col("_m") == 0).drop("_m", "target")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def referring(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Index rows whose target matches ``at`` of wanted, which has one row per name."""
+    keyed = near(wanted.select("at", F.posexplode(names.suffixes("at")).alias("_n", "key")))
+    return index.join(keyed, "key").filter((F.col("_n") == 0) | F.col("exact")).drop("_n", "key", "exact")

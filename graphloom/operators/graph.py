@@ -1,35 +1,43 @@
-"""Questions to the code graph: callers, callees, impact, coupling, hierarchy, dead code, centrality."""
+"""Questions to the code graph: callers, callees, impact, coupling, hierarchy, dead code, centrality, the view."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..storage import settle
-from .edges import ORDER, best, edges, matched, resolve_calls
+from .edges import ORDER, best, edges, near, probed, reference_index, referring, resolve_calls
 
-#: What frameworks call by convention, so it is never dead.
-EXPORTS = "GET POST PUT PATCH DELETE HEAD OPTIONS default generateStaticParams generateMetadata loader action headers links handle".split(" ")
+#: Names that web frameworks call by convention.
+EXPORTS = [
+    "GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "default", "generateStaticParams", "generateMetadata", "loader", "action", "headers", "links", "handle",
+]
+#: Beginnings of names that the test runner calls.
 GO_TESTS = ["Test", "Benchmark", "Fuzz", "Example"]
-CALLBACKS = (
-    "init terminate code_change child_spec start_link handle_call handle_cast handle_info handle_continue handle_demand handle_subscribe handle_cancel handle_events "
-    "handle_notify handle_message handle_batch handle_failed mount render update handle_params handle_event handle_async on_mount"
-).split(" ")
-FILES = "page layout loading error not-found template route global-error global-not-found sitemap robots manifest default".split(" ")
+#: Names that frameworks call back.
+CALLBACKS = [
+    "init", "terminate", "code_change", "child_spec", "start_link", "handle_call", "handle_cast", "handle_info", "handle_continue", "handle_demand",
+    "handle_subscribe", "handle_cancel", "handle_events", "handle_notify", "handle_message", "handle_batch", "handle_failed", "mount", "render", "update",
+    "handle_params", "handle_event", "handle_async", "on_mount",
+]
+#: Files whose exports the router calls.
+FILES = ["page", "layout", "loading", "error", "not-found", "template", "route", "global-error", "global-not-found", "sitemap", "robots", "manifest", "default"]
 WEB = ["javascript", "typescript", "tsx"]
+FUNCTIONS = ["function", "method"]
+PORTS = ["interface", "struct"]
 
 
-def conventional() -> F.Column:
+def conventional() -> Column:
     """Entities that tests, routers or frameworks call without a call in the code."""
-    name, path, lang = F.col("name"), F.col("file_path"), F.coalesce("language", F.lit(""))
+    name, path, lang = F.coalesce("name", F.lit("")), F.coalesce("file_path", F.lit("")), F.coalesce("language", F.lit(""))
     base = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]+$", "")
     by_file = base.isin(FILES) & ((name == base) | name.rlike("^[A-Z]|^(get|fetch|load|generate)[A-Z]"))
     go = F.lit(False)
     for prefix in GO_TESTS:
         go = go | name.startswith(prefix)
     elixir = path.endswith("_controller.ex") | name.isin(CALLBACKS)
-    return names.is_test_file(path) | ((lang == "elixir") & elixir) | ((lang == "go") & go) | (lang.isin(WEB) & (name.isin(EXPORTS) | by_file | path.contains("components/ui/")))
+    return names.is_test_file(path) | ((lang == "elixir") & elixir) | ((lang == "go") & go) | (lang.isin(WEB) & (name.isin(EXPORTS) | by_file | path.contains("/components/ui/")))
 
 
 def find(entities: DataFrame, name: str) -> DataFrame:
@@ -37,49 +45,49 @@ def find(entities: DataFrame, name: str) -> DataFrame:
     low = name.lower()
     key = F.lit(low)
     stemmed = F.lit(low.replace("-", "").replace("_", ""))
-    strategy = F.when(names.matches("name", F.lit(name)), 1).when(names.stem("file_path") == stemmed, 2).when(F.lower("name").contains(key) | F.contains(key, F.lower("name")), 3)
+    within = (F.lower("name") != "") & (key != "") & (F.lower("name").contains(key) | F.contains(key, F.lower("name")))
+    strategy = F.when(names.matches("name", F.lit(name)), 1).when((stemmed != "") & (names.stem("file_path") == stemmed), 2).when(within, 3)
     return entities.withColumn("strategy", strategy).filter("strategy is not null").orderBy("strategy", *ORDER).limit(1)
 
 
-def _references(entities: DataFrame, kinds: list[str], name: str) -> DataFrame:
-    hit = None
-    for k in kinds:
-        some = F.exists(k, lambda x: names.matches(x, F.lit(name)))
-        hit = some if hit is None else hit | some
-    return entities.filter(hit)
+def _referring(entities: DataFrame, kind: str, name: str) -> DataFrame:
+    return entities.filter(F.exists(kind, lambda x: names.matches(x, F.lit(name))))
 
 
-def refined(rows: DataFrame, entities: DataFrame, target: str) -> DataFrame:
-    """Module-level callers become the function of their file that calls ``target`` (a column), in their lines first.
+def refined(callers: DataFrame, functions: DataFrame, on: list[str]) -> DataFrame:
+    """Callers that are no functions become the function of their file that makes the call, in their lines first.
 
-    rows: entity columns of the callers plus the target column.  Files are the join key; the line range only orders.
+    callers: s_ columns and ``on``; functions: f_id, f_name, f_type, f_start,
+    f_end and ``on``, which has the file.  Both are about one or more targets.
     """
-    inner = edges(entities.filter("entity_type in ('function', 'method', 'macro')"), ["calls"]).select("src_id", F.col("target").alias("_t"))
-    inner = inner.join(entities.select(F.col("id").alias("_i"), F.col("file_path").alias("_f"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), F.col("name").alias("_n"), F.col("entity_type").alias("_k")), F.col("src_id") == F.col("_i"))
-    modules = rows.filter("entity_type = 'module'")
-    met = modules.join(inner, (F.col("file_path") == F.col("_f")) & names.matches(F.col(target), F.col("_t")))
-    within = ((F.col("_s") >= F.col("start_line")) & (F.col("_e") <= F.col("end_line"))).cast("int")
-    keys = ["id", target]
-    one = best(met, keys, [F.desc(within), "_s", "_i"]).select(F.col("id").alias("_m"), F.col(target).alias("_mt"), F.col("_i").alias("fn_id"), F.col("_n").alias("fn_name"), F.col("_k").alias("fn_type"))
-    return rows.join(one, (F.col("id") == F.col("_m")) & (F.col(target) == F.col("_mt")), "left").drop("_m", "_mt")
+    outer = callers.filter(~F.coalesce("s_type", F.lit("")).isin(FUNCTIONS) & F.col("s_file").isNotNull())
+    within = ((F.col("s_end") > F.col("s_start")) & (F.col("f_start") >= F.col("s_start")) & (F.col("f_end") <= F.col("s_end"))).cast("int")
+    keys = ["s_id", *[c for c in on if c != "s_file"]]
+    one = best(outer.join(functions, on), keys, [F.desc(within), "f_start", "f_id"]).select(*keys, "f_id", "f_name", "f_type")
+    rows = callers.join(one, keys, "left")
+    return rows.withColumn("n_id", F.coalesce("f_id", "s_id")).withColumn("n_name", F.coalesce("f_name", "s_name")).withColumn("n_type", F.coalesce("f_type", "s_type")).drop("f_id", "f_name", "f_type")
+
+
+def _as_functions(rows: DataFrame, *more: str) -> DataFrame:
+    """Functions among callers, as ``refined`` wants them."""
+    return rows.filter(F.col("s_type").isin(FUNCTIONS)).select(*more, "s_file", *(F.col(f"s_{c}").alias(f"f_{c}") for c in ("id", "name", "type", "start", "end"))).distinct()
 
 
 def callers(entities: DataFrame, name: str, limit: int = 20) -> DataFrame:
     """Who calls ``name`` (dotted match) or imports it (substring of is_a), callers first.
 
-    The limit comes before modules are refined to their functions, so fewer
-    rows can come back; a module goes when a function of its file is there.
+    The limit comes before callers are refined to functions, so fewer rows can
+    come back; a module goes when a function of its file is there.
     """
-    low = name.lower()
-    calling = _references(entities, ["calls"], name).withColumn("rank", F.lit(1))
-    importing = entities.filter(F.exists("is_a", lambda x: F.contains(F.lower(x), F.lit(low)))).withColumn("rank", F.lit(2))
-    both = settle(best(calling.unionByName(importing), ["id"], ["rank"]).orderBy("rank", *ORDER).limit(limit))
-    rows = refined(both.withColumn("target", F.lit(name)), entities, "target")
-    rows = rows.select(F.coalesce("fn_id", "id").alias("id"), F.coalesce("fn_name", "name").alias("name"), "file_path", F.coalesce("fn_type", "entity_type").alias("kind"), "rank")
+    own = [F.col(c).alias(f"s_{a}") for c, a in (("id", "id"), ("name", "name"), ("file_path", "file"), ("entity_type", "type"), ("start_line", "start"), ("end_line", "end"))]
+    calling = _referring(entities, "calls", name)
+    both = calling.withColumn("rank", F.lit(1)).unionByName(importers(entities, name).withColumn("rank", F.lit(2)))
+    both = settle(best(both, ["id"], ["rank"]).orderBy("rank", *ORDER).limit(limit).select(*own, "rank"))
+    functions = _as_functions(calling.select(*own).join(F.broadcast(both.select("s_file").distinct()), "s_file", "left_semi"))
+    rows = refined(both, functions, ["s_file"]).select(F.col("n_id").alias("id"), F.col("n_name").alias("name"), F.col("s_file").alias("file_path"), F.col("n_type").alias("kind"), "rank")
     rows = settle(best(rows, ["id"], ["rank", "name"]))
-    functions = rows.filter("kind <> 'module'").select(F.col("file_path").alias("_f")).distinct()
-    modules = rows.filter("kind = 'module'").join(functions, F.col("file_path") == F.col("_f"), "left_anti")
-    return rows.filter("kind <> 'module'").unionByName(modules)
+    taken = rows.filter(F.col("kind").isin(FUNCTIONS)).select(F.col("file_path").alias("_f")).distinct()
+    return rows.join(taken, (F.col("kind") == "module") & (F.col("file_path") == F.col("_f")), "left_anti")
 
 
 def importers(entities: DataFrame, name: str) -> DataFrame:
@@ -87,35 +95,31 @@ def importers(entities: DataFrame, name: str) -> DataFrame:
 
 
 def callees(entities: DataFrame, name: str, limit: int = 20) -> DataFrame:
-    """The calls of the entity a text means, in order, each with its target or unresolved."""
-    one = find(entities, name).select(F.col("id").alias("root_id"))
-    rows = resolve_calls(entities).join(F.broadcast(one), F.col("src_id") == F.col("root_id")).filter(F.col("pos") < limit)
+    """The first calls of the entity a text means, in order, each with its target or unresolved."""
+    one = find(entities, name).withColumn("calls", F.slice("calls", 1, limit))
+    rows = resolve_calls(entities, sources=settle(one))
     return rows.select("pos", "target", "dst_id", "dst_name", "dst_file", F.col("dst_id").isNotNull().alias("resolved"))
 
 
-def links(entities: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """(target, source key, source): the reverse index from lower-cased edge values to sources."""
-    rows = edges(entities, kinds or ["calls", "is_a"]).select("src_id", F.lower("target").alias("target")).distinct()
-    known = entities.select("id", "name", "file_path", "entity_type", "start_line", "end_line")
-    return rows.join(known, F.col("src_id") == F.col("id")).drop("src_id")
-
-
-def impact(entities: DataFrame, name: str, depth: int = 3) -> DataFrame:
+def impact(entities: DataFrame, name: str, depth: int = 3, index: DataFrame | None = None) -> DataFrame:
     """All bounded paths of dependents of ``name``: (depth, path, name, file_path).
 
-    One join per level on suffix keys.  A node is (name, file); a path doesn't
-    visit one twice, other paths may; the root is not part of a path.
+    Each level meets the reverse index (``index``, if it is stored) by the names
+    it has reached.  Callers count once by name and file; those already on the
+    path are left out; then they are refined to functions, under whose names the
+    next level goes on.  Other paths may visit a node again; the root is not
+    part of a path.
     """
-    index = settle(links(entities).select(F.col("target"), F.col("name").alias("s_name"), F.col("file_path").alias("s_file")).distinct())
+    index = settle(reference_index(entities)) if index is None else index
     spark = entities.sparkSession
-    level = spark.createDataFrame([(name, [])], "at string, path array<string>")
-    out = None
+    level, out = spark.createDataFrame([(name, [])], "at string, path array<string>"), None
     for d in range(1, depth + 1):
-        wanted = level.select("at").distinct()
-        met = matched(wanted, "at", index, "target").select(F.col("at").alias("_at"), "s_name", "s_file").distinct()
-        step = level.join(met, F.col("at") == F.col("_at"))
-        key = F.concat_ws("|", "s_name", "s_file")
-        step = settle(step.filter(~F.array_contains("path", key)).select(F.col("s_name").alias("at"), F.array_append("path", key).alias("path"), F.col("s_file").alias("file_path")))
+        met = settle(referring(index, level.select("at").distinct()))
+        first = best(met, ["at", "s_name", "s_file"], ["s_start", "s_id"]).drop("kind")
+        nodes = refined(first, _as_functions(met.filter("kind = 'calls'"), "at"), ["at", "s_file"])
+        key = [F.concat_ws("|", F.coalesce(c, F.lit("")), F.coalesce("s_file", F.lit(""))) for c in ("s_name", "n_name")]
+        step = level.join(nodes, "at").filter(~F.array_contains("path", key[0]))
+        step = settle(step.select(F.col("n_name").alias("at"), F.array_append("path", key[1]).alias("path"), F.col("s_file").alias("file_path")))
         rows = step.select(F.lit(d).alias("depth"), F.array_join("path", " > ").alias("path"), F.col("at").alias("name"), "file_path")
         out = rows if out is None else out.unionByName(rows)
         level = step.select("at", "path")
@@ -124,25 +128,60 @@ def impact(entities: DataFrame, name: str, depth: int = 3) -> DataFrame:
     return out
 
 
-def affected_files(entities: DataFrame, name: str, depth: int = 3) -> DataFrame:
-    return impact(entities, name, depth).groupBy("file_path").agg(F.count("*").alias("n_paths"), F.min("depth").alias("nearest"))
+def affected_files(entities: DataFrame, name: str, depth: int = 3, index: DataFrame | None = None) -> DataFrame:
+    return impact(entities, name, depth, index).groupBy("file_path").agg(F.count("*").alias("n_paths"), F.min("depth").alias("nearest"))
+
+
+def _imports(column: str) -> Column:
+    return F.filter(F.transform(column, names.import_stem), lambda x: x.isNotNull())
+
+
+def connections(entities: DataFrame, file: str) -> DataFrame:
+    """(file_path, from_name, to_name, direction, counts): what couples other files to ``file``.
+
+    ``incoming``: they call one of its names; ``outgoing``: it calls theirs, calls
+    within it left out; ``imports`` and ``imported_by``: import paths that name a
+    file, one row per direction.  Relations of binding patterns don't count.
+    """
+    own = settle(entities.filter(F.col("file_path") == file).select("id", "name", "start_line", "calls", "is_a"))
+    others = entities.filter(F.col("file_path") != file)
+    own_names = own.select(F.col("name").alias("own_name")).filter("own_name is not null").distinct()
+    made = others.select("file_path", F.coalesce("name", F.lit("")).alias("name"), F.explode(F.array_distinct("calls")).alias("call"))
+    incoming = probed(own_names, "own_name", made, "call").groupBy("file_path", "name", "call").agg(F.min("own_name").alias("to_name"))
+    incoming = incoming.select("file_path", F.col("name").alias("from_name"), "to_name", F.lit("incoming").alias("direction")).distinct()
+    calls = own.select(F.col("name").alias("caller"), "start_line", "id", F.explode("calls").alias("call"))
+    within = probed(own_names, "own_name", calls.select("call").distinct(), "call").select(F.col("call").alias("_c")).distinct()
+    calls = calls.join(within, F.col("call") == F.col("_c"), "left").withColumn("outside", F.col("_c").isNull()).drop("_c")
+    named = others.select("file_path", F.coalesce("name", F.lit("")).alias("name")).distinct()
+    outgoing = probed(calls, "call", named, "name").groupBy("file_path", "name").agg(F.max("outside").alias("outside"), F.min_by("caller", F.struct("start_line", "id")).alias("from_name"))
+    outgoing = outgoing.filter("outside").select("file_path", F.coalesce("from_name", F.lit("unknown")).alias("from_name"), F.col("name").alias("to_name"), F.lit("outgoing").alias("direction"))
+    base, stem = file.rsplit("/", 1)[-1], names.without_extension(F.lit(file))
+    first = [F.min(F.coalesce("name", F.lit(""))).alias("name")]
+    imports = others.filter(F.exists(_imports("is_a"), lambda x: F.endswith(stem, x))).groupBy("file_path").agg(*first)
+    imports = imports.select("file_path", F.col("name").alias("from_name"), F.lit(base).alias("to_name"), F.lit("imports").alias("direction"))
+    asked = near(own.select(F.explode(_imports("is_a")).alias("asked")).distinct())
+    ends = others.select("file_path").distinct().select("file_path", F.explode(names.endings(names.without_extension("file_path"))).alias("asked"))
+    reached = near(ends.join(asked, "asked").select(F.col("file_path").alias("_f")).distinct())
+    imported = others.join(reached, F.col("file_path") == F.col("_f"), "left_semi").groupBy("file_path").agg(*first)
+    imported = imported.select("file_path", F.lit(base).alias("from_name"), F.col("name").alias("to_name"), F.lit("imported_by").alias("direction"))
+    rows = incoming.unionByName(outgoing).withColumn("counts", ~names.is_binding("from_name") & ~names.is_binding("to_name"))
+    return rows.unionByName(imports.unionByName(imported).withColumn("counts", F.lit(True)))
 
 
 def community(entities: DataFrame, file: str, limit: int = 10) -> DataFrame:
-    """Files coupled to ``file`` by calls and imports either way, with the number of distinct relations."""
-    own = entities.filter(F.col("file_path") == file)
-    other = entities.filter(F.col("file_path") != file)
+    """Files coupled to ``file``, with the number of distinct relations."""
+    score = F.sum(F.col("counts").cast("long")).alias("coupling_score")
+    kinds = F.count_distinct(F.when(F.col("counts"), F.col("direction"))).alias("n_directions")
+    return connections(entities, file).groupBy("file_path").agg(score, kinds).orderBy(F.desc("coupling_score"), "file_path").limit(limit)
 
-    def pairs(source: DataFrame, target: DataFrame, kind: str, direction: str, other_side: str) -> DataFrame:
-        s = edges(source, [kind]).join(source.select(F.col("id").alias("_i"), F.col("name").alias("from_name"), F.col("file_path").alias("from_file")), F.col("src_id") == F.col("_i"))
-        s = s.filter(~names.is_binding("target")).select("target", "from_name", "from_file").distinct()
-        t = target.filter(~names.is_binding("name")).select(F.col("name").alias("to_name"), F.col("file_path").alias("to_file")).distinct()
-        met = matched(s, "target", t, "to_name")
-        return met.select(F.col(f"{other_side}_file").alias("file_path"), "from_name", "to_name", F.lit(direction).alias("direction"))
 
-    rows = pairs(own, other, "calls", "outgoing", "to").unionByName(pairs(other, own, "calls", "incoming", "from"))
-    rows = rows.unionByName(pairs(own, other, "is_a", "imports", "to")).unionByName(pairs(other, own, "is_a", "imported_by", "from")).distinct()
-    return rows.groupBy("file_path").agg(F.count("*").alias("coupling_score"), F.countDistinct("direction").alias("n_directions")).orderBy(F.desc("coupling_score"), "file_path").limit(limit)
+def grouped_connections(rows: DataFrame, shown: int = 3) -> DataFrame:
+    """Connections by file and direction: the first few as text, and how many more there are."""
+    order = Window.partitionBy("file_path", "direction").orderBy("from_name", "to_name")
+    rows = rows.filter("counts").withColumn("_n", F.row_number().over(order))
+    text = F.concat_ws(" -> ", "from_name", "to_name")
+    first = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_n") <= shown, F.struct("_n", text.alias("t"))))), lambda x: x["t"]), "; ")
+    return rows.groupBy("file_path", "direction").agg(first.alias("shown"), F.greatest(F.count("*") - shown, F.lit(0)).alias("more"))
 
 
 def nested(entities: DataFrame) -> DataFrame:
@@ -152,44 +191,85 @@ def nested(entities: DataFrame) -> DataFrame:
     return a.join(b, (F.col("f") == F.col("file_path")) & (F.col("start_line") > F.col("s")) & (F.col("end_line") <= F.col("e")) & (F.col("child") != F.col("n"))).select("parent_id", "child_id")
 
 
-def _described(listed: DataFrame, entities: DataFrame) -> DataFrame:
-    """ref -> the entity it means, or unresolved."""
-    known = entities.select(F.col("id").alias("dst_id"), F.col("name").alias("dst_name"), F.col("file_path").alias("dst_file"), F.col("start_line").alias("dst_line"))
-    hit = best(matched(listed, "ref", known, "dst_name"), ["ref"], ["dst_file", "dst_line", "dst_id"]).select(F.col("ref").alias("_r"), "dst_id", "dst_name", "dst_file")
-    return listed.join(hit, F.col("ref") == F.col("_r"), "left").drop("_r")
+def _expanded(ref: str, aliases: dict[str, list[str]]) -> Column:
+    """What an import path may mean under path aliases, as they stand in project settings, and last itself."""
+    out = []
+    for pattern, targets in aliases.items():
+        for target in targets:
+            if pattern.endswith("/*"):
+                prefix = pattern.removesuffix("*")
+                text = F.regexp_replace(F.replace(F.lit(target), F.lit("*"), F.substr(F.col(ref), F.lit(len(prefix) + 1))), r"^\./", "")
+                out.append(F.when(F.col(ref).startswith(prefix), text))
+            else:
+                out.append(F.when(F.col(ref) == pattern, F.regexp_replace(F.lit(target), r"^\./", "")))
+    return F.filter(F.array(*out, F.col(ref)), lambda x: x.isNotNull())
 
 
-def parents(entities: DataFrame, name: str) -> DataFrame:
-    """What the entity is_a, described."""
-    return _described(find(entities, name).select(F.explode("is_a").alias("ref")).distinct(), entities)
+def resolve_names(listed: DataFrame, entities: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """listed: distinct ``ref``.  (ref, name, file_path, entity_type, way): the entity each one means.
 
+    Way 1: a dotted match.  For import paths (from @, ~, ./ or ../) that have
+    none, way 2: the first of their meanings under ``aliases`` that a file path
+    ends with; way 3: a file of that base name.  Null: unresolved.
+    """
+    known = entities.select("name", "file_path", "entity_type", "start_line", "id")
+    way1 = settle(best(probed(listed, "ref", known, "name"), ["ref"], ORDER).withColumn("way", F.lit(1)))
+    rest = settle(listed.join(way1.select("ref"), "ref", "left_anti").filter(F.col("ref").rlike(r"^[@~].*/|^\.\.?/")))
+    paths = rest.select("ref", F.posexplode(_expanded("ref", aliases or {})).alias("nth", "path")).select("ref", "nth", names.import_stem("path").alias("asked")).filter("asked is not null")
+    ends = known.select("file_path").distinct().select(F.col("file_path").alias("_f"), F.explode(names.endings(names.without_extension("file_path"))).alias("asked"))
+    hits = near(ends.join(near(paths), "asked").select("ref", "nth", "_f"))
+    way2 = settle(best(known.join(hits, F.col("file_path") == F.col("_f")), ["ref"], ["nth", *ORDER]).drop("nth", "_f").withColumn("way", F.lit(2)))
+    last = near(rest.join(way2.select("ref"), "ref", "left_anti").select("ref", F.lower(F.regexp_replace(F.substring_index("ref", "/", -1), "[-_]", "")).alias("_s")).filter("_s <> ''"))
+    way3 = best(known.join(last, names.stem("file_path") == F.col("_s")), ["ref"], ORDER).drop("_s").withColumn("way", F.lit(3))
+    found = way1.unionByName(way2).unionByName(way3)
+    return listed.join(found, "ref", "left").select("ref", "name", "file_path", "entity_type", "way", F.col("id").alias("dst_id"))
+
+
+def parents(entities: DataFrame, name: str, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """What the entity is_a, described."""
+    return resolve_names(settle(find(entities, name).select(F.explode("is_a").alias("ref")).distinct()), entities, aliases)
 
-def children(entities: DataFrame, name: str) -> DataFrame:
-    """What the entity contains, plus capitalised dotless calls of functions, plus nested declarations; by (name, file)."""
-    one = find(entities, name)
-    tags = F.when(F.col("entity_type").isin("function", "method"), F.filter("calls", lambda c: c.rlike("^[A-Z][^.]*$"))).otherwise(F.array().cast("array<string>"))
-    listed = _described(one.select(F.explode(F.concat("contains", tags)).alias("ref")).distinct(), entities)
-    listed = listed.select(F.coalesce("dst_name", "ref").alias("name"), F.coalesce("dst_file", F.lit("")).alias("file_path"))
-    inner = entities.join(F.broadcast(one.select(F.col("file_path").alias("f"), F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("name").alias("n"))), (F.col("file_path") == F.col("f")) & (F.col("start_line") > F.col("s")) & (F.col("end_line") <= F.col("e")) & (F.col("name") != F.col("n")))
-    return listed.unionByName(inner.select("name", "file_path")).dropDuplicates(["name", "file_path"])
 
+def children(entities: DataFrame, name: str, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """(name, file_path, resolved) of what the entity contains, unresolved under its own name.
 
-def implementors(entities: DataFrame) -> DataFrame:
-    """(port, name, file_path) of everything that is_a an interface or struct, by name without case."""
-    ports = entities.filter(F.col("entity_type").isin("interface", "struct")).select(F.col("name").alias("port")).distinct()
+    For a function or method also the entities its capitalised dotless calls
+    mean, and functions declared within its lines; by (name, file).
+    """
+    one = settle(find(entities, name))
+    listed = one.select("entity_type", F.explode("contains").alias("ref"), F.lit(False).alias("tag"))
+    tags = one.filter(F.col("entity_type").isin(FUNCTIONS)).select("entity_type", F.explode(F.filter("calls", lambda c: c.rlike("^[A-Z][^.]*$"))).alias("ref"), F.lit(True).alias("tag"))
+    listed = settle(listed.unionByName(tags))
+    means = resolve_names(listed.select("ref").distinct(), entities, aliases).withColumnRenamed("entity_type", "_t")
+    rows = listed.join(means, "ref").filter(~F.col("tag") | F.col("way").isNotNull())
+    rows = rows.select(F.coalesce("name", "ref").alias("name"), F.coalesce("file_path", F.lit("")).alias("file_path"), F.col("way").isNotNull().alias("resolved"))
+    place = F.broadcast(one.filter(F.col("entity_type").isin(FUNCTIONS) & (F.col("end_line") > F.col("start_line"))).select(F.col("file_path").alias("f"), F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("name").alias("n")))
+    inner = entities.filter(F.col("entity_type").isin(FUNCTIONS)).join(place, (F.col("file_path") == F.col("f")) & (F.col("start_line") > F.col("s")) & (F.col("end_line") <= F.col("e")) & (F.col("name") != F.col("n")))
+    return rows.unionByName(inner.select("name", "file_path", F.lit(True).alias("resolved"))).dropDuplicates(["name", "file_path"])
+
+
+def implementors(entities: DataFrame, name: str | None = None) -> DataFrame:
+    """(port, name, file_path) of everything that is_a an interface or struct, by name without case; of one port, if named."""
+    ports = (entities if name is None else find(entities, name)).filter(F.col("entity_type").isin(PORTS)).select(F.col("name").alias("port")).distinct()
     rows = entities.select("name", "file_path", F.explode("is_a").alias("super"))
     return rows.join(ports, F.lower("super") == F.lower("port")).select("port", "name", "file_path").distinct()
 
 
-def dead_code(entities: DataFrame, prefix: str | None = None, *, by_suffix: bool = False) -> DataFrame:
-    """Public functions and methods that nobody calls.
+def is_public_function() -> Column:
+    return F.col("entity_type").isin(FUNCTIONS) & (F.coalesce("visibility", F.lit("public")) == "public")
+
+
+def dead_code(entities: DataFrame, prefix: str | None = None, *, by_suffix: bool = False, entry_point: Column | None = None) -> DataFrame:
+    """Public functions and methods, or of no stated visibility, that nobody calls.
 
     Strict: no call equals the name without case, nor does any call's last
     segment.  ``by_suffix`` also spares names whose own last segment is called.
-    Conventions, tests and implementors of ports are spared.
+    Conventions, tests, entry points of the project's settings (a condition on
+    the path) and what is_a an interface or struct are spared.
     """
-    public = entities.filter(F.col("entity_type").isin("function", "method", "macro") & (F.col("visibility") == "public"))
-    public = public.filter(~conventional())
+    public = entities.filter(is_public_function() & ~conventional())
+    if entry_point is not None:
+        public = public.filter(~entry_point)
     if prefix:
         public = public.filter(F.col("file_path").startswith(prefix))
     calls = entities.select(F.explode("calls").alias("c")).select(F.lower("c").alias("c")).distinct()
@@ -197,30 +277,69 @@ def dead_code(entities: DataFrame, prefix: str | None = None, *, by_suffix: bool
     rows = public.join(used, F.lower("name") == F.col("used"), "left_anti")
     if by_suffix:
         rows = rows.join(used, names.last_segment("name") == F.col("used"), "left_anti")
-    ports = entities.filter(F.col("entity_type") == "interface").select(F.lower("name").alias("port")).distinct()
+    ports = entities.filter(F.col("entity_type").isin(PORTS)).select(F.lower("name").alias("port")).distinct()
     mine = rows.select(F.col("id").alias("_id"), F.explode("is_a").alias("s")).join(ports, F.lower("s") == F.col("port"), "left_semi").select("_id").distinct()
     return rows.join(mine, F.col("id") == F.col("_id"), "left_anti")
 
 
+def dead_summary(entities: DataFrame, prefix: str | None = None, entry_point: Column | None = None) -> DataFrame:
+    """One row: dead functions under the prefix, public ones anywhere, and whether web code makes the list unsure."""
+    public = entities.agg(F.count_if(is_public_function()).alias("total_public"), F.coalesce(F.bool_or(F.col("language").isin(WEB)), F.lit(False)).alias("unsure"))
+    return dead_code(entities, prefix, entry_point=entry_point).agg(F.count("*").alias("dead_count")).join(F.broadcast(public), F.lit(True))
+
+
 def hotspot_dead(entities: DataFrame) -> DataFrame:
     """The looser, case-sensitive rule: functions whose name, and whose last segment, no call is literally."""
     calls = entities.select(F.explode("calls").alias("c")).distinct()
-    rows = entities.filter(F.col("entity_type").isin("function", "method"))
+    rows = entities.filter(F.col("entity_type").isin(FUNCTIONS))
     rows = rows.join(calls, F.col("name") == F.col("c"), "left_anti")
     return rows.join(calls, F.substring_index("name", ".", -1) == F.col("c"), "left_anti")
 
 
-def view_links(entities: DataFrame, nodes: int = 500) -> DataFrame:
-    """Call links among the nodes of most incoming references: exact name, else the only node of that last segment."""
-    from .edges import degrees
+def view_nodes(nodes: DataFrame, top: int = 500) -> DataFrame:
+    """The nodes of most incoming references, without noise; nodes are entities with their degrees."""
+    return nodes.filter(~names.is_view_noise("name")).orderBy(F.desc("incoming_count"), *ORDER).limit(top)
+
 
-    shown = settle(degrees(entities).orderBy(F.desc("incoming_count"), *ORDER).limit(nodes).select("id", "name", "calls", "contains", "is_a"))
-    by_name = best(shown.select(F.col("id").alias("t_id"), F.col("name").alias("t_name")), ["t_name"], ["t_id"])
-    only = shown.select(F.col("id").alias("b_id"), F.substring_index("name", ".", -1).alias("bare")).groupBy("bare").agg(F.count("*").alias("n"), F.min("b_id").alias("b_id")).filter("n = 1").drop("n")
-    rows = edges(shown, ["calls"]).select("src_id", "target").distinct()
-    rows = rows.join(by_name, F.col("target") == F.col("t_name"), "left").join(only, F.substring_index("target", ".", -1) == F.col("bare"), "left")
-    rows = rows.select("src_id", F.coalesce("t_id", "b_id").alias("dst_id"))
-    return rows.filter("dst_id is not null and src_id <> dst_id").distinct()
+def view_links(nodes: DataFrame, shown: DataFrame) -> DataFrame:
+    """(src_id, dst_id, kind): links among the shown nodes.
+
+    Calls mean every node of exactly that name without case; a dotted call
+    without one means those of its last segment in the package of the segment
+    before, else the only one of its last segment anywhere.  Imports go by exact
+    name, contained names by their own or as ``parent.child``.  A node doesn't
+    call itself.  Only nodes of a name that is asked for are looked at.
+    """
+    shown = settle(shown.select("id", "name", "calls", "is_a", "contains"))
+    refs = edges(shown.withColumn("file_path", F.lit(None).cast("string"))).select("src_id", "kind", F.lower("target").alias("t"))
+    parent = shown.select(F.col("id").alias("_p"), F.lower("name").alias("_name"))
+    whole = refs.filter("kind = 'contains'").join(F.broadcast(parent), F.col("src_id") == F.col("_p")).select("src_id", "kind", F.concat("_name", F.lit("."), "t").alias("t"))
+    refs = settle(refs.unionByName(whole).distinct())
+    keys = refs.select("t").unionAll(refs.filter("kind = 'calls'").select(names.last_segment("t"))).distinct()
+    known = nodes.select(F.col("id").alias("dst_id"), F.lower("name").alias("t"), names.package("file_path").alias("package"))
+    known = settle(known.join(near(keys), "t", "left_semi"))
+    exact = refs.join(known.select("t", "dst_id"), "t")
+    asked = refs.filter("kind = 'calls' and contains(t, '.')").select("t").distinct().join(known.select("t").distinct(), "t", "left_anti")
+    asked = asked.select(F.col("t").alias("call"), names.last_segment("t").alias("t"), F.substring_index(F.substring_index("t", ".", -2), ".", 1).alias("before"))
+    bare = asked.join(known, "t").withColumn("same", F.col("package") == F.col("before"))
+    some = bare.groupBy("call").agg(F.bool_or("same").alias("any_same"), F.count("*").alias("n"))
+    bare = bare.join(some, "call").filter(F.when(F.col("any_same"), F.col("same")).otherwise(F.col("n") == 1)).select(F.col("call").alias("t"), "dst_id")
+    rows = exact.unionByName(refs.filter("kind = 'calls'").join(bare, "t")).join(F.broadcast(shown.select(F.col("id").alias("dst_id"))), "dst_id", "left_semi")
+    return rows.filter("kind <> 'calls' or src_id <> dst_id").select("src_id", "dst_id", "kind").distinct()
+
+
+def view_filter(shown: DataFrame, links: DataFrame, kind: str | None = None, least: int = 0, hidden: list[str] | None = None, package: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes with enough connections and of no hidden type, and links of a kind between them; or those of one package."""
+    degree = F.col("incoming_count") + F.size("calls")
+    keep = shown.filter((degree >= least) & ~F.coalesce("entity_type", F.lit("unknown")).isin(hidden or []))
+    ids = F.broadcast(keep.select(F.col("id").alias("_i")))
+    rows = links if kind is None else links.filter(F.col("kind") == kind)
+    rows = rows.join(ids, F.col("src_id") == F.col("_i"), "left_semi").join(ids, F.col("dst_id") == F.col("_i"), "left_semi")
+    if package is None:
+        return keep, rows
+    inside = F.broadcast(keep.filter(names.folder_group("file_path") == package).select(F.col("id").alias("_i")))
+    rows = rows.join(inside, (F.col("src_id") == F.col("_i")) | (F.col("dst_id") == F.col("_i")), "left_semi")  # at most the shown nodes
+    return keep.filter(names.folder_group("file_path") == package), rows
 
 
 def critical_files(entities: DataFrame, top: int = 10) -> DataFrame:
@@ -232,17 +351,15 @@ def critical_files(entities: DataFrame, top: int = 10) -> DataFrame:
     its number of proper descendants in each tree, summed.  Each level is one
     join and one ranked choice, kept in the shared checkpoint folder.
     """
-    nodes = best(entities.select(F.lower("name").alias("node"), "calls", "file_path", "start_line", "id"), ["node"], [F.desc("file_path"), F.desc("start_line"), F.desc("id")])
+    nodes = settle(best(entities.select(F.lower("name").alias("node"), F.transform("calls", F.lower).alias("calls"), "file_path", "start_line", "id"), ["node"], [F.desc("file_path"), F.desc("start_line"), F.desc("id")]))
     count = nodes.count()
     if count < 3:
         return entities.sparkSession.createDataFrame([], "file_path string, score long")
     take = min(max(50, count // 10), count)
-    nodes = nodes.select("node", "file_path", F.transform("calls", lambda c: F.lower(c)).alias("calls"))
     out = nodes.select(F.col("node").alias("a"), F.posexplode("calls").alias("pos", "b")).join(nodes.select(F.col("node").alias("k")), F.col("b") == F.col("k"), "left_semi")
-    out = out.groupBy("a", "b").agg(F.min("pos").alias("pos"))
+    out = settle(out.groupBy("a", "b").agg(F.min("pos").alias("pos")))
     sources = nodes.orderBy(F.desc(F.size("calls")), "node").limit(take).select(F.col("node").alias("source"))
-    tree = sources.select("source", F.col("source").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("nth"))
-    tree = settle(tree)
+    tree = settle(sources.select("source", F.col("source").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("nth")))
     front, levels = tree, 0
     while True:
         levels += 1

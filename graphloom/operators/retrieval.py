@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Callable
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..storage import settle
+from .edges import near
 
 #: Rank fusion constant of Cormack et al. (2009), ranks from 1.
 FUSION = 60
@@ -44,26 +50,52 @@ def dense_hash(weighted: DataFrame) -> DataFrame:
     return met.select("id", "bucket", F.when(F.col("norm") > 0, F.col("s") / F.col("norm")).otherwise(0.0).alias("x"))
 
 
-def _query_terms(docs: DataFrame, query: str) -> DataFrame:
-    one = docs.sparkSession.createDataFrame([(0, text.boosted_query(query))], "id long, content string")
-    return term_frequencies(one).select("term", "n")
+def query_terms(query: str) -> dict[str, int]:
+    """The tokens of the tripled query with their counts."""
+    return dict(Counter(t for t in re.split("[^a-z0-9_]+", text.boosted_query(query).lower()) if len(t) >= 2))
 
 
 def sparse_top(docs: DataFrame, query: str, k: int, text_column: str = "content") -> DataFrame:
     """(id, score): sparse dot product with the tripled query, best k, ties by id.
 
-    Only the query's terms are looked up: documents shuffle a row per matching
-    term, not per token; the query is at most its own words and is broadcast.
+    A row's counts of the query's terms are taken within the row, so the texts
+    are read once and nothing but document frequencies and the best k is
+    shuffled.
     """
-    q = F.broadcast(_query_terms(docs, query).select(F.col("term").alias("q"), F.col("n").alias("qn")))
+    asked = query_terms(query)
+    terms = sorted(asked)
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+
+    def counts(own: Column) -> Column:
+        return F.array(*[F.size(F.filter(own, _equals(term))) for term in terms])
+
+    own = F.filter(text.tokens(text_column), lambda t: t.isin(terms))
+    hit = docs.select("id", F.transform(F.array(own), counts)[0].alias("n")).filter(F.exists("n", lambda n: n > 0))
+    hit = settle(hit)
     total = docs.count()
-    hit = docs.select("id", F.explode(text.tokens(text_column)).alias("term")).join(q, F.col("term") == F.col("q"), "left_semi").groupBy("id", "term").agg(F.count("*").alias("n"))
-    idf = vocabulary(hit, total).select(F.col("term").alias("t"), "idf")
-    hashed = weights(hit, idf.withColumnRenamed("t", "term")).groupBy("id", text.bucket("term").alias("bucket")).agg(F.sum("w").alias("w"))
-    qw = q.join(idf, F.col("q") == F.col("t"), "left").select("q", F.round((1 + F.ln("qn")) * F.coalesce("idf", F.lit(1.0)), DIGITS).alias("qw"))
-    qb = F.broadcast(qw.groupBy(text.bucket("q").alias("b")).agg(F.sum("qw").alias("qw")))
-    score = F.round(F.sum(F.round(F.col("w") * F.col("qw"), DIGITS)), 4).alias("score")
-    return hashed.join(qb, F.col("bucket") == F.col("b")).groupBy("id").agg(score).orderBy(F.desc("score"), "id").limit(k)
+    idf, weight = [], []
+    for i, term in enumerate(terms):
+        df = F.count_if(F.col("n")[i] > 0)
+        known = F.when(df > 0, F.round(F.ln(F.lit(total + 1) / (df + 1)) + 1, DIGITS)).otherwise(1.0)
+        idf.append(known.alias(f"i{i}"))
+        weight.append(F.round((1 + F.ln(F.lit(asked[term]))) * known, DIGITS).alias(f"w{i}"))
+    row = hit.agg(*idf, *weight).first()
+    buckets: dict[int, list[int]] = {}
+    for i, term in enumerate(terms):
+        buckets.setdefault(text.bucket_of(term), []).append(i)
+    score = F.lit(0.0)
+    for some in buckets.values():
+        w = F.lit(0.0)
+        for i in some:
+            n = F.col("n")[i]
+            w = w + F.when(n > 0, F.round((1 + F.ln(n)) * row[f"i{i}"], DIGITS)).otherwise(0.0)
+        score = score + F.round(w * sum(row[f"w{i}"] for i in some), DIGITS)
+    return hit.select("id", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def _equals(term: str) -> Callable[[Column], Column]:
+    return lambda t: t == term
 
 
 def dense_top(vectors: DataFrame, query: list[float], k: int, where: F.Column | None = None) -> DataFrame:
@@ -90,13 +122,19 @@ def deduplicate(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def _nodes_of(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes that hits name: only these are grouped."""
+    asked = near(hits.select(F.col("name").alias("_asked")).distinct())
+    return nodes.join(asked, F.col("name") == F.col("_asked"), "left_semi")
+
+
 def graph_boost(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """Additive boost: +0.1 for names of the five best; else by incoming references; else by calls to these names.
 
     hits: id, name, score, ...  nodes: name, incoming_count, calls.
     """
     seeds = hits.orderBy(F.desc("score"), "id").limit(SEEDS).select("name").distinct().agg(F.collect_set("name").alias("seeds"))
-    node = nodes.groupBy(F.col("name").alias("_n")).agg(F.max("incoming_count").alias("incoming"), F.max_by("calls", F.struct(F.size("calls"), "calls")).alias("_calls"))
+    node = _nodes_of(hits, nodes).groupBy(F.col("name").alias("_n")).agg(F.max("incoming_count").alias("incoming"), F.max_by("calls", F.struct(F.size("calls"), "calls")).alias("_calls"))
     rows = hits.join(F.broadcast(seeds), F.lit(True))  # one row of at most five names
     rows = rows.join(node, F.col("name") == F.col("_n"), "left")
     touching = F.size(F.filter(F.coalesce("_calls", F.array().cast("array<string>")), lambda c: F.array_contains("seeds", c)))
@@ -111,7 +149,7 @@ def type_boost(hits: DataFrame) -> DataFrame:
 def relationship_rank(hits: DataFrame, nodes: DataFrame, keywords: list[str]) -> DataFrame:
     """Multiplicative re-rank: score * (1 + 0.3 * min(rel / 10, 1)), rel = 100 for named keywords else 5 * matched calls + 2 * incoming."""
     low = [k.lower() for k in keywords]
-    node = nodes.groupBy(F.col("name").alias("_n")).agg(F.max("incoming_count").alias("incoming"), F.max_by("calls", F.struct(F.size("calls"), "calls")).alias("_calls"))
+    node = _nodes_of(hits, nodes).groupBy(F.col("name").alias("_n")).agg(F.max("incoming_count").alias("incoming"), F.max_by("calls", F.struct(F.size("calls"), "calls")).alias("_calls"))
     matched = F.size(F.filter(F.coalesce("_calls", F.array().cast("array<string>")), lambda c: names.last_segment(c).isin(low)))
     rel = F.when(names.last_segment("name").isin(low), 100).otherwise(5 * matched + 2 * F.coalesce("incoming", F.lit(0)))
     rows = hits.join(node, F.col("name") == F.col("_n"), "left").withColumn("relevance", rel.cast("long"))
@@ -124,19 +162,37 @@ def keyword_search(docs: DataFrame, query: str, limit: int) -> DataFrame:
     return docs.filter(hit & ~names.is_temporary("file_path")).orderBy("file_path", "id").limit(limit).withColumn("score", F.lit(1.0))
 
 
+def explain_rank(hits: DataFrame) -> DataFrame:
+    """What a re-ranked hit owes its place to: being named, its references and calls, or its text alone."""
+    return hits.withColumn("reason", F.when(F.col("relevance") >= 100, "named").when(F.col("relevance") > 0, "related").otherwise("text"))
+
+
+def arms(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, fetch: int) -> DataFrame:
+    """(id, score) of both arms fused; of the one arm there is, if the other has no vector or can't be searched.
+
+    Without the keyword arm the scores are the cosines themselves.
+    """
+    try:
+        lexical = settle(sparse_top(docs, query, fetch))
+    except PySparkException:
+        if vector is None:
+            raise
+        return dense_top(vectors, vector, fetch)
+    return fuse(lexical, dense_top(vectors, vector, fetch)) if vector is not None else fuse(lexical, lexical.limit(0))
+
+
 def hybrid_search(docs: DataFrame, vectors: DataFrame, nodes: DataFrame, query: str, vector: list[float] | None, limit: int = 10) -> DataFrame:
-    """Both arms over-fetch nine times, are fused, deduplicated, boosted and cut; without any hit, keyword search.
+    """Both arms over-fetch nine times, are fused, cut to three times the limit, deduplicated, boosted and cut.
 
-    Without a query vector only the sparse arm runs.
+    Unnamed hits go before, temporary files after the boost.  Without any hit
+    left, keyword search.  Without a query vector only the keyword arm runs.
     """
-    fetch = 9 * limit
-    lexical = sparse_top(docs, query, fetch)
-    fused = fuse(lexical, dense_top(vectors, vector, fetch)) if vector is not None else fuse(lexical, lexical.limit(0))
-    hits = docs.select("id", "name", "file_path", "entity_type").join(fused.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-    hits = hits.filter((F.col("name") != "Unknown") & ~names.is_temporary("file_path")).orderBy(F.desc("score"), "id").limit(3 * limit)
-    hits = settle(hits)  # a few rows, which the boosts and the fallback look at again
-    if not hits.limit(1).count():
-        found = deduplicate(keyword_search(docs, query, limit).select("id", "name", "file_path", "entity_type", "score"))
-        return found.orderBy(F.desc("score"), "id").limit(limit)
-    hits = type_boost(graph_boost(deduplicate(hits), nodes)).select("id", "name", "file_path", "entity_type", "score")
-    return hits.orderBy(F.desc("score"), "id").limit(limit)
+    fused = arms(docs, vectors, query, vector, 9 * limit).orderBy(F.desc("score"), "id").limit(3 * limit).withColumnRenamed("id", "_id")
+    hits = docs.select("id", "name", "file_path", "entity_type").join(F.broadcast(fused), F.col("id") == F.col("_id")).drop("_id")
+    hits = settle(deduplicate(hits.filter(F.col("name") != "Unknown")))  # a few rows, which the boosts and the fallback look at again
+    boosted = type_boost(graph_boost(hits, nodes).filter(~names.is_temporary("file_path"))).select("id", "name", "file_path", "entity_type", "score")
+    found = settle(boosted.orderBy(F.desc("score"), "id").limit(limit))
+    if found.limit(1).count():
+        return found
+    found = deduplicate(keyword_search(docs, query, limit).select("id", "name", "file_path", "entity_type", "score"))
+    return found.orderBy(F.desc("score"), "id").limit(limit)

@@ -1,16 +1,59 @@
-"""The driver's tables as entities, texts, vectors and file versions."""
+"""The driver's tables as entities, texts, vectors and file versions.
+
+Every line item is a call and every succession of events one, too.  Arrays are
+bounded by how many line items a supplier or a customer has and how many events
+a user has, whatever the size of the tables.  Files that the tables can't give
+(tests, routes, components, packages, temporary files, ...) come from
+``TEMPLATES``, once per nation.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import edges as ed
 from ..schema import conform
-
-#: Line items of at least this quantity are calls, so that some entities have none.
-SPARSE = 48
-#: Callees kept per user of the event succession.
-CALLEES = 3
+from ..storage import scratch, settle
+
+#: Suppliers of a nation that share a module.
+GROUP = 10
+#: Path aliases and entry points as project settings give them.
+ALIASES = {"@/*": ["./src/*"]}
+ENTRY_POINTS = ["src/jobs/**"]
+
+#: Entities per nation: path, type, name, content, first and last line, visibility, calls, is_a, contains, language.
+#: {n} is the nation's name, {l} the same in lower case, {long} a long text; lists are joined by |; an empty visibility is none.
+TEMPLATES = [
+    ("src/web/app/{n}/page.tsx", "module", "page", "", 1, 90, "public", "render|Card_{n}", "@/components/ui/{n}|./route|../../../lib/format_{n}|react", "Page_{n}|helper_{n}|gone_{n}", "tsx"),
+    ("src/web/app/{n}/page.tsx", "function", "Page_{n}", "export default function Page_{n}() { return <Card_{n}/> }", 5, 20, "public", "Card_{n}|format_{n}|lib.format_{n}|Missing|user_1", "Layout", "", "tsx"),
+    ("src/web/app/{n}/page.tsx", "function", "helper_{n}", "function helper_{n}() { } // within the page", 8, 12, "public", "Events.user_2|Loader_{n}", "", "", "tsx"),
+    ("src/web/app/{n}/page.tsx", "function", "getRates", "function getRates() { return fetchAll() } // by convention", 30, 40, "public", "format_{n}|{n}", "", "", "tsx"),
+    ("src/web/app/{n}/route.ts", "function", "GET", "export async function GET() { return db.read() }", 1, 9, "public", "db.read|helper_{n}", "", "", "typescript"),
+    ("src/web/app/{n}/route.ts", "function", "Loader_{n}", "export const Loader_{n} = () => [open, setOpen]", 20, 30, "public", "GET|page", "./page", "", "typescript"),
+    ("src/components/ui/{n}.tsx", "function", "Card_{n}", "export function Card_{n}(props) { return null }", 1, 9, "public", "cn|cx", "", "", "tsx"),
+    ("src/lib/format_{n}.ts", "function", "format_{n}", "export function format_{n}(x) { return String(x) }", 1, 5, "public", "", "Formatter", "", "typescript"),
+    ("src/lib/format_{n}.ts", "variable", "{ open_{n}, close }", "const { open_{n}, close } = useState() // a pattern", 7, 7, "public", "Page_{n}|format_{n}", "", "", "typescript"),
+    ("src/lib/{n}.test.ts", "function", "check_{n}", "it('works', () => format_{n}(1)) // in a test file", 1, 3, "public", "format_{n}", "", "", "typescript"),
+    ("src/web/{n}_controller.ex", "function", "show_{n}", "def show_{n}(conn, _), do: render(conn, :show)", 2, 6, "public", "render", "", "", "elixir"),
+    ("src/web/{n}_server.ex", "function", "handle_call", "def handle_call(msg, from, state), do: reply(state)", 2, 6, "public", "reply", "", "", "elixir"),
+    ("src/web/{n}_server.ex", "function", "lonely_{n}", "def lonely_{n}(a), do: a # nobody calls this one", 8, 9, "", "", "", "", "elixir"),
+    ("src/web/{n}_server.ex", "macro", "with_{n}", "defmacro with_{n}(a), do: a # nobody calls this one", 11, 12, "public", "", "", "", "elixir"),
+    ("src/pkg/{l}/main.go", "function", "Start", "func Start() { return } // the same name in each package", 1, 4, "public", "Setup_{n}|fmt.Println", "fmt", "", "go"),
+    ("src/pkg/{l}/setup.go", "function", "Setup_{n}", "func Setup_{n}() { } // calls across packages", 1, 4, "public", "{l}.Start|other.Setup_{n}|other.Start", "Store_{n}", "", "go"),
+    ("src/pkg/{l}/main_test.go", "function", "TestStart_{n}", "func TestStart_{n}(t *testing.T) { Start() }", 1, 4, "public", "Start", "", "", "go"),
+    ("src/pkg/{l}/bench.go", "function", "BenchmarkStart_{n}", "func BenchmarkStart_{n}(b *testing.B) { Start() }", 1, 4, "public", "Start", "", "", "go"),
+    ("src/pkg/{l}/store.go", "struct", "Store_{n}", "type Store_{n} struct { key string } // with a method", 1, 9, "public", "", "", "Put|key|Start", "go"),
+    ("src/pkg/{l}/store.go", "method", "Store_{n}.Put", "func (s *Store_{n}) Put(k string) { s.key = k }", 11, 14, "public", "fmt.Println", "", "", "go"),
+    ("src/adapters/{l}.ts", "function", "make_{n}", "export function make_{n}(): Store_{n} { return store }", 1, 5, "public", "", "Store_{n}", "", "typescript"),
+    ("src/jobs/{l}.py", "function", "nightly_{n}", "def nightly_{n}(): run() # an entry point of the settings", 1, 3, "public", "Events.user_3", "", "", "python"),
+    ("src/odd/{l}.js", "function", "Unknown", "function () { return 'a name that nobody knows' }", 1, 3, "public", "", "", "", "javascript"),
+    ("src/odd/{l}.js", "function", "tiny_{n}", "x", 5, 5, "private", "", "", "", "javascript"),
+    ("/tmp/{l}.py", "function", "scratch_{n}", "def scratch_{n}(): pass  # in a temporary folder", 1, 2, "public", "", "", "", "python"),
+    ("src/long/{l}.py", "function", "long_{n}", "{long}", 1, 2, "public", "", "", "", "python"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,82 +61,117 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def successions(events: DataFrame) -> DataFrame:
-    """(user_id, callee): the three most frequent users of the next event, self left out.
+    """(user_id, callee, count): how often each user's event is followed by another user's.
 
-    Successions are counted per pair, pre-aggregated; the order of events is cut
-    by day, with the first event of the next day as the last one's successor, so
-    no window holds the whole table.
+    The order of events is cut by hour, with the first event of the next hour
+    that has one as the last one's successor, so no window holds the table.
     """
-    day = events.select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
-    within = Window.partitionBy("day").orderBy("ts", "event_id")
-    firsts = day.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
-    firsts = firsts.select(F.col("day").alias("d"), F.lead("first").over(Window.orderBy("day")).alias("next_first"))
-    pairs = day.withColumn("n", F.lead("user_id").over(within)).join(firsts, F.col("day") == F.col("d"))
+    rows = events.select("event_id", "user_id", "ts", F.date_trunc("hour", "ts").alias("hour"))
+    within = Window.partitionBy("hour").orderBy("ts", "event_id")
+    firsts = rows.groupBy("hour").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    firsts = firsts.select(F.col("hour").alias("h"), F.lead("first").over(Window.orderBy("hour")).alias("next_first"))  # one row per hour
+    pairs = rows.withColumn("n", F.lead("user_id").over(within)).join(firsts, F.col("hour") == F.col("h"))
     pairs = pairs.select("user_id", F.coalesce("n", "next_first").alias("callee")).filter(F.col("callee").isNotNull() & (F.col("callee") != F.col("user_id")))
-    counted = pairs.groupBy("user_id", "callee").count()
-    best = Window.partitionBy("user_id").orderBy(F.desc("count"), "callee")
-    return counted.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= CALLEES).select("user_id", "callee", "nth")
+    return pairs.groupBy("user_id", "callee").count()
+
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-_INDEX: dict[tuple[str, str], DataFrame] = {}
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the application, written once in the shared folder and read from there, so filters reach its files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        build().write.parquet(folder := scratch(spark, name))
+        _STORED[key] = spark.read.parquet(folder)
+    return _STORED[key]
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entity table of a folder, built once per application and kept in the cluster's storage.
+    """The entity table of a folder, by place."""
+    return _stored(spark, sf_dir, "entities", lambda: build_entities(spark, sf_dir).repartitionByRange("file_path", "start_line").sortWithinPartitions("file_path", "start_line", "id"))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities with their degrees: the graph as it is stored after ingest."""
+    return _stored(spark, sf_dir, "nodes", lambda: ed.degrees(entities(spark, sf_dir)).repartitionByRange("name").sortWithinPartitions("name"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reverse index of calls and is_a, by key."""
+    return _stored(spark, sf_dir, "index", lambda: ed.reference_index(entities(spark, sf_dir)).repartitionByRange("key").sortWithinPartitions("key"))
 
-    An executor that is lost takes its blocks along; Spark builds them again.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEX:
-        _INDEX[key] = build_entities(spark, sf_dir).persist()
-    return _INDEX[key]
+
+def _no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _templates(spark: SparkSession, homes: DataFrame) -> DataFrame:
+    """``TEMPLATES`` for each nation."""
+    fields = "t_path string, t_type string, t_name string, t_content string, start_line long, end_line long, t_visibility string, t_calls string, t_is_a string, t_contains string, language string"
+    names = [f.split()[0] for f in fields.split(", ")]
+    rows = F.array(*[F.struct(*[F.lit(v).cast("long" if isinstance(v, int) else "string").alias(n) for n, v in zip(names, t, strict=True)]) for t in TEMPLATES])
+    rows = homes.select("n_name", F.explode(rows).alias("t")).select("n_name", "t.*")
+
+    def filled(column: str) -> Column:
+        text = F.replace(F.replace(F.col(column), F.lit("{n}"), F.col("n_name")), F.lit("{l}"), F.lower("n_name"))
+        return F.replace(text, F.lit("{long}"), F.repeat(F.lit("ü"), 2500))
+
+    def listed(column: str) -> Column:
+        return F.when(F.col(column) == "", _no_names()).otherwise(F.split(filled(column), "[|]"))
+
+    return rows.select(
+        filled("t_path").alias("file_path"), F.col("t_type").alias("entity_type"), filled("t_name").alias("name"), filled("t_content").alias("content"), "start_line", "end_line",
+        F.nullif("t_visibility", F.lit("")).alias("visibility"), listed("t_calls").alias("calls"), listed("t_is_a").alias("is_a"), listed("t_contains").alias("contains"), "language",
+    )
 
 
 def build_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as interfaces, nations as modules, suppliers as methods, customers and users as functions, parts as variables."""
+    """Regions as interfaces, groups of a nation's suppliers as modules, suppliers as methods, customers and users as functions, parts as variables, and templates."""
     region, nation, supplier, customer, part, orders, lineitem, events = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events"))
     part_name = F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.floor(F.col("p_partkey") / 10).cast("string"))
     parts = part.select("p_partkey", part_name.alias("name"), "p_brand", "p_type", "p_size")
-    sparse = lineitem.filter(F.col("l_quantity") >= SPARSE).select("l_orderkey", "l_partkey", "l_suppkey")
-    homes = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    path = F.concat(F.lit("src/core/"), F.col("r_name"), F.lit("/"), F.col("n_name"), F.lit(".ex"))
-    sellers = supplier.join(homes, F.col("s_nationkey") == F.col("n_nationkey"))
+    homes = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    module = F.concat_ws("_", "n_name", F.floor(F.col("s_suppkey") / GROUP).cast("string"))
+    sellers = supplier.join(homes, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name", "r_name", module.alias("module"))
+    sellers = sellers.withColumn("path", F.concat(F.lit("src/core/"), F.col("r_name"), F.lit("/"), F.col("module"), F.lit(".ex")))
 
-    def names(column: str) -> F.Column:
+    def names(column: str) -> Column:
         return F.sort_array(F.collect_set(column)).alias(column)
 
-    sells = sparse.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", F.concat(F.lit("Lib."), F.col("name")).alias("calls"))
+    sells = settle(lineitem.select("l_partkey", "l_suppkey").distinct().join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", F.concat(F.lit("Lib."), F.col("name")).alias("calls")).distinct())
     methods = sellers.join(sells.groupBy("l_suppkey").agg(names("calls")), F.col("s_suppkey") == F.col("l_suppkey"), "left")
     methods = methods.select(
-        path.alias("file_path"), F.lit("method").alias("entity_type"), F.col("s_name").alias("name"), F.concat(F.lit("method "), F.col("s_name"), F.lit(" of "), F.col("n_name")).alias("content"),
-        (F.col("s_suppkey") * 10 + 2).alias("start_line"), (F.col("s_suppkey") * 10 + 10).alias("end_line"), F.lit("public").alias("visibility"), F.array().cast("array<string>").alias("parameters"),
-        "calls", F.array().cast("array<string>").alias("is_a"), F.array().cast("array<string>").alias("contains"), F.lit("elixir").alias("language"),
+        F.col("path").alias("file_path"), F.when(F.col("s_suppkey") % 11 == 0, "macro").otherwise("method").alias("entity_type"), F.col("s_name").alias("name"), F.concat(F.lit("method "), F.col("s_name"), F.lit(" of "), F.col("n_name")).alias("content"),
+        (F.col("s_suppkey") * 10 + 2).alias("start_line"), (F.col("s_suppkey") * 10 + 10).alias("end_line"), F.when(F.col("s_suppkey") % 7 != 0, "public").alias("visibility"), "calls", F.lit("elixir").alias("language"),
     )
-    own = sellers.groupBy("s_nationkey").agg(F.sort_array(F.collect_set("s_name")).alias("contains"))
-    used = sellers.join(sells, F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("s_nationkey").alias("k")).agg(names("calls"))
-    modules = homes.join(own, F.col("n_nationkey") == F.col("s_nationkey"), "left").join(used, F.col("n_nationkey") == F.col("k"), "left")
-    modules = modules.select(
-        path.alias("file_path"), F.lit("module").alias("entity_type"), F.col("n_name").alias("name"), F.concat(F.lit("module "), F.col("n_name")).alias("content"), F.lit(1).alias("start_line"),
+    own = sellers.groupBy("path", "module", "r_name").agg(F.sort_array(F.collect_set("s_name")).alias("contains"))
+    used = sellers.join(sells, F.col("s_suppkey") == F.col("l_suppkey")).groupBy(F.col("module").alias("k")).agg(names("calls"))
+    modules = own.join(used, F.col("module") == F.col("k"), "left").select(
+        F.col("path").alias("file_path"), F.lit("module").alias("entity_type"), F.col("module").alias("name"), F.concat(F.lit("module "), F.col("module"), F.lit(" of "), F.col("r_name")).alias("content"), F.lit(1).alias("start_line"),
         F.lit(1_000_000_000).alias("end_line"), F.lit("public").alias("visibility"), "calls", F.array("r_name").alias("is_a"), "contains", F.lit("elixir").alias("language"),
     )
     ports = region.select(
         F.concat(F.lit("src/ports/"), F.col("r_name"), F.lit(".go")).alias("file_path"), F.lit("interface").alias("entity_type"), F.col("r_name").alias("name"), F.concat(F.lit("interface "), F.col("r_name"), F.lit(" of all nations")).alias("content"),
         F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit("public").alias("visibility"), F.lit("go").alias("language"),
     )
-    buys = sparse.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(sellers.select("s_suppkey", "s_name", F.col("n_name").alias("home")), F.col("l_suppkey") == F.col("s_suppkey"))
-    buys = buys.select("o_custkey", F.concat("home", F.lit("."), "s_name").alias("calls")).groupBy("o_custkey").agg(names("calls"))
-    functions = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(buys, F.col("c_custkey") == F.col("o_custkey"), "left")
+    buys = lineitem.select("l_orderkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    buys = buys.join(sellers.select("s_suppkey", F.concat_ws(".", "module", "s_name").alias("calls")), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("o_custkey").agg(names("calls"))
+    homes_ = homes.select(F.col("n_nationkey"), "n_name", "r_name")
+    functions = customer.join(homes_, F.col("c_nationkey") == F.col("n_nationkey")).join(buys, F.col("c_custkey") == F.col("o_custkey"), "left")
     functions = functions.select(
         F.concat(F.lit("src/services/"), F.lower("c_mktsegment"), F.lit("/"), F.col("n_name"), F.lit(".py")).alias("file_path"), F.lit("function").alias("entity_type"), F.concat("n_name", F.lit("."), "c_name").alias("name"),
         F.concat(F.lit("def "), F.col("c_name"), F.lit("(): # "), F.col("c_mktsegment")).alias("content"), (F.col("c_custkey") * 10 + 1).alias("start_line"), (F.col("c_custkey") * 10 + 9).alias("end_line"),
-        F.when(F.col("c_acctbal") < 0, "private").otherwise("public").alias("visibility"), F.array(F.lower("c_mktsegment")).alias("parameters"), "calls", F.array("n_name").alias("is_a"), F.lit("python").alias("language"),
+        F.when(F.col("c_acctbal") < 0, "private").otherwise("public").alias("visibility"), F.array(F.lower("c_mktsegment")).alias("parameters"), "calls",
+        F.when(F.col("c_custkey") % 5 == 0, F.array("n_name", "r_name")).otherwise(F.array("n_name")).alias("is_a"), F.lit("python").alias("language"),
     )
     variables = parts.select(
         F.concat(F.lit("src/lib/"), F.translate("p_brand", "#", "_"), F.lit("/"), F.lower("p_type"), F.lit(".js")).alias("file_path"), F.lit("variable").alias("entity_type"), "name",
         F.concat(F.lit("const "), F.col("name"), F.lit(" = make('"), F.col("p_type"), F.lit("', "), F.col("p_size").cast("string"), F.lit(")")).alias("content"), (F.col("p_partkey") + 1).alias("start_line"), (F.col("p_partkey") + 1).alias("end_line"),
         F.lit("public").alias("visibility"), F.lit("javascript").alias("language"),
     )
-    called = successions(events).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "callee"))), lambda x: F.concat(F.lit("user_"), x["callee"].cast("string"))).alias("calls"))
+    callee = F.concat(F.when(F.col("callee") % 2 == 0, "user_").otherwise("Events.user_"), F.col("callee").cast("string"))
+    called = successions(events).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("k"), "callee", callee.alias("call")))), lambda x: x["call"]).alias("calls"))
     users = events.select("user_id").distinct().join(called.withColumnRenamed("user_id", "u"), F.col("user_id") == F.col("u"), "left")
     number = F.col("user_id").cast("string")
     users = users.select(
@@ -101,17 +179,19 @@ def build_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("def user_"), number, F.lit(" -- handles the events of one user")).alias("content"), (F.col("user_id") * 10 + 1).alias("start_line"), (F.col("user_id") * 10 + 8).alias("end_line"), F.lit("public").alias("visibility"), "calls", F.lit("ruby").alias("language"),
     )
     out = conform(ports)
-    for rows in (modules, methods, functions, variables, users):
+    for rows in (modules, methods, functions, variables, users, _templates(spark, homes)):
         out = out.unionByName(conform(rows))
     return out
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as (id, name, file_path, entity_type, content)."""
+    """documents as (id, name, file_path, entity_type, content); some bear names of entities, some none, some are temporary."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("lang").alias("entity_type"), F.col("text").alias("content")
-    )
+    number = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 13 == 0, "Unknown").when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Events.user_"), (1 + F.col("doc_id") % 40).cast("string"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("format_NATION_"), (F.col("doc_id") % 25).cast("string")))
+    kind = F.when(F.col("doc_id") % 5 == 0, "variable").when(F.col("doc_id") % 5 == 1, "constant").otherwise("function")
+    path = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("/tmp/"), number)).otherwise(F.concat(F.col("source"), F.lit("/"), number))
+    return docs.select(F.col("doc_id").alias("id"), name.otherwise(F.concat(F.lit("doc_"), number)).alias("name"), path.alias("file_path"), kind.alias("entity_type"), F.col("text").alias("content"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +199,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_versions(spark: SparkSession, sf_dir: str, before: str | None) -> DataFrame:
-    """(path, sha256): a user's events, up to a moment, as the content of a file."""
+    """(path, sha256): a user's events, up to a moment, as a file; its digest is of sums over the digests of its lines.
+
+    The sums don't depend on an order, so no user's events are gathered.
+    """
     events = table(spark, sf_dir, "events")
     if before:
         events = events.filter(F.col("ts") < F.lit(before).cast("timestamp_ntz"))
-    line = F.concat_ws(":", F.lpad(F.col("event_id").cast("string"), 12, "0"), "event_type")
-    return events.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body")).select(F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), F.upper(F.sha2("body", 256)).alias("sha256"))
+    line = F.md5(F.concat_ws(":", F.col("event_id").cast("string"), "event_type").cast("binary"))
+    halves = [F.sum(F.conv(F.substring(line, a, 12), 16, 10).cast("decimal(38,0)")).cast("string") for a in (1, 13)]
+    body = F.concat_ws(":", F.count("*").cast("string"), *halves)
+    return events.groupBy("user_id").agg(body.alias("body")).select(F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), F.upper(F.sha2("body", 256)).alias("sha256"))

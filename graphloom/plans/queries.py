@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..operators import edges as ed
-from ..operators import graph, retrieval, stats
+from ..operators import embedding, graph, retrieval, stats
 from ..schema import indexable
-from ..sources import extract
+from ..sources import extract, scan
+from ..storage import scratch
 from ..streaming import incremental, streams
 from . import adapters as ad
+from .ingest import Workspace
 
-ROOT, FILE, MODULE, SEARCH, CUT = "Events.user_2", "src/core/AFRICA/NATION_0.ex", "NATION_0", "thor and the", "2024-01-16 00:00:00"
+#: What the queries ask for.
+ROOT, FILE, SEARCH, CUT = "Events.user_2", "src/web/app/NATION_3/page.tsx", "thor and the", "2024-01-16 00:00:00"
+PAGE, STORE, KNOWN = "Page_NATION_3", "Store_NATION_3", "src/web/app/NATION_3/page.tsx:module:page:1"
+REFS = ["page_nation_3", "@/components/ui/NATION_4", "./route", "../../../lib/format_NATION_5", "@/nowhere/at-all", "~/x/NATION_6", "react", "Put"]
 #: Latency buckets.
 BOUNDS = [1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000]
 
@@ -38,6 +44,10 @@ def on_entities(f: Callable[[DataFrame], DataFrame]) -> Callable:
     return f
 
 
+def entry_point() -> F.Column:
+    return scan.is_entry_point(F.col("file_path"), scan.Project(ad.ENTRY_POINTS))
+
+
 def _vector(spark: SparkSession, sf_dir: str, number: int = 7) -> list[float]:
     return [float(x) for x in ad.vectors(spark, sf_dir).filter(F.col("id") == number).first()["semantic"]]
 
@@ -62,7 +72,13 @@ def keyword_contains(e: DataFrame) -> DataFrame:
 
 @on_entities
 def point_lookup(e: DataFrame) -> DataFrame:
-    return e.filter((F.col("name") == "NATION_3") & (F.col("entity_type") == "module")).select("id", "name", F.array_join("is_a", ",").alias("is_a"))
+    return stats.by_id(e, hashlib.sha256(KNOWN.encode()).hexdigest()).select("id", "name", F.array_join("is_a", ",").alias("is_a"))
+
+
+@on_entities
+def definition(e: DataFrame) -> DataFrame:
+    """The first entity of exactly a name."""
+    return e.filter(F.col("name") == "Start").orderBy(*ed.ORDER).limit(1).select("id", "name", "file_path")
 
 
 @on_entities
@@ -77,18 +93,18 @@ def chunk_ids(e: DataFrame) -> DataFrame:
 
 @on_entities
 def noise_filter(e: DataFrame) -> DataFrame:
-    return e.groupBy(names.is_noise("name").alias("noise"), names.is_binding("name").alias("binding")).agg(F.count("*").alias("n"))
+    return e.groupBy(names.is_noise("name").alias("noise"), names.is_binding("name").alias("binding"), names.is_view_noise("name").alias("hidden")).agg(F.count("*").alias("n"))
 
 
 @on_entities
 def glob_match(e: DataFrame) -> DataFrame:
-    hit = F.col("file_path").rlike(names.glob_regex("src/**/NATION_1?.*")) | F.col("file_path").rlike(names.glob_regex("src/lib/*/econ*.js"))
+    hit = F.col("file_path").rlike(names.glob_regex("src/**/NATION_1?_?.*")) | F.col("file_path").rlike(names.glob_regex("src/lib/*/econ*.js"))
     return e.filter(hit).groupBy("file_path").agg(F.count("*").alias("n"))
 
 
 @on_entities
 def import_paths(e: DataFrame) -> DataFrame:
-    return e.filter(names.import_matches("file_path", "@/lib/Brand_7/economy.js")).select("name", "file_path")
+    return e.filter(names.import_matches("file_path", F.lit("@/lib/Brand_7/economy"))).select("name", "file_path")
 
 
 @on_entities
@@ -101,6 +117,34 @@ def collection_names(e: DataFrame) -> DataFrame:
     return e.select(names.collection_name("file_path").alias("collection"), names.is_test_collection("file_path").alias("test")).distinct()
 
 
+@on_entities
+def path_rules(e: DataFrame) -> DataFrame:
+    """Each file: whether it is temporary or a test, its package, its path within a folder."""
+    return e.select("file_path", names.is_temporary("file_path").alias("temporary"), names.is_test_file("file_path").alias("test"), names.package("file_path").alias("package"), names.relative("file_path", "src/web").alias("within")).distinct()
+
+
+@on_entities
+def conventions(e: DataFrame) -> DataFrame:
+    return e.filter(graph.conventional()).select("id", "name", "file_path")
+
+
+@on_entities
+def entry_points(e: DataFrame) -> DataFrame:
+    return e.filter(entry_point()).select("id", "name", "file_path")
+
+
+@on_entities
+def word_references(e: DataFrame) -> DataFrame:
+    """Entities whose content has their own last segment as a whole word."""
+    return e.filter(names.references("content", F.substring_index("name", ".", -1))).select("id", "name")
+
+
+@query
+def integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ad.table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), names.as_int(F.concat("p_size", F.lit("abc")), 7).cast("long").alias("a"), names.as_int("p_name", 5).cast("long").alias("b"), names.as_int(F.concat(F.lit("-"), "p_size"), 0).cast("long").alias("c"))
+
+
 # --- aggregates
 
 
@@ -154,10 +198,10 @@ def degrees(e: DataFrame) -> DataFrame:
     return ed.degrees(e).select("id", "name", "outgoing_degree", "incoming_count")
 
 
-@on_entities
-def dashboard_top(e: DataFrame) -> DataFrame:
+@query
+def dashboard_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = (F.col("outgoing_degree") + F.col("incoming_count")).alias("total")
-    return ed.degrees(e).select("id", "name", total).orderBy(F.desc("total"), "id").limit(5)
+    return ad.nodes(spark, sf_dir).select("id", "name", total).orderBy(F.desc("total"), "id").limit(5)
 
 
 @on_entities
@@ -170,6 +214,31 @@ def module_table(e: DataFrame) -> DataFrame:
     return stats.modules(e)
 
 
+@on_entities
+def filtered_count(e: DataFrame) -> DataFrame:
+    return stats.count(e, F.col("entity_type") == "method")
+
+
+@on_entities
+def type_shares(e: DataFrame) -> DataFrame:
+    return stats.shares(e, "entity_type").withColumn("percent", F.col("percent").cast("long"))
+
+
+@on_entities
+def graph_stats(e: DataFrame) -> DataFrame:
+    return stats.graph_stats(e)
+
+
+@on_entities
+def overview_documents(e: DataFrame) -> DataFrame:
+    return stats.documents(e, "tables")
+
+
+@query
+def metrics_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.metrics_text(ad.table(spark, sf_dir, "events"), "event.duration_ms", "value", "event_type", BOUNDS)
+
+
 @on_entities
 def index_status(e: DataFrame) -> DataFrame:
     return stats.status(e)
@@ -222,18 +291,17 @@ def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @on_entities
 def dead_entities(e: DataFrame) -> DataFrame:
-    return graph.dead_code(e).select("id", "name", "file_path")
+    return graph.dead_code(e, entry_point=entry_point()).select("id", "name", "file_path")
 
 
 @on_entities
 def dead_by_suffix(e: DataFrame) -> DataFrame:
-    return graph.dead_code(e, by_suffix=True).select("id", "name", "file_path")
+    return graph.dead_code(e, by_suffix=True, entry_point=entry_point()).select("id", "name", "file_path")
 
 
 @on_entities
 def dead_summary(e: DataFrame) -> DataFrame:
-    public = e.filter(F.col("entity_type").isin("function", "method", "macro") & (F.col("visibility") == "public")).agg(F.count("*").alias("total_public"))
-    return graph.dead_code(e, "src/services/").agg(F.count("*").alias("dead_count")).join(public, F.lit(True))
+    return graph.dead_summary(e, "src/services/", entry_point())
 
 
 @on_entities
@@ -241,6 +309,11 @@ def port_implementors(e: DataFrame) -> DataFrame:
     return graph.implementors(e)
 
 
+@on_entities
+def implementors_of(e: DataFrame) -> DataFrame:
+    return graph.implementors(e, STORE)
+
+
 @on_entities
 def hotspots(e: DataFrame) -> DataFrame:
     return graph.hotspot_dead(e).agg(F.count("*").alias("dead"), F.countDistinct("file_path").alias("files"))
@@ -265,15 +338,21 @@ def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _impact(depth: int) -> Query:
-    return lambda spark, sf_dir: graph.impact(ad.entities(spark, sf_dir), ROOT, depth).select(F.col("depth").cast("long").alias("depth"), "path", "name", "file_path")
+    return lambda spark, sf_dir: graph.impact(ad.entities(spark, sf_dir), ROOT, depth, ad.index(spark, sf_dir)).select(F.col("depth").cast("long").alias("depth"), "path", "name", "file_path")
 
 
 QUERIES |= {f"impact_d{d}": _impact(d) for d in (1, 2, 3)}
 
 
+@query
+def impact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.affected_files(ad.entities(spark, sf_dir), ROOT, 3, ad.index(spark, sf_dir)).withColumn("nearest", F.col("nearest").cast("long"))
+
+
 @on_entities
-def impact_files(e: DataFrame) -> DataFrame:
-    return graph.affected_files(e, ROOT).withColumn("nearest", F.col("nearest").cast("long"))
+def impact_refined(e: DataFrame) -> DataFrame:
+    """Module-level callers under the names of their functions."""
+    return graph.impact(e, "Lib.red_widget_0", 2).select(F.col("depth").cast("long").alias("depth"), "path", "name", "file_path")
 
 
 @on_entities
@@ -281,14 +360,37 @@ def community(e: DataFrame) -> DataFrame:
     return graph.community(e, FILE)
 
 
+@on_entities
+def community_connections(e: DataFrame) -> DataFrame:
+    return graph.connections(e, FILE)
+
+
+@on_entities
+def community_grouped(e: DataFrame) -> DataFrame:
+    return graph.grouped_connections(graph.connections(e, FILE))
+
+
 @on_entities
 def hierarchy_parents(e: DataFrame) -> DataFrame:
-    return graph.parents(e, MODULE)
+    """The page module's imports: one by alias, one relative, one by base name, one unresolved."""
+    found = graph.resolve_names(e.filter(F.sha2(F.lit(KNOWN), 256) == F.col("id")).select(F.explode("is_a").alias("ref")).distinct(), e, ad.ALIASES)
+    return found.select("ref", "name", "file_path", F.col("way").cast("long").alias("way"))
 
 
 @on_entities
 def hierarchy_children(e: DataFrame) -> DataFrame:
-    return graph.children(e, MODULE)
+    return graph.children(e, PAGE, ad.ALIASES)
+
+
+@on_entities
+def hierarchy_members(e: DataFrame) -> DataFrame:
+    return graph.children(e, STORE)
+
+
+@on_entities
+def name_resolution(e: DataFrame) -> DataFrame:
+    listed = e.sparkSession.createDataFrame([(r,) for r in REFS], "ref string")
+    return graph.resolve_names(listed, e, ad.ALIASES).select("ref", "name", "file_path", F.col("way").cast("long").alias("way"))
 
 
 @on_entities
@@ -296,9 +398,23 @@ def nested_ranges(e: DataFrame) -> DataFrame:
     return graph.nested(e)
 
 
-@on_entities
-def view_links(e: DataFrame) -> DataFrame:
-    return graph.view_links(e)
+@query
+def view_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.view_nodes(ad.nodes(spark, sf_dir)).select("id", "name", "incoming_count", names.folder_group("file_path").alias("package"))
+
+
+@query
+def view_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = ad.nodes(spark, sf_dir)
+    return graph.view_links(nodes, graph.view_nodes(nodes, 2000))
+
+
+@query
+def view_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the view, call links between nodes of three connections and more that are no modules; of one package."""
+    nodes = ad.nodes(spark, sf_dir)
+    shown = graph.view_nodes(nodes, 2000)
+    return graph.view_filter(shown, graph.view_links(nodes, shown), "calls", 3, ["module"], "web/handlers")[1]
 
 
 @on_entities
@@ -373,9 +489,10 @@ def dedup_best(e: DataFrame) -> DataFrame:
     return retrieval.deduplicate(_hits(e)).select("id", "name", "entity_type", "score")
 
 
-@on_entities
-def graph_boost(e: DataFrame) -> DataFrame:
-    return retrieval.graph_boost(_hits(e.filter("entity_type = 'function'")), ed.degrees(e)).select("id", "name", "boost", "score")
+@query
+def graph_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = ad.entities(spark, sf_dir)
+    return retrieval.graph_boost(_hits(e.filter("entity_type = 'function'")), ad.nodes(spark, sf_dir)).select("id", "name", "boost", "score")
 
 
 @on_entities
@@ -383,17 +500,60 @@ def type_boost(e: DataFrame) -> DataFrame:
     return retrieval.type_boost(_hits(e)).select("id", "score")
 
 
-@on_entities
-def rerank(e: DataFrame) -> DataFrame:
-    return retrieval.relationship_rank(_hits(e), ed.degrees(e), ["user_2", "user_7"]).select("id", "relevance", "score")
+@query
+def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.relationship_rank(_hits(ad.entities(spark, sf_dir)), ad.nodes(spark, sf_dir), ["user_2", "user_7"]).select("id", "relevance", "score")
 
 
 @query
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = ed.degrees(ad.entities(spark, sf_dir)).select("name", "incoming_count", "calls")
+    nodes = ad.nodes(spark, sf_dir).select("name", "incoming_count", "calls")
     return retrieval.hybrid_search(ad.texts(spark, sf_dir), ad.vectors(spark, sf_dir), nodes, SEARCH, _vector(spark, sf_dir)).select("id", "name", "score")
 
 
+@query
+def dense_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword arm's table lacks its text, so the dense arm answers alone."""
+    broken = ad.texts(spark, sf_dir).drop("content")
+    return retrieval.arms(broken, ad.vectors(spark, sf_dir), SEARCH, _vector(spark, sf_dir), 20)
+
+
+@query
+def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No token of the query occurs anywhere, but the query stands within names."""
+    nodes = ad.nodes(spark, sf_dir).select("name", "incoming_count", "calls")
+    return retrieval.hybrid_search(ad.texts(spark, sf_dir), ad.vectors(spark, sf_dir), nodes, "ORMAT_nation_1", None).select("id", "name", "entity_type", "score")
+
+
+def _lengths() -> Callable[[list[str]], list[list[float]]]:
+    """A stand-in for a model: one axis per length; it refuses every third length."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        if any(len(t) % 3 == 0 for t in texts):
+            raise ValueError("refused")
+        return [[float(len(t) % 8 == k) for k in range(8)] for t in texts]
+
+    return encode
+
+
+@query
+def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by the model, by feature hashing where it fails."""
+    docs = ad.texts(spark, sf_dir)
+    made = embedding.embed(docs, _lengths, _terms(spark, sf_dir)[1], batch=1)
+    return made.select("id", "way", F.round(F.sqrt(text.dot("semantic", "semantic")), 3).alias("norm"))
+
+
+@query
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of a query by the model, by feature hashing, and of nothing."""
+    terms, rows = _terms(spark, sf_dir)[1], []
+    for asked, encoder in ((SEARCH, _lengths), (SEARCH + "x", _lengths), ("?", None)):
+        vector, way = embedding.query_vector(asked if encoder else "?", encoder, terms)
+        rows.append((way, sum(1 for x in vector if x), round(sum(x * x for x in vector), 6)))
+    return spark.createDataFrame(rows, "way string, n long, square double")
+
+
 @query
 def vocab_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary after a third of the files went: counted from what is left."""
@@ -401,11 +561,11 @@ def vocab_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vocabulary(retrieval.term_frequencies(docs), docs.count())
 
 
-@on_entities
-def ranking_reasons(e: DataFrame) -> DataFrame:
+@query
+def ranking_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a re-ranked hit owes to its references and calls."""
-    hits = retrieval.relationship_rank(_hits(e.filter("entity_type = 'function'")), ed.degrees(e), ["user_3"])
-    return hits.select("id", "relevance", F.when(F.col("relevance") >= 100, "named").when(F.col("relevance") > 0, "related").otherwise("text").alias("reason"))
+    e = ad.entities(spark, sf_dir)
+    return retrieval.explain_rank(retrieval.relationship_rank(_hits(e.filter("entity_type = 'function'")), ad.nodes(spark, sf_dir), ["user_3"])).select("id", "relevance", "reason")
 
 
 # --- state and streams
@@ -417,6 +577,12 @@ def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.upsert(e, e.filter(F.col("file_path").endswith(".ex")).withColumn("name", F.upper("name")))
 
 
+@query
+def delete_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = ad.entities(spark, sf_dir).select("id", "name", "file_path")
+    return incremental.delete_ids(e, e.filter(F.col("name").contains("7")))
+
+
 @query
 def purge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ad.entities(spark, sf_dir).select("id", "name", "file_path")
@@ -449,10 +615,23 @@ def startup_project(e: DataFrame) -> DataFrame:
 
 @query
 def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding windows over the stream; what the watermark lets through in one run over what is there."""
-    events = streams.event_stream(spark, sf_dir).filter(F.col("event_type") == "error").withWatermark("ts", "1 hour")
-    rows = events.groupBy(F.window("ts", "12 hours", "6 hours")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
-    return streams.drain(rows, "complete").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+    """Sliding windows of a stream; every tenth event arrives after the others, and what the watermark has passed by then is dropped."""
+    errors = ad.table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    base, schema = scratch(spark, "late"), errors.schema
+    out = None
+    for arrived in (F.col("event_id") % 10 != 0, F.col("event_id") % 10 == 0):
+        errors.filter(arrived).write.mode("append").parquet(f"{base}/in")
+        events = spark.readStream.schema(schema).parquet(f"{base}/in").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+        rows = events.groupBy(F.window("ts", "12 hours", "6 hours")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+        out = streams.drain(rows, "append", f"{base}/stream")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query
+def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of a user's events that are over, and deletions."""
+    rows = streams.drain(streams.changes(streams.event_stream(spark, sf_dir), F.col("event_type") == "error", "2 hours"))
+    return rows.select("user_id", "change", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @on_entities
@@ -469,14 +648,6 @@ def relations(e: DataFrame) -> DataFrame:
 # --- ingest
 
 
-@query
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts by the links of their pages: imports of a web corpus."""
-    links = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target")
-    pages = ad.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), links)
-    return pages.groupBy("host", names.last_segment("target").alias("target")).agg(F.count("*").alias("n"))
-
-
 @query
 def syntax_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the texts as call lists, before and after syntax words go; repeats stay."""
@@ -485,12 +656,93 @@ def syntax_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.size("w").cast("long").alias("n"), F.size("kept").cast("long").alias("kept"))
 
 
-@query
-def extract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One small Python file per supplier, through the extractor."""
+def _shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One small Python file per supplier."""
     s = ad.table(spark, sf_dir, "supplier")
     number = F.col("s_suppkey").cast("string")
     source = F.concat(F.lit("import os\n\nclass Shop"), number, F.lit("(Base):\n    def sell(self, item):\n        return os.path.join(helper(item), str(self))\n\ndef _make_"), number, F.lit("(n):\n    return Shop"), number, F.lit("()\n"))
-    files = s.select(F.concat(F.lit("shops/shop_"), number, F.lit(".py")).alias("path"), F.lit("python").alias("language"), source.alias("content"))
-    found = extract.entities(files)
+    return s.select("s_suppkey", F.concat(F.lit("shops/shop_"), number, F.lit(".py")).alias("path"), F.lit("python").alias("language"), source.alias("content"))
+
+
+@query
+def extract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.entities(_shops(spark, sf_dir))
     return found.select("id", "file_path", "entity_type", "name", "start_line", "end_line", "visibility", F.array_join("calls", ",").alias("calls"), F.array_join("is_a", ",").alias("is_a"), F.array_join("contains", ",").alias("contains"), F.array_join("parameters", ",").alias("parameters"))
+
+
+def _with_sha(files: DataFrame) -> DataFrame:
+    return files.withColumn("sha256", F.upper(F.sha2("content", 256))).drop("s_suppkey")
+
+
+@query
+def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the files are indexed; then some go, others come, others change; a broken one is an error without chunks."""
+    shops, work = _shops(spark, sf_dir), Workspace(spark, scratch(spark, "workspace"))
+    key = F.col("s_suppkey")
+    work.index("shops", _with_sha(shops.filter(key % 3 != 0)))
+    changed = F.when(key % 7 == 0, "def (").when(key % 2 == 0, F.concat("content", F.lit("\ndef extra(thing):\n    return os.sep + thing\n"))).otherwise(F.col("content"))
+    later = _with_sha(shops.filter(key % 5 != 0).withColumn("content", changed))
+    work.refresh("shops", later)
+    work.refresh("shops", later)  # nothing has changed, so nothing is written
+    version = max(work.store.versions("shops"))
+    vectors = work.store.read("shops", table="vectors").select(F.col("id").alias("_v"), F.round(text.dot("semantic", "semantic"), 3).alias("square"))
+    rows = work.store.read("shops").join(vectors, F.col("id") == F.col("_v"))
+    return rows.select("id", "name", "file_path", "entity_type", "square", F.lit(version).cast("long").alias("version"))
+
+
+@query
+def workspace_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects come, one is purged, one is dropped; the largest that is no test collection is current at the start."""
+    shops, work = _shops(spark, sf_dir), Workspace(spark, scratch(spark, "workspace"))
+    for name, part in (("Shops (all)", F.lit(True)), ("some_test_shops", F.lit(True)), ("few", F.col("s_suppkey") < 5), ("gone", F.col("s_suppkey") < 3)):
+        rows = extract.entities(shops.filter(part))
+        work.store.write(name, rows)
+    work.store.purge("few")
+    work.store.drop("gone")
+    current = work.startup("main")
+    return work.listing().select("project", "n", (F.col("project") == current).alias("current"))
+
+
+def _write_tree(spark: SparkSession, base: str, nations: list[str]) -> None:
+    """Two source trees with files of every fate."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = {"one/.gitignore": "/gen/\n*.tmp.py\n", "one/.indexignore": "# own\nskip_*.py\nattic\n", "one/src/__init__.py": "A = 1\n", "two/src/_private/x.py": "B = 2\n"}
+    for n in nations:
+        for name in TREE:
+            files[name.replace("{n}", n)] = f"def f(): return '{n}'\n"
+    for name, body in files.items():
+        stream = fs.create(path(f"{base}/{name}"), True)
+        stream.write(bytearray(body.encode()))
+        stream.close()
+
+
+#: Files of the two trees, per nation.
+TREE = [
+    "one/src/{n}.py", "two/src/{n}.py", "one/node_modules/lib/{n}.js", "one/lib/{n}.min.js", "one/.hidden/{n}.py", "one/docs/{n}.txt", "one/gen/{n}.py", "one/src/skip_{n}.py", "one/src/{n}.tmp.py", "one/attic/deep/{n}.go", "two/src/a b+c/{n}.ts",
+]
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch(spark, "trees")
+    _write_tree(spark, base, sorted(r[0] for r in ad.table(spark, sf_dir, "nation").select("n_name").collect()))
+    return scan.scan(spark, [f"{base}/one", f"{base}/two", f"{base}/two/src"])
+
+
+@query
+def scan_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two roots with files of the same relative paths; the rules lie in the first."""
+    return _scanned(spark, sf_dir).select(F.regexp_extract("path", "/((?:one|two)/.*)$", 1).alias("path"), "language", "skip", "sha256")
+
+
+@query
+def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.skip_counts(_scanned(spark, sf_dir))
+
+
+@query
+def source_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch(spark, "trees")
+    _write_tree(spark, base, ["X"])
+    rows = [(way, r.removeprefix(base)) for way, curated, at in (("all", False, base), ("curated", True, f"{base}/one"), ("below", True, base)) for r in scan.source_roots(spark, at, curated=curated)]
+    return spark.createDataFrame(rows, "way string, folder string")

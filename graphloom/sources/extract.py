@@ -42,6 +42,16 @@ IMPORTS = {
     "javascript": r"(?:from\s+|require\(\s*|^\s*import\s+)['\"]([^'\"]+)['\"]", "ruby": r"^\s*(?:require|require_relative|include|extend)\s+['\"]?([\w:/.]+)", "kotlin": r"^\s*import\s+([\w.]+)", "swift": r"^\s*import\s+(\w+)",
 }
 IMPORTS["typescript"] = IMPORTS["tsx"] = IMPORTS["javascript"]
+#: Composite literals of Go: the type, and the key type of a map.
+LITERAL = re.compile(r"(?<![\w.])(?:(?:map\[(?P<key>[\w.*]+)\]|\[\d*\])[&*]*)*[&*]*(?:\w+\.)?(?P<type>[A-Za-z_]\w*)(?:\[[\w.*, ]*\])?\{")
+PLAIN_TYPES = {"struct", "interface", "string", "int", "bool", "byte", "rune", "float64", "float32", "int64", "int32", "uint", "error", "any"}
+#: An import with the names it binds, over any lines; a return type; the type of a constant.
+BOUND = re.compile(r"^[ \t]*import\s+(?:type\s+)?([^'\";()]{1,2000}?)\s+from\s+['\"]", re.M)
+RETURNS = re.compile(r"\)\s*:\s*([A-Za-z_]\w*)")
+TYPED = re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+\w+\s*:\s*([A-Za-z_]\w*)")
+WEB = ("javascript", "typescript", "tsx")
+#: Files of one frame on its way back from the parser.
+FRAME = 256
 #: Kinds that own the declarations within their lines.
 OWNERS = {"module", "class", "struct", "interface", "enum"}
 
@@ -55,6 +65,31 @@ def _row(path: str, kind: str, name: str, lines: list[str], start: int, end: int
     return out | {k: [] for k in LISTS} | more
 
 
+def bound_names(source: str) -> list[str]:
+    """Names that the imports of a script bind."""
+    out = []
+    for m in BOUND.finditer(source):
+        braces = re.search(r"\{([^}]*)\}", m[1])
+        out += [x.strip().split(" as ")[-1].strip().removeprefix("type ") for x in (braces[1].split(",") if braces else [])]
+        out += [x.strip().removeprefix("* as ").strip() for x in re.sub(r"\{[^}]*\}", "", m[1]).split(",")]
+    return _unique(x for x in out if re.fullmatch(r"\w+", x))
+
+
+def enriched(rows: list[dict], known: dict[str, str]) -> list[dict]:
+    """Functions also call what their text names as a whole word: known is word -> call."""
+    for r in rows:
+        if known and r["entity_type"] in ("function", "method") and r["content"]:
+            words = set(re.findall(r"\w+", r["content"]))
+            r["calls"] = _unique(r["calls"] + [call for word, call in known.items() if word in words])
+    return rows
+
+
+def implemented(line: str, body: str) -> list[str]:
+    """The type that a function returns or a constant has: what it implements where there are no classes."""
+    head = re.split(r"\{|=>", body, maxsplit=1)[0]
+    return _unique(TYPED.findall(line)[:1] + RETURNS.findall(head)[-1:])
+
+
 def _dotted(node: ast.AST) -> str:
     if isinstance(node, ast.Name):
         return node.id
@@ -66,7 +101,7 @@ def _dotted(node: ast.AST) -> str:
 
 def python_entities(path: str, source: str) -> list[dict]:
     tree, lines, out = ast.parse(source), source.splitlines(), []
-    imports, symbols = [], {}
+    imports, symbols, taken = [], {}, {}
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
             for a in node.names:
@@ -75,7 +110,8 @@ def python_entities(path: str, source: str) -> list[dict]:
         elif isinstance(node, ast.ImportFrom):
             base = "." * node.level + (node.module or "")
             imports.append(base)
-            symbols |= {a.asname or a.name: f"{base}.{a.name}" for a in node.names}
+            taken |= {a.asname or a.name: f"{base}.{a.name}" for a in node.names if a.name != "*"}
+            symbols |= taken
 
     def called(node: ast.AST) -> list[str]:
         found = []
@@ -101,6 +137,7 @@ def python_entities(path: str, source: str) -> list[dict]:
                 visit(node.body, None)
 
     visit(tree.body, None)
+    enriched(out, taken)
     stem = path.rsplit("/", 1)[-1].removesuffix(".py")
     name = path.rsplit("/", 2)[-2] if stem == "__init__" and "/" in path else stem
     top = [x.name for x in tree.body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
@@ -163,8 +200,11 @@ def scanned_entities(path: str, source: str, language: str) -> list[dict]:
             body = "\n".join(lines[i - 1 : end])
             own = m["name"]
             calls = [c[1] for c in CALL.finditer(body) if c[1] not in WORDS and c[1] != own] if kind in ("function", "method", "macro", "variable") else []
-            if language in ("javascript", "typescript", "tsx") and calls is not None and kind in ("function", "method", "variable"):
+            if language in WEB and kind in ("function", "method", "variable"):
                 calls += TAG.findall(body) + NEW.findall(body)
+                supers += implemented(line, body)
+            if language == "go" and kind in ("function", "method"):
+                calls += [x for c in LITERAL.finditer(body.split("{", 1)[-1]) for x in ((c["key"] or "").lstrip("*").rsplit(".", 1)[-1], c["type"]) if x and x not in PLAIN_TYPES and x not in WORDS]
             if language == "java":
                 calls += [f"new {t}" for t in NEW.findall(body)] if kind == "method" else []
             if language == "rust" and kind in ("function", "method"):
@@ -175,7 +215,9 @@ def scanned_entities(path: str, source: str, language: str) -> list[dict]:
         if r["entity_type"] in OWNERS:
             inner = [x["name"].rsplit(".", 1)[-1] for x in out if x is not r and r["start_line"] < x["start_line"] and x["end_line"] <= r["end_line"]]
             r["contains"] = _unique(inner + [x["name"].rsplit(".", 1)[-1] for x in out if x["module_path"] == r["name"]])
-    exported = _unique(n for line in lines for m in [re.search(r"^\s*export\s*(?:default\s+(\w+)|\{([^}]*)\})", line)] if m for n in re.split(r"\s*,\s*", (m[1] or m[2]).strip())) if language in ("javascript", "typescript", "tsx") else []
+    if language in WEB:
+        enriched(out, {x: x for x in bound_names(source)})
+    exported = _unique(n for line in lines for m in [re.search(r"^\s*export\s*(?:default\s+(\w+)|\{([^}]*)\})", line)] if m for n in re.split(r"\s*,\s*", (m[1] or m[2]).strip())) if language in WEB else []
     for r in out:
         if r["name"] in exported:
             r["visibility"] = "public"
@@ -206,8 +248,9 @@ def extract(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, language, content in batch.itertuples(index=False):
-                yield pd.DataFrame(parse(path, language, content), columns=names)
+            for at in range(0, len(batch), FRAME):
+                rows = [r for file in batch.iloc[at : at + FRAME].itertuples(index=False) for r in parse(*file)]
+                yield pd.DataFrame(rows, columns=names)
 
     return files.filter(F.col("language").isNotNull()).select("path", "language", "content").mapInPandas(run, SCHEMA)
 

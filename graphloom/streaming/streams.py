@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import scratch
@@ -31,13 +31,23 @@ def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.select(*keys).dropDuplicates(keys)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def changes(events: DataFrame, deleted: Column, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """(user_id, change, at): file changes to act on: a burst of writes counts once it is over, a deletion at once."""
+    session = F.session_window("ts", gap)
+    writes = events.filter(~deleted).withWatermark("ts", late).groupBy("user_id", session).agg(F.count("*").alias("n"))
+    writes = writes.select("user_id", F.lit("reindex").alias("change"), F.col("session_window.end").alias("at"))
+    return writes.unionByName(events.filter(deleted).select("user_id", F.lit("delete").alias("change"), F.col("ts").alias("at")))
+
+
+def drain(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a stream over what is there now, into files of the shared folder, and return the rows.
 
     Files serve append mode; complete mode replaces the table batch by batch.
+    With the folder ``base`` of an earlier run, the stream goes on from there:
+    its state and watermark are kept, and only new input is read.
     """
     spark = stream.sparkSession
-    base = scratch(spark, "stream")
+    base = base or scratch(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(f"{base}/out")
