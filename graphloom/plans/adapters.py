@@ -98,8 +98,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reverse index of calls and is_a, by key."""
-    return _stored(spark, sf_dir, "index", lambda: ed.reference_index(entities(spark, sf_dir)).repartitionByRange("key").sortWithinPartitions("key"))
+    """The reverse index of calls and is_a; each file is sorted by key, so a few keys need few of its row groups."""
+    return _stored(spark, sf_dir, "index", lambda: ed.reference_index(entities(spark, sf_dir)).sortWithinPartitions("key"))
 
 
 def _no_names() -> Column:
