@@ -86,7 +86,8 @@ def enriched(rows: list[dict], known: dict[str, str]) -> list[dict]:
 
 def implemented(line: str, body: str) -> list[str]:
     """The type that a function returns or a constant has: what it implements where there are no classes."""
-    head = re.split(r"\{|=>", body, maxsplit=1)[0]
+    whole = line.count("(") <= line.count(")")  # else the parameters go on in the next lines
+    head = re.split(r"\{|=>", line if whole else body, maxsplit=1)[0]
     return _unique(TYPED.findall(line)[:1] + RETURNS.findall(head)[-1:])
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.plans.ingest import Workspace
 from graphloom.sources import extract, scan
 from graphloom.streaming import incremental, streams
 
@@ -82,3 +83,94 @@ def test_stream_equals_batch(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     got = streams.drain(streams.first_seen(streams.event_stream(spark, sf), ["user_id"]))
     assert got.count() == spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id")).distinct().count()
+
+
+def tree(base, files):
+    for name, body in files.items():
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_text(body)
+
+
+def test_roots_keep_files_of_one_name(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan, "HIDDEN_BYTES", 10)  # blocks, not a bound
+    tree(tmp_path, {f"{r}/{f}": f"{r}{f}" for r in ("r1", "r2") for f in ("src/main.py", "src/__init__.py", "_x/y.py", "a b+%41.py")} | {"r1/src/deep/_z.py": "z"})
+    roots = [str(tmp_path / x) for x in ("r1", "r2", "r1/src", "r2")]
+    found = {(r["path"], r["content"]) for r in scan.scan(spark, roots).collect()}
+    assert found == {(str(tmp_path / r / f), f"{r}{f}") for r in ("r1", "r2") for f in ("src/main.py", "src/__init__.py", "_x/y.py", "a b+%41.py")} | {(str(tmp_path / "r1/src/deep/_z.py"), "z")}
+    assert {r["path"] for r in scan.scan(spark, roots[:1]).collect()} == {"src/main.py", "src/__init__.py", "_x/y.py", "a b+%41.py", "src/deep/_z.py"}
+    assert scan.scan(spark, []).count() == 0
+
+
+def test_rules_of_a_root(spark, tmp_path):
+    files = ["a.min.js", "a.js", "x.d.ts", "yarn.lock", "own/b.py", "gen/c.py", "docs/internal/d.py", "docs/e.py", "node_modules/gen/f.py", "k_skip.py"]
+    tree(tmp_path, dict.fromkeys(files, "x = 1") | {".gitignore": "gen/\n!a.js\n*_skip.py", ".indexignore": "own\ndocs/internal/\n"})
+    rows = {r["path"]: (r["skip"], r["pruned"]) for r in scan.scan(spark, [str(tmp_path)]).collect()}
+    want = {"a.min.js": "default", "a.js": None, "x.d.ts": "default", "yarn.lock": "default", "own/b.py": "project_ignore", "gen/c.py": "gitignore", "docs/internal/d.py": "project_ignore", "docs/e.py": None, "node_modules/gen/f.py": "default", "k_skip.py": "gitignore"}
+    assert {k: rows[k][0] for k in want} == want and rows["node_modules/gen/f.py"][1] == "node_modules" and rows["docs/internal/d.py"][1] == "docs/internal"
+
+
+def test_only_indexed_files_are_opened(spark, tmp_path):
+    tree(tmp_path, {f"node_modules/{i}.js": "x" for i in range(9)} | {"a.py": "x = 1", "b.txt": "no"})
+    (tmp_path / "node_modules/0.js").chmod(0)
+    found = scan.scan(spark, [str(tmp_path)])
+    assert found.filter("content is not null").count() == 1
+    files = found.select("content")._jdf.queryExecution()
+    files.toRdd().count()
+    scans = [x for x in files.executedPlan().toString().split("\n") if "FileScan binaryFile" in x]
+    assert any("content" in x.split("ReadSchema")[-1] for x in scans) and any("content" not in x.split("ReadSchema")[-1] for x in scans)
+
+
+def test_source_roots(spark, tmp_path):
+    tree(tmp_path, {"web/src/a.ts": "", "api/x.py": "", "mono/one/lib/b.rb": "", "mono/two/cmd/c.go": "", "flat/d.py": ""})
+    base = str(tmp_path)
+    assert scan.source_roots(spark, base) == [base]
+    assert scan.source_roots(spark, base, curated=True) == [f"{base}/api"]
+    assert scan.source_roots(spark, f"{base}/mono", curated=True) == [f"{base}/mono/one/lib", f"{base}/mono/two/cmd"]
+    assert scan.source_roots(spark, f"{base}/flat", curated=True) == [f"{base}/flat"]
+
+
+def test_aliases_are_patterns():
+    aliases = scan.parse_aliases('{"compilerOptions": {"paths": {"@/*": ["./src/*", "lib/*"], "config": ["./cfg"]}}}')
+    assert scan.expand_alias("@/a", aliases) == ["src/a", "lib/a"] and scan.expand_alias("config", aliases) == ["cfg"] and scan.expand_alias("configs", aliases) == ["configs"]
+
+
+def test_calls_from_imports_literals_and_types():
+    source = "import fetchAll, {\n  one as two,\n  type Three\n} from './api'\nimport * as ns from 'ns'\nexport function load(x: Other): Port {\n  return two + ns\n}\nexport const item: Item = make()\nconst go = (a: A): Repo<B> => { run(a) }\n"
+    rows = {r["name"]: r for r in extract.parse("a.ts", "typescript", source)}
+    assert rows["load"]["calls"] == ["two", "ns"] and rows["load"]["is_a"] == ["Port"] and rows["item"]["is_a"] == ["Item"] and rows["go"]["is_a"] == ["Repo"]
+    go = "package a\nfunc New() *Server {\n\tif x {\n\t}\n\tm := map[Key]Peer{}\n\treturn &Server{opts: pkg.Opts{}, list: []Item{}}\n}\n"
+    assert {"Server", "Opts", "Item", "Peer", "Key"} <= set({r["name"]: r for r in extract.parse("a.go", "go", go)}["New"]["calls"])
+    python = "from db import read, write as put\nimport os\ndef f(x):\n    handler = read\n    return os, put_all\ndef g():\n    return put\n"
+    rows = {r["name"]: r["calls"] for r in extract.parse("a.py", "python", python)}
+    assert rows["f"] == ["db.read"] and rows["g"] == ["db.write"]
+
+
+def test_refresh_equals_a_full_index(spark, tmp_path):
+    def files(some):
+        rows = spark.createDataFrame([(p, "python", c) for p, c in some.items()], "path string, language string, content string")
+        return rows.withColumn("sha256", F.upper(F.sha2("content", 256)))
+
+    body = "def {0}(value):\n    return value + other_{0}(value)\n"
+    first = {f"{n}.py": body.format(n) for n in "abc"}
+    second = {"a.py": first["a.py"], "b.py": body.format("changed"), "d.py": body.format("d"), "e.py": "def ("}
+    one, two = (Workspace(spark, f"file://{tmp_path}/{x}") for x in ("one", "two"))
+    assert one.refresh("p", files(first)) == {"parsed": 3, "removed": 0, "failed": 0, "chunks": 6, "version": 1}
+    assert one.refresh("p", files(second)) == {"parsed": 3, "removed": 1, "failed": 1, "chunks": 6, "version": 2}
+    assert one.refresh("p", files(second))["version"] == 2
+    two.index("p", files(second))
+    for table in ("files", "entities", "errors", "vocabulary", "vectors", "keywords"):
+        assert sorted(map(repr, one.store.read("p", table=table).collect())) == sorted(map(repr, two.store.read("p", table=table).collect())), table
+    assert one.health("p").first()["state"] == "healthy" and one.health("none").first()["state"] == "degraded"
+    one.store.vacuum("p", 1)
+    assert one.store.versions("p") == [2]
+    one.store.purge("p")
+    assert one.store.read("p") is None and one.refresh("p", files(second))["parsed"] == 4 and not one.store.take_full("p")
+    assert one.startup("p") == "p" and one.switch("p").count() == 6 and one.store.current() == "p"
+
+
+def test_late_rows_are_dropped(spark):
+    from graphloom.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = sum(r["n"] for r in QUERIES["late_data"](spark, sf).collect())
+    assert 0 < got < 2 * spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'").count()
