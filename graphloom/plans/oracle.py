@@ -417,7 +417,7 @@ UNION ALL SELECT 'architecture', (SELECT body FROM t3) || chr(10) || chr(10) ||
     "query_vectors": f"WITH {TOKENS}, {ARMS} SELECT * FROM (VALUES ('model', 1, 1.0::DOUBLE), ('tfidf', (SELECT count(DISTINCT b) FROM qb), 1.0::DOUBLE), ('zeros', 0, 0.0::DOUBLE)) AS t(way, n, square)",
     "change_stream": """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 2 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WHERE event_type <> 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
-SELECT user_id, 'reindex' AS change, strftime(max(ts) + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M:%S') AS at FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type <> 'error')
+SELECT user_id, 'reindex' AS change, strftime(max(ts) + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M:%S') AS moment FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type <> 'error')
 UNION ALL SELECT user_id, 'delete', strftime(ts, '%Y-%m-%d %H:%M:%S') FROM events WHERE event_type = 'error'""",
     "delete_state": e("SELECT id, name, file_path FROM entities WHERE NOT contains(name, '7')"),
     "extract_sources": f"""WITH k AS (SELECT CAST(s_suppkey AS VARCHAR) AS k FROM supplier), rows AS (

@@ -631,7 +631,7 @@ def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of a user's events that are over, and deletions."""
     rows = streams.drain(streams.changes(streams.event_stream(spark, sf_dir), F.col("event_type") == "error", "2 hours"))
-    return rows.select("user_id", "change", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return rows.select("user_id", "change", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
 @on_entities
