@@ -10,7 +10,8 @@ to, and the longest verbatim match with its place.
 
 A window is ``window`` consecutive words of an item; an item of fewer words,
 but not none, is one window.  Words are compared by 64-bit hashes, so a false
-hit needs ``window`` hash collisions in a row.
+hit needs as many collisions in a row as the window has words: one for an item
+of one word.
 
 The test set is shipped in blocks of at most ``block_bytes`` of text.  One
 block is one pass over the documents.  More blocks are a pass each, built and
