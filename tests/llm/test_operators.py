@@ -697,6 +697,13 @@ def test_social_security_numbers_stay_distinct(spark):
     assert len(set(made)) == len(numbers) and all(a != b or a[4:] in ("00-0000",) for a, b in zip(made, numbers, strict=True))
 
 
+def test_every_kind_is_admitted(spark):
+    texts = ["a@b.co", "1.2.3.4", "FE80::1:2", "1:2:3:4:5:6:7:8", "078-05-1120", "DE89370400440532013000", "4111111111111111", "+14995556503", "5 Main Road", "Feldweg 5", "5, rue Haute", "Calle Mayor 5", "Mr Fox", "xMr Fox", "Anna Fox", "_Anna Fox_", "Κυρία Α"]
+    d = spark.createDataFrame([(i, f"so {t} so") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = d.select("doc_id", F.regexp_like("text", F.lit(pii.PATTERN)).alias("found"), F.regexp_like("text", F.lit(pii.GUARD)).alias("admitted")).collect()
+    assert all(r["admitted"] for r in found if r["found"]) and {r["doc_id"] for r in found if not r["found"]} == {13, 16}
+
+
 def test_every_alphabet_is_one_to_one():
     letters = "".join(pii.ALPHABETS)
     assert len(set(letters)) == len(letters) and all(len(c.upper()) == 1 for c in letters)
