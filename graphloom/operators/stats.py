@@ -48,8 +48,9 @@ def fan_out(entities: DataFrame, top: int = 15) -> DataFrame:
 def top_connected(entities: DataFrame, top: int = 10) -> DataFrame:
     """Names by calls + contains + fan-in of the full name among last segments; one row per name."""
     fan = entities.select(F.explode("calls").alias("c")).groupBy(names.last_segment("c").alias("callee")).agg(F.count("*").alias("fan"))
-    rows = entities.filter(~names.is_noise("name") & (F.length("name") > 2)).join(fan, F.lower("name") == F.col("callee"), "left")
-    degree = (F.size("calls") + F.size("contains") + F.coalesce("fan", F.lit(0))).cast("long")
+    own = entities.filter(~names.is_noise("name") & (F.length("name") > 2)).groupBy("name").agg(F.max(F.size("calls") + F.size("contains")).alias("own"))  # sizes meet the fan-in, lists don't
+    rows = own.join(fan, F.lower("name") == F.col("callee"), "left")
+    degree = (F.col("own") + F.coalesce("fan", F.lit(0))).cast("long")
     return rows.groupBy("name").agg(F.max(degree).alias("degree")).orderBy(F.desc("degree"), "name").limit(top)
 
 

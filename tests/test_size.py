@@ -75,3 +75,11 @@ def test_entities_choose_nodes_without_their_calls(spark, monkeypatch):
     monkeypatch.setattr(graph, "settle", lambda df, f=graph.settle: (kept.append(df.dtypes), f(df))[1])
     graph.critical_files(random_graph(spark, 30)).collect()
     assert kept and not any(kind.startswith("array") for types in kept for _, kind in types)
+
+
+def test_top_connected_moves_no_lists(spark):
+    from graphloom.operators import stats
+
+    plan = stats.top_connected(random_graph(spark).select("*"))._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("Join LeftOuter")[1].split("Generate")[0]
+    assert "size(calls" in joined  # counted below the join
