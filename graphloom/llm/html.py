@@ -557,13 +557,14 @@ def repeated_marks(shards: DataFrame, run: int) -> DataFrame:
 def _cut(parsed: DataFrame, sizes: DataFrame) -> DataFrame:
     """parsed with the shards of its host (cuts, 0 if one) and its own (cut).
 
-    The table of cut hosts is broadcast if it has at most ``HOSTS`` rows; else
-    its largest hosts are, and the others, of at most ``LARGE`` shards each, meet
-    their parsed blocks by a shuffle.
+    The table of cut hosts goes by the driver, so pages are sized once, and is
+    broadcast if it has at most ``HOSTS`` rows; else its largest hosts are, and
+    the others, of at most ``LARGE`` shards each, meet their parsed blocks by a
+    shuffle.
     """
     hot = sizes.filter(F.col("n") > 1).select(F.col("host").alias("hot"), "n")
-    if hot.limit(HOSTS + 1).count() <= HOSTS:
-        met = parsed.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left")
+    if (few := hot.limit(HOSTS + 1).toArrow()).num_rows <= HOSTS:
+        met = parsed.join(F.broadcast(parsed.sparkSession.createDataFrame(few, hot.schema)), F.col("host") == F.col("hot"), "left")
     else:
         largest = F.broadcast(hot.filter(F.col("n") > LARGE))
         rest = parsed.join(largest.select("hot"), F.col("host") == F.col("hot"), "left_anti")

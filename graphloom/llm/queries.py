@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import slim
 from . import bpe, decontaminate, html, langid, pii, quality, secrets, simhash, tokencounts, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -35,7 +36,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    texts = html.extract(table(spark, sf_dir, "pages"))
+    slim(spark)  # the heap that sizing the hosts and earlier work grew
+    return texts
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

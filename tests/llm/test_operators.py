@@ -386,6 +386,26 @@ def test_notices_within_articles(spark, monkeypatch):
     assert rows_of(html.extract(d, shard=3), *columns) == got
 
 
+def test_hosts_are_sized_once(spark):
+    """What is returned reads pages to parse them, and not again to count those of each host."""
+    rows = [(i, f"http://{'hot' if i % 3 else 'cold'}/x", f"<p>a notice of every single page</p><p>text {i}</p>") for i in range(30)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html.extract(d, shard=6)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(got, "page_id", "text") == sorted(((i, f"text {i}") for i in range(30)), key=repr)
+
+
+def test_html_extraction_gives_back_the_heap(spark):
+    """Executors (here the driver, too) are collected in full before the texts are written; only then does a collector return memory."""
+
+    def full():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+
+    before = full()
+    queries.op4_html_extraction(spark, "/root/testdata/sf0.001")
+    assert full() > before
+
+
 # --- 6, 8, 10
 
 
