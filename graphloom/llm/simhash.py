@@ -19,8 +19,12 @@ more than ``MOST`` is split: the bits it leaves free are cut into radius + 1
 segments, every link agrees on one of them, so its rows are dealt again by
 bucket and segment; as often as needed, until so few bits are free that no
 bucket can hold more.  So no bucket is one task, and none costs more than
-``MOST`` squared.  Components come from alternating large-star and small-star
-rounds on Spark; nodes of very many edges meet these by broadcast.
+``MOST`` squared.  Components of at most ``LOCAL`` links are found on the driver,
+which gets the links and broadcasts their nodes; of more, by alternating
+large-star and small-star rounds on Spark, where nodes of very many edges meet
+these by broadcast.  Of at most ``LOCAL`` documents all tables but the first go
+by the driver, so that they aren't dealt out over many small files; a table that
+turns out larger is stored.
 
 Defined edge cases: null text is empty; texts without words link with each
 other like any other equal fingerprints; a null doc_id never names a component
@@ -49,6 +53,8 @@ FEW = 32
 MOST = 1 << 14
 #: Rows held at once when buckets are read.
 HELD = 1 << 17
+#: Rows up to which a table goes by the driver, and links up to which components are found there: 2 MB of them, and twice as many nodes at most.
+LOCAL = 1 << 17
 #: Edges of a node from which it may count as a hub.
 HUB = 1 << 16
 #: Rows from which a fingerprint may count as hot.
@@ -153,6 +159,11 @@ def _signed(mask: int) -> int:
 
 def links(marks: DataFrame, radius: int, most: int = MOST) -> DataFrame:
     """Distinct links (u < v) that connect every pair of distinct marks within the radius."""
+    return _links(marks, radius, most).distinct()
+
+
+def _links(marks: DataFrame, radius: int, most: int = MOST, few: int = 0) -> DataFrame:
+    """The links as they were kept (``_kept``), some of them repeatedly."""
     family = [m % (1 << 64) for m in masks(radius)]
     rows, out, earlier = marks.select("mark", F.lit(0).alias("t")), None, family
     level = [family]  # the masks that each mask of the level before is split into
@@ -161,12 +172,12 @@ def links(marks: DataFrame, radius: int, most: int = MOST) -> DataFrame:
         rows = rows.select("mark", "t", dealt.alias("b")).select((F.col("t") * len(level[0]) + F.col("b.i")).alias("t"), F.col("b.k").alias("k"), "mark")
         masks_here = [m for some in level for m in some]
         last = 64 - min(m.bit_count() for m in masks_here) <= MOST.bit_length() - 1
-        found = settle(_examined(rows.repartition("t", "k").sortWithinPartitions("t", "k"), radius, earlier, None if last else most))
+        found = _kept(_examined(rows.repartition("t", "k").sortWithinPartitions("t", "k"), radius, earlier, None if last else most), few)
         pairs = found.filter("v is not null").select("u", "v")
         out = pairs if out is None else out.unionAll(pairs)
         rows = found.filter("v is null").select(F.col("u").alias("mark"), "t")
         if last or not rows.limit(1).count():
-            return out.distinct()
+            return out
         level, earlier = [segments(m, radius) for m in masks_here], []
 
 
@@ -280,30 +291,69 @@ def components(edges: DataFrame, most: int = 60, hub: int = HUB) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionAll(edges.select(F.col("u"), F.col("u")).distinct())
 
 
-def classes(marks: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """marks: (doc_id, mark).  Returns (mark, root, component_id, rows) for each distinct mark."""
-    distinct = settle(marks.groupBy("mark").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
-    parts = settle(components(links(distinct.select("mark"), radius)))
-    roots = parts.join(distinct, parts.node == distinct.mark).groupBy("root").agg(F.min("least").alias("component"))
-    parts = parts.join(roots.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select("node", "root", "component")
-    met = distinct.join(parts, F.col("mark") == F.col("node"), "left")
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, and of each the least node reachable."""
+    nodes, at_node = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at_node[: len(u)], at_node[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        a, b = np.minimum(a, b)[apart := a != b], np.maximum(a, b)[apart]
+        np.minimum.at(root, b, a)
+        while not np.array_equal(above := root[root], root):
+            root = above
+    return nodes, nodes[root]
+
+
+def _kept(df: DataFrame, few: int) -> DataFrame:
+    """The rows, made once: by way of the driver up to ``few`` of them, else in a checkpoint."""
+    if few and (rows := df.limit(few + 1).toArrow()).num_rows <= few:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return settle(df)
+
+
+def classes(marks: DataFrame, *, radius: int = RADIUS, few: int = 0) -> DataFrame:
+    """marks: (doc_id, mark).  Returns (mark, root, component_id, rows) for each distinct mark.
+
+    ``few``: rows up to which tables go by the driver (``_few``).  Links do in
+    any case if they are at most ``LOCAL``, repeated ones counted.
+    """
+    distinct = _kept(marks.groupBy("mark").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), few)
+    found = _links(distinct.select("mark"), radius, few=few)
+    if small := found.count() <= LOCAL:
+        pairs = found.toArrow()
+        nodes, root = least_reachable(*(pairs.column(c).to_numpy() for c in ("u", "v")))
+        parts = F.broadcast(marks.sparkSession.createDataFrame(pa.table({"node": nodes, "root": root})))
+    else:
+        parts = settle(components(found.distinct()))
+    roots = parts.join(distinct, parts.node == distinct.mark).groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
+    parts = parts.join(F.broadcast(roots) if small else roots, F.col("root") == F.col("r")).select("node", "root", "component")
+    met = distinct.join(F.broadcast(parts) if small else parts, F.col("mark") == F.col("node"), "left")
     return met.select("mark", F.coalesce("root", "mark").alias("root"), F.coalesce("component", "least").alias("component_id"), "rows")
 
 
 def annotate(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex) and component_id."""
     marks = settle(fingerprint(docs, id_column=id_column, text_column=text_column, size=size))
-    return _labelled(marks, radius).select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+    return _labelled(marks, radius, _few(marks)).select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _few(marks: DataFrame) -> int:
+    """``LOCAL`` if there are no more rows, else none."""
+    return LOCAL if marks.count() <= LOCAL else 0
 
 
-def _labelled(marks: DataFrame, radius: int) -> DataFrame:
+def _labelled(marks: DataFrame, radius: int, few: int) -> DataFrame:
     """marks with their component.
 
-    A mark of many rows would be one task of a join, so marks of more than
-    ``HOT`` rows, and of more than one 65536th of all rows, are broadcast: there
-    are fewer than 65536 of these.  The others meet by a shuffle.
+    Up to ``few`` marks are broadcast.  Of more, a mark of many rows would be one
+    task of a join, so marks of more than ``HOT`` rows, and of more than one
+    65536th of all rows, are broadcast: there are fewer than 65536 of these.  The
+    others meet by a shuffle.
     """
-    found = settle(classes(marks, radius=radius).select(F.col("mark").alias("known"), "root", "component_id", "rows"))
+    found = _kept(classes(marks, radius=radius, few=few).select(F.col("mark").alias("known"), "root", "component_id", "rows"), few)
+    if few:
+        return marks.join(F.broadcast(found), F.col("mark") == F.col("known"), "left").drop("known", "rows")
     total = found.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     hot = F.col("rows") > max(HOT, total >> 16)
     common = F.broadcast(found.filter(hot))
@@ -324,8 +374,8 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     marks = settle(fingerprint(docs, id_column=id_column, text_column=text_column, size=size))
     if marks.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         return _keep_by_mark(docs, marks, id_column, text_column, size, radius)
-    gone = _labelled(marks, radius).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = settle(gone.select(F.col("doc_id").alias(name := fresh(docs.columns, "_gone"))))
+    gone = _labelled(marks, radius, few := _few(marks)).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = _kept(gone.select(F.col("doc_id").alias(name := fresh(docs.columns, "_gone"))), few)
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
     return docs.join(side, F.col(id_column).eqNullSafe(F.col(name)), "left_anti")
 
@@ -341,7 +391,7 @@ def _keep_by_mark(docs: DataFrame, marks: DataFrame, id_column: str, text_column
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.view(np.int64))], [*names, own])
 
     rows = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
-    found = classes(marks, radius=radius)
+    found = classes(marks, radius=radius, few=_few(marks))
     found = found.select(F.struct("root", "component_id").alias(known := fresh(names, "_class")), F.col("mark").alias(key := fresh(names, "_key")))
     rows = rows.join(found, F.col(own) == F.col(key))
     rows = rows.filter(F.col(id_column).eqNullSafe(F.col(f"{known}.component_id")))

@@ -634,6 +634,42 @@ def test_keep_one(spark, docs):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_few_documents_are_kept_in_few_files(spark, docs, monkeypatch):
+    """Only the marks are stored, and either way gives the same rows: few documents, few links of many documents, many links, more rows than expected."""
+    unique = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    marks = [0]
+    for _ in range(200):
+        marks.append(marks[RNG.randrange(len(marks))] ^ sum(1 << b for b in RNG.sample(range(63), RNG.randint(0, 6))))
+    marks = spark.createDataFrame([(f"d{i}", m) for i, m in enumerate(marks)], "doc_id string, mark long")
+    stored = []
+    monkeypatch.setattr(simhash, "settle", lambda df, f=simhash.settle: stored.append(df.columns) or f(df))
+
+    def results():
+        found = rows_of(simhash.classes(marks, few=simhash._few(marks)), "mark", "root", "component_id", "rows")
+        return found, rows_of(simhash.annotate(docs), "doc_id", "fingerprint", "component_id"), rows_of(simhash.keep_one(unique), "doc_id"), rows_of(simhash.keep_one(docs), "doc_id")
+
+    few = results()
+    assert stored == 3 * [["doc_id", "mark"]] and len({r[1] for r in few[0]}) < len(few[0])
+    monkeypatch.setattr(simhash, "_few", lambda marks: 0)
+    assert results() == few
+    monkeypatch.setattr(simhash, "LOCAL", 0)
+    assert results() == few
+    stored.clear()
+    monkeypatch.setattr(simhash, "_few", lambda marks: 1)
+    assert results() == few and ["u", "v", "t"] in stored
+
+
+def test_least_reachable():
+    for n in range(0, 60, 3):
+        u, v = (np.array([RNG.randrange(-30, 30) for _ in range(n)], np.int64) for _ in "uv")
+        root = {x: x for x in {*u.tolist(), *v.tolist()}}
+        for _ in root:
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                root[a] = root[b] = min(root[a], root[b])
+        nodes, least = simhash.least_reachable(u, v)
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == root
+
+
 # --- 9
 
 
